@@ -139,15 +139,14 @@ def _best_of_block(k: int, floor: float, directed: bool):
         empty = pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64")})
         if left.empty or right.empty:
             return empty
-        lid, li = np.unique(left["node_id"].to_numpy(), return_inverse=True)
-        rid, ri = np.unique(right["node_id"].to_numpy(), return_inverse=True)
+        lid, li = np.unique(left["l_id"].to_numpy(), return_inverse=True)
+        rid, ri = np.unique(right["r_id"].to_numpy(), return_inverse=True)
         score = np.zeros((len(lid), len(rid)))
-        by_key = right.assign(i=ri).groupby("key")
-        where = {key: (g["i"].to_numpy(), g["u"].to_numpy()) for key, g in by_key}
-        for key, g in left.assign(i=li).groupby("key"):
+        where = {key: (g["i"].to_numpy(), g["r_u"].to_numpy()) for key, g in right.assign(i=ri).groupby("r_key")}
+        for key, g in left.assign(i=li).groupby("l_key"):
             if key in where:
                 cols, weights = where[key]
-                score[np.ix_(g["i"].to_numpy(), cols)] += np.outer(g["u"].to_numpy(), weights)
+                score[np.ix_(g["i"].to_numpy(), cols)] += np.outer(g["l_u"].to_numpy(), weights)
         score = np.round(score, 9)
         groups = [lid[:, None] != rid[None, :]] if directed else [lid[:, None] < rid[None, :], lid[:, None] > rid[None, :]]
         out = []
@@ -198,10 +197,12 @@ def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEI
     blocked = hot.join(F.broadcast(n_blocks)).withColumn(
         "_b", F.pmod(F.xxhash64("node_id"), F.greatest("_n", F.lit(1))).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))))
-    left = blocked.select("node_id", "key", "u", F.col("_b").alias("bl"), others.alias("br"))
-    right = blocked.select("node_id", "key", "u", F.col("_b").alias("br"), others.alias("bl"))
+    left = blocked.select(F.col("node_id").alias("l_id"), F.col("key").alias("l_key"), F.col("u").alias("l_u"),
+                          F.col("_b").alias("l1"), others.alias("l2"))
+    right = blocked.select(F.col("node_id").alias("r_id"), F.col("key").alias("r_key"), F.col("u").alias("r_u"),
+                           others.alias("r1"), F.col("_b").alias("r2"))
     # A (left node, block) answer holds at most k rows, so candidates stay linear in nodes x blocks.
-    only_hot = left.groupBy("bl", "br").cogroup(right.groupBy("bl", "br")).applyInPandas(
+    only_hot = left.groupBy("l1", "l2").cogroup(right.groupBy("r1", "r2")).applyInPandas(
         _best_of_block(k, min_cos, directed), "src long, dst long").distinct()
     pairs = found.join(only_hot, ["src", "dst"], "full")
     packed = hot.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "u"))).alias("m"))

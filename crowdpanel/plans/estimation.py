@@ -1 +1,777 @@
-"""Queries."""
+"""Estimators: matched controls, calibration, disaggregation, effects, graphs, scoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import dates, geo
+from ..operators import bootstrap, controls, days, disagg, effects, graph, model, panel, places, score, uplift
+from .panels import CELL_HOUR, JAN
+from .registry import query
+from .relational import FLAT
+from .standins import SPLITS, STEP, Tables
+
+
+
+def _treated():
+    return F.col("game_day")
+
+
+def _control():
+    return F.col("is_control") & ~F.col("game_day")
+
+
+# -- matched controls ------------------------------------------------------------------
+
+EFFECTS = """(SELECT g.date, g.ring_id, g.measure, g.value AS observed, b.sd AS baseline_sd, COALESCE(b.n, 0) AS baseline_n, g.day_night, g.attendance,
+      CASE WHEN b.n >= 5 THEN b.m END AS baseline, g.value - CASE WHEN b.n >= 5 THEN b.m END AS lift,
+      100 * (g.value - CASE WHEN b.n >= 5 THEN b.m END) / NULLIF(CASE WHEN b.n >= 5 THEN b.m END, 0) AS lift_pct
+    FROM (SELECT * FROM long WHERE game_day) g LEFT JOIN (
+      SELECT date, ring_id, measure, AVG(cv) AS m, stddev_samp(cv) AS sd, COUNT(cv) AS n FROM (
+        SELECT g.date, g.ring_id, g.measure, c.value AS cv, row_number() OVER (PARTITION BY g.date, g.ring_id, g.measure
+                 ORDER BY abs(date_diff('day', g.date, c.date)), c.date) AS rk
+        FROM long g JOIN long c ON g.game_day AND c.clean_control AND c.ring_id = g.ring_id AND c.measure = g.measure AND c.dow = g.dow
+          AND c.value IS NOT NULL AND abs(date_diff('day', g.date, c.date)) <= 120) WHERE rk <= 8 GROUP BY ALL) b
+      ON b.date = g.date AND b.ring_id = g.ring_id AND b.measure = g.measure)"""
+LONG = """WITH long AS (SELECT date, ring_id, dow, game_day, clean_control, day_night, attendance, m.measure,
+      CASE m.measure WHEN 'visits' THEN CAST(visits AS DOUBLE) ELSE CAST(cents AS DOUBLE) END AS value
+    FROM ring_panel CROSS JOIN (SELECT unnest(['visits', 'cents']) AS measure) m) """
+
+
+def _effects(t: Tables):
+    return controls.game_effects(t.ring_panel, ["visits", "cents"], covariates=["day_night", "attendance"])
+
+
+@query("game_effects", "E1 J6 W2", "date d, ring_id l, measure s, observed f2, baseline f4, baseline_sd f1, baseline_n l, lift f4, lift_pct f4, day_night s, attendance l",
+       LONG + "SELECT * FROM " + EFFECTS)
+def _(t):
+    return _effects(t)
+
+
+STUDY = f"""(SELECT ring_id, measure, slice, COUNT(lift) AS n_games, round(AVG(lift), 1) AS mean_lift, round(stddev_samp(lift) / sqrt(COUNT(lift)), 1) AS se_lift,
+      round(AVG(lift_pct), 2) AS mean_lift_pct, round(stddev_samp(lift_pct) / sqrt(COUNT(lift_pct)), 2) AS se_lift_pct FROM (
+      SELECT e.*, unnest(['all', day_night, 'attendance_' || CASE k.third WHEN 1 THEN 'low' WHEN 2 THEN 'mid' ELSE 'high' END]) AS slice
+      FROM {EFFECTS} e JOIN (SELECT date, ntile(3) OVER (ORDER BY attendance NULLS FIRST, date) AS third FROM (SELECT DISTINCT date, attendance FROM calendar WHERE game_day)) k
+      USING (date)) WHERE slice IS NOT NULL GROUP BY ALL)"""
+
+
+@query("event_study", "E2 OP5 W6 AG10", "ring_id l, measure s, slice s, n_games l, mean_lift f1, se_lift f1, mean_lift_pct f2, se_lift_pct f2",
+       LONG + "SELECT * FROM " + STUDY)
+def _(t):
+    return controls.event_study(_effects(t))
+
+
+@query("distance_decay_table", "E3", "ring_id l, measure s, ring_mid_m f1, n_games l, mean_lift f1, mean_lift_pct f2", LONG + f"""
+    SELECT *, [125, 375, 750, 1750, 3750][ring_id] AS ring_mid_m FROM {STUDY} WHERE slice = 'all'""")
+def _(t):
+    return controls.distance_decay(controls.event_study(_effects(t)))
+
+
+@query("distance_decay_fit", "E3 AG9", "measure s, log_slope_per_km f6, log_intercept f6, rings_used l", LONG + f"""
+    SELECT measure, regr_slope(ln(mean_lift_pct), m / 1000) AS log_slope_per_km, regr_intercept(ln(mean_lift_pct), m / 1000) AS log_intercept, COUNT(*) AS rings_used
+    FROM (SELECT *, CAST([125, 375, 750, 1750, 3750][ring_id] AS DOUBLE) AS m FROM {STUDY} WHERE slice = 'all') WHERE mean_lift_pct > 0 GROUP BY 1""")
+def _(t):
+    return controls.decay_fit(controls.distance_decay(controls.event_study(_effects(t))))
+
+
+def _lift_sql(pool: str) -> str:
+    return f"""SELECT ring_id, g.game_date, relative_hour, g.day_night, g.value, b.baseline, b.sd AS baseline_sd, COALESCE(b.n, 0) AS baseline_n
+      FROM (SELECT h.ring_id, p.date AS game_date, p.day_night, date_diff('hour', p.start_ts, h.ts) AS relative_hour, h.v AS value FROM h JOIN p
+              ON h.ts BETWEEN p.start_ts - INTERVAL 6 HOUR AND p.start_ts + INTERVAL 8 HOUR) g
+      LEFT JOIN (SELECT ring_id, game_date, relative_hour, AVG(v) AS baseline, stddev_samp(v) AS sd, COUNT(v) AS n FROM (
+          SELECT h.ring_id, x.game_date, x.relative_hour, h.v, row_number() OVER (PARTITION BY h.ring_id, x.game_date, x.relative_hour ORDER BY x.gap, x.anchor) AS rk
+          FROM (SELECT p.date AS game_date, a.date AS anchor, abs(date_diff('day', p.date, a.date)) AS gap, r AS relative_hour,
+                  CAST(a.date AS TIMESTAMP) + to_hours(CAST(p.first_hour + r AS INT)) AS ts
+                FROM p JOIN {pool} a ON a.dow = p.dow AND abs(date_diff('day', p.date, a.date)) <= 120, (SELECT unnest(range(-6, 9)) AS r)) x JOIN h ON h.ts = x.ts)
+        WHERE rk <= 8 GROUP BY ALL) b USING (ring_id, game_date, relative_hour)"""
+
+
+HOURS = """WITH h AS (SELECT ring_id, CAST(date AS TIMESTAMP) + to_hours(CAST(hour AS INT)) AS ts, visitor_hours AS v FROM ring_hour),
+    p AS (SELECT *, CAST(date AS TIMESTAMP) + to_hours(CAST(first_hour AS INT)) AS start_ts FROM calendar WHERE game_day AND n_games = 1),
+    lifts AS (""" + _lift_sql("(SELECT * FROM calendar WHERE clean_control)") + ") "
+HOUR_STUDY = """(SELECT ring_id, relative_hour, slice, AVG(lift) AS effect, stddev_samp(lift) / sqrt(COUNT(*)) AS se,
+    AVG(lift) / NULLIF(stddev_samp(lift) / sqrt(COUNT(*)), 0) AS t, COUNT(*) AS n_games
+    FROM (SELECT *, value - baseline AS lift, unnest(['all', day_night]) AS slice FROM lifts WHERE baseline_n >= 5) GROUP BY ALL)"""
+
+
+def _lifts(t: Tables):
+    return controls.hourly_lifts(t.ring_hour, t.calendar, ["visitor_hours"])
+
+
+@query("hourly_lifts", "E4 J5 J7", "ring_id l, game_date d, relative_hour l, value f2, baseline f6, baseline_sd f6, baseline_n l", HOURS + "SELECT * FROM lifts")
+def _(t):
+    return _lifts(t)
+
+
+@query("hourly_event_study", "E4", "ring_id l, relative_hour l, slice s, effect f6, se f6, t f4, n_games l", HOURS + "SELECT * FROM " + HOUR_STUDY)
+def _(t):
+    return controls.hourly_event_study(_lifts(t))
+
+
+@query("thin_event_cells", "E6", "n_thin l", HOURS + "SELECT COUNT(*) AS n_thin FROM lifts WHERE baseline_n < 5")
+def _(t):
+    return controls.thin_cells(_lifts(t))
+
+
+@query("control_sensitivity", "E5", "relative_hour l, shipped f6, strict f6, change_pct f4", HOURS + f""", strict_lifts AS (
+    {_lift_sql("(SELECT * FROM calendar WHERE clean_control AND NOT rival_day AND NOT convention_day)")})
+    SELECT a.relative_hour, a.e AS shipped, b.e AS strict, 100 * (b.e - a.e) / a.e AS change_pct
+    FROM (SELECT relative_hour, AVG(value - baseline) AS e FROM lifts WHERE ring_id = 1 AND baseline_n >= 5 GROUP BY 1 ORDER BY round(e, 9) DESC, relative_hour LIMIT 1) a
+    LEFT JOIN (SELECT relative_hour, AVG(value - baseline) AS e FROM strict_lifts WHERE ring_id = 1 AND baseline_n >= 5 GROUP BY 1) b USING (relative_hour)""")
+def _(t):
+    busy = t.calendar.filter(F.col("rival_day") | F.col("convention_day")).select("date")
+    return controls.control_sensitivity(t.ring_hour, t.calendar, busy, 1, "visitor_hours")
+
+
+@query("study_peak", "OR2 Q18", "ring_id l, relative_hour l, effect f6", HOURS + f"""
+    SELECT ring_id, relative_hour, effect FROM {HOUR_STUDY} WHERE ring_id = 1 AND slice = 'all' ORDER BY round(effect, 9) DESC, relative_hour LIMIT 1""")
+def _(t):
+    return controls.peak_row(controls.hourly_event_study(_lifts(t)), (F.col("ring_id") == 1) & (F.col("slice") == "all"))
+
+
+# -- uplift and calibration -----------------------------------------------------------------
+
+UPLIFT = """(SELECT g.date, g.opponent, g.first_hour, SUM(COALESCE(a.arrivals, 0)) AS game_arrivals, SUM(COALESCE(b.mean, 0)) AS base
+    FROM (SELECT date, opponent, first_hour, unnest(generate_series(first_hour - 3, first_hour)) AS hour FROM sched WHERE day_night = 'night') g
+    LEFT JOIN arr a ON a.date = g.date AND a.hour = g.hour
+    LEFT JOIN (SELECT isodow(date) AS dow, hour, AVG(arrivals) AS mean FROM arr WHERE date NOT IN (SELECT date FROM sched WHERE day_night = 'night') GROUP BY ALL) b
+      ON b.dow = isodow(g.date) AND b.hour = g.hour GROUP BY ALL)"""
+SCHED = """WITH sched AS (SELECT date, arg_min(day_night, first_hour || opponent) AS day_night, MIN(first_hour) AS first_hour,
+      arg_min(opponent, first_hour || opponent) AS opponent, CASE WHEN MAX(attendance) > 0 THEN MAX(attendance) END AS attendance
+    FROM games WHERE status = 'Final' AND game_type NOT IN ('S', 'E') GROUP BY 1),
+  arr AS (SELECT date, hour, SUM(trip_count) AS arrivals FROM od WHERE destination = 'S1' GROUP BY ALL) """
+
+
+def _uplift(t: Tables):
+    return uplift.arrival_uplift(t.od, days.event_schedule(t.games), "S1")
+
+
+@query("arrival_uplift", "E7", "date d, opponent s, first_hour l, game_arrivals l, baseline_arrivals f1, uplift f1", SCHED + f"""
+    SELECT date, opponent, first_hour, game_arrivals, round(base, 1) AS baseline_arrivals, round(game_arrivals - base, 1) AS uplift FROM {UPLIFT}""")
+def _(t):
+    return _uplift(t)
+
+
+@query("arrival_uplift_summary", "E7 AG10", "n_games l, mean_uplift f1, std_uplift f1, se f1, t_stat f2, pct_positive f1", SCHED + f"""
+    SELECT COUNT(*) AS n_games, round(AVG(u), 1) AS mean_uplift, round(stddev_samp(u), 1) AS std_uplift, round(stddev_samp(u) / sqrt(COUNT(*)), 1) AS se,
+           round(AVG(u) / (stddev_samp(u) / sqrt(COUNT(*))), 2) AS t_stat, round(100 * AVG(CAST(u > 0 AS INT)), 1) AS pct_positive
+    FROM (SELECT round(game_arrivals - base, 1) AS u FROM {UPLIFT})""")
+def _(t):
+    return uplift.uplift_summary(_uplift(t))
+
+
+@query("capture_calibration", "E8 AG9", "n_games l, r f6, per_1000 f6, intercept f4, mean_capture_pct f6, median_capture_pct f6", SCHED + f"""
+    SELECT COUNT(*) AS n_games, corr(u, a) AS r, 1000 * regr_slope(u, a) AS per_1000, regr_intercept(u, a) AS intercept, AVG(100 * u / a) AS mean_capture_pct,
+           median(100 * u / a) AS median_capture_pct
+    FROM (SELECT round(game_arrivals - base, 1) AS u, CAST(s.attendance AS DOUBLE) AS a FROM {UPLIFT} x JOIN sched s USING (date) WHERE s.attendance > 0)""")
+def _(t):
+    return uplift.calibrate_capture(_uplift(t), days.event_schedule(t.games))
+
+
+@query("velocity_calibration", "E9", "pp_per_10k f6, se f6, lo f6, hi f6, p_value f6, n_days l")
+def _(t):
+    spend = t.day_counts.select("date", (F.col("n") / 100.0).alias("spend_idx"))
+    attendance = t.calendar.filter("game_day").select("date", "attendance")
+    return uplift.calibrate_velocity(spend, attendance)
+
+
+@query("dollarized_events", "E10", "date d, lift_pct f6, dollars f2, dollars_per_head f6", """
+    SELECT date, 1.0::DOUBLE * attendance / 10000 AS lift_pct, 1.0::DOUBLE * attendance / 10000 / 100 * 1e8::DOUBLE AS dollars,
+           (1.0::DOUBLE * attendance / 10000 / 100 * 1e8::DOUBLE) / NULLIF(attendance, 0) AS dollars_per_head FROM games""")
+def _(t):
+    return uplift.dollarize(t.games.withColumn("pp_per_10k", F.lit(1.0)), 1e8)
+
+
+@query("evening_share", "E38", "evening_share f9", """
+    SELECT SUM(CASE WHEN hour BETWEEN 16 AND 23 THEN visitor_hours ELSE 0 END) / SUM(visitor_hours) AS evening_share FROM hour_fact JOIN poi USING (poi_id) WHERE category LIKE '722%'""")
+def _(t):
+    return uplift.evening_share(t.hour_fact, t.poi)
+
+
+_BAND = "CASE WHEN d <= 500 THEN '0-500m' WHEN d <= 1000 THEN '500-1000m' WHEN d <= 2000 THEN '1000-2000m' WHEN d <= 4000 THEN '2000-4000m' ELSE '>4000m' END"
+SHARES = f"""(SELECT date, band, visits, visits / SUM(visits) OVER (PARTITION BY date) AS share FROM (
+    SELECT date, {_BAND} AS band, SUM(visits) AS visits FROM day_fact JOIN (SELECT poi_id, {FLAT} AS d FROM poi WHERE category LIKE '722%') USING (poi_id) GROUP BY ALL))"""
+
+
+@query("band_day_shares", "E39 W8", "date d, band s, visits l, share f9", f"SELECT * FROM {SHARES}")
+def _(t):
+    return uplift.band_day_shares(t.day_fact, t.poi)
+
+
+def _dollars(t: Tables):
+    """January days: every third one an event; daily dollars are event values."""
+    e = t.table("events").groupBy(F.to_date("ts").alias("date")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("value_daily"))
+    games = e.filter(F.dayofmonth("date") % 3 == 0).select("date")
+    per = uplift.event_dollars(uplift.band_day_shares(t.day_fact, t.poi), e, games, uplift.evening_share(t.hour_fact, t.poi))
+    return per, games
+
+
+DOLLARS = f"""(SELECT band, COUNT(DISTINCT date) AS games, AVG(x) AS evening_dollars, AVG(x * CASE band WHEN '0-500m' THEN .373 / 1.373 WHEN '500-1000m' THEN .143 / 1.143
+      WHEN '1000-2000m' THEN .03 / 1.03 WHEN '2000-4000m' THEN .011 / 1.011 ELSE 0 END) AS incremental,
+    AVG(x * CASE band WHEN '0-500m' THEN .324 / 1.324 WHEN '500-1000m' THEN .111 / 1.111 WHEN '1000-2000m' THEN .017 / 1.017 WHEN '2000-4000m' THEN .001 / 1.001 ELSE 0 END) AS lo,
+    AVG(x * CASE band WHEN '0-500m' THEN .422 / 1.422 WHEN '500-1000m' THEN .175 / 1.175 WHEN '1000-2000m' THEN .044 / 1.044 WHEN '2000-4000m' THEN .021 / 1.021 ELSE 0 END) AS hi
+    FROM (SELECT s.date, s.band, v * s.share * ev AS x FROM {SHARES} s JOIN (SELECT CAST(ts AS DATE) AS date, SUM(CAST(round(value * 100) AS BIGINT)) AS v FROM events GROUP BY 1) USING (date),
+      (SELECT SUM(CASE WHEN hour BETWEEN 16 AND 23 THEN visitor_hours ELSE 0 END) / SUM(visitor_hours) AS ev FROM hour_fact JOIN poi USING (poi_id) WHERE category LIKE '722%')
+      WHERE day(s.date) % 3 = 0) GROUP BY 1)"""
+
+
+@query("event_dollars", "E40", "band s, games l, evening_dollars f4, incremental f4, lo f4, hi f4", f"SELECT * FROM {DOLLARS}")
+def _(t):
+    return _dollars(t)[0]
+
+
+@query("event_dollar_totals", "E40", "per_event f4, lo f4, hi f4, n_games l, n_seasons l, window_total f3, per_season f3", f"""
+    SELECT SUM(incremental) AS per_event, SUM(lo) AS lo, SUM(hi) AS hi, MAX(games) AS n_games, 1 AS n_seasons, SUM(incremental) * MAX(games) AS window_total,
+           SUM(incremental) * MAX(games) AS per_season FROM {DOLLARS}""")
+def _(t):
+    return uplift.event_dollar_totals(*_dollars(t))
+
+
+# -- disaggregation ----------------------------------------------------------------------------
+
+USABLE = """WITH d AS (SELECT series, date, ind, CAST(year(date) AS VARCHAR) || 'Q' || CAST(quarter(date) AS VARCHAR) AS period FROM indicator),
+    u AS (SELECT d.*, q.total FROM d JOIN quarter_totals q USING (series, period) WHERE (series, period) IN (SELECT (series, period) FROM d GROUP BY series, period HAVING COUNT(*) >= 88)) """
+
+
+def _usable(t: Tables):
+    return disagg.usable_days(t.quarter_totals, t.indicator)
+
+
+@query("period_totals", "E11", "series s, period s, total f4, n_days l, mean f6", """
+    SELECT series, CAST(year(date) AS VARCHAR) || 'Q' || CAST(quarter(date) AS VARCHAR) AS period, SUM(ind) AS total, COUNT(*) AS n_days, AVG(ind) AS mean FROM indicator GROUP BY ALL""")
+def _(t):
+    mean = disagg.period_totals(t.indicator, "ind", "mean").select("series", "period", F.col("total").alias("mean"))
+    return disagg.period_totals(t.indicator, "ind").join(mean, ["series", "period"])
+
+
+@query("prorata_spread", "E12", "series s, date d, value_daily f4", USABLE + "SELECT series, date, total * ind / SUM(ind) OVER (PARTITION BY series, period) AS value_daily FROM u")
+def _(t):
+    return disagg.disaggregate(t.quarter_totals, t.indicator, "prorata")
+
+
+@query("denton_spread", "E13", "series s, date d, value_daily f4")
+def _(t):
+    return disagg.disaggregate(t.quarter_totals, t.indicator, "denton")
+
+
+@query("chowlin_spread", "E14", "series s, date d, value_daily f4, se f4, rho f6")
+def _(t):
+    return disagg.disaggregate(t.quarter_totals, t.indicator, "chowlin")
+
+
+_BACK = USABLE + "SELECT series, period, round(MAX(total) / 1000) AS thousands, COUNT(*) AS n_days, TRUE AS exact FROM u GROUP BY ALL"
+
+
+def _sums(t: Tables, method: str):
+    daily = disagg.disaggregate(t.quarter_totals, t.indicator, method).groupBy("series", "period").agg(
+        F.sum("value_daily").alias("s"), F.count("*").alias("n_days"))
+    total = F.col("total")
+    return daily.join(t.quarter_totals, ["series", "period"]).withColumn("thousands", F.round(total / 1000)).withColumn(
+        "exact", F.abs(F.col("s") - total) <= 1e-9 * F.abs(total))
+
+
+@query("denton_sum_back", "E13 E15", "series s, period s, thousands l, n_days l, exact b", _BACK)
+def _(t):
+    return _sums(t, "denton")
+
+
+@query("chowlin_sum_back", "E14 E15", "series s, period s, thousands l, n_days l, exact b", _BACK)
+def _(t):
+    return _sums(t, "chowlin")
+
+
+@query("disaggregation_report", "E15", "series s, n_quarters l, max_rel_error f9", USABLE + """
+    SELECT series, COUNT(DISTINCT period) AS n_quarters, 0 AS max_rel_error FROM u GROUP BY 1""")
+def _(t):
+    return disagg.sum_back(disagg.disaggregate(t.quarter_totals, t.indicator, "denton"), t.quarter_totals)
+
+
+# -- counterfactuals and scores --------------------------------------------------------------------
+
+
+def _frame(t: Tables):
+    """Model features of the ring panel that the test tables can fill."""
+    from ..operators.baseline import rolling_baseline
+    from .panels import _baseline_panel
+    rows = _baseline_panel(t).withColumn("unit_code", F.col("unit_id")).withColumn("month", F.month("date")).withColumn(
+        "t_index", dates.trend_index(F.col("date"), "1995-01-01")).withColumn("split", dates.split_label(F.col("date"), SPLITS))
+    return rows.withColumn("is_control", F.col("clean_control_strict")).join(rolling_baseline(_baseline_panel(t)), ["unit_id", "date", "hour"])
+
+
+FEATURES = ("unit_code", "hour", "dow", "month", "t_index", "base_k2", "base_k4", "base_cap120", "n_cap120")
+
+
+@query("counterfactual_fit", "E16 E17 E20", "split s, n l, mae f4, rmse f4, bias f4, r2 f4")
+def _(t):
+    from ..session import reliable_checkpoint
+    rows = reliable_checkpoint(_frame(t).select("unit_id", "date", "split", "is_control", "y", *FEATURES))
+    fitted = model.fit_counterfactual(rows.filter("split = 'train'"), FEATURES, trees=5, depth=4, bins=64)
+    return model.scores(model.predict_cf(fitted, rows.filter("is_control"), FEATURES), F.col("y"), F.col("cf_log"), ["split"])
+
+
+@query("hour_of_week_baselines", "E19 J18", "unit_id l, date d, hour l, how_unit f9, how_global f9", """
+    SELECT u.unit_id, u.date, u.hour, COALESCE(a.m, b.m) AS how_unit, b.m AS how_global FROM unit_evening u
+    LEFT JOIN (SELECT unit_id, dow, hour, AVG(y) AS m FROM unit_evening WHERE split = 'train' GROUP BY ALL) a USING (unit_id, dow, hour)
+    LEFT JOIN (SELECT dow, hour, AVG(y) AS m FROM unit_evening WHERE split = 'train' GROUP BY ALL) b USING (dow, hour) WHERE u.split = 'test'""")
+def _(t):
+    rows = t.unit_evening
+    return model.how_baselines(rows.filter("split = 'train'"), rows.filter("split = 'test'"))
+
+
+@query("prediction_scores", "E20", "split s, n l, mae f6, rmse f6, bias f6, r2 f6", """
+    SELECT split, COUNT(*) AS n, AVG(abs(cf_log - y)) AS mae, sqrt(AVG(pow(cf_log - y, 2))) AS rmse, AVG(cf_log - y) AS bias,
+           1 - SUM(pow(cf_log - y, 2)) / (var_pop(y) * COUNT(*)) AS r2 FROM resid WHERE is_control GROUP BY 1""")
+def _(t):
+    return model.scores(t.resid.filter("is_control"), F.col("y"), F.col("cf_log"), ["split"])
+
+
+@query("predictor_comparison", "E21", "n l, mae_a f6, mae_b f6, rmse_a f6, rmse_b f6, improvement_pct f4", """
+    SELECT COUNT(*) AS n, AVG(abs(how_global - y)) AS mae_a, AVG(abs(cf_log - y)) AS mae_b, sqrt(AVG(pow(how_global - y, 2))) AS rmse_a,
+           sqrt(AVG(pow(cf_log - y, 2))) AS rmse_b, 100 * (AVG(abs(how_global - y)) - AVG(abs(cf_log - y))) / AVG(abs(how_global - y)) AS improvement_pct
+    FROM resid WHERE split = 'test' AND is_control""")
+def _(t):
+    rows, keys = t.resid, ["unit_id", "date", "hour"]
+    a = rows.filter("split = 'test'").withColumn("pred", F.col("how_global"))
+    return model.compare(a, rows.filter("is_control").withColumn("pred", F.col("cf_log")), keys)
+
+
+@query("interval_coverage", "E18", "n l, coverage f3")
+def _(t):
+    rows = t.resid.filter("is_control")
+    return model.interval_coverage(model.residual_interval(rows.filter("split = 'val'"), rows.filter("split = 'test'"), ["unit_id", "hour"]))
+
+
+# -- effects -------------------------------------------------------------------------------------
+
+UPTO = "CASE WHEN dist_m <= 500 THEN '0-500m' WHEN dist_m <= 1000 THEN '500-1000m' WHEN dist_m <= 2000 THEN '1000-2000m' WHEN dist_m <= 4000 THEN '2000-4000m' ELSE '>4000m' END"
+BELOW = "CASE WHEN dist_m < 250 THEN 'b1' WHEN dist_m < 500 THEN 'b2' WHEN dist_m < 1000 THEN 'b3' WHEN dist_m < 2500 THEN 'b4' WHEN dist_m < 5000 THEN 'b5' ELSE 'b6' END"
+
+
+def _days(band: str, name: str = "band") -> str:
+    return f"(SELECT date, {band} AS {name}, AVG(resid) AS resid, bool_or(game_day) AS game_day, bool_or(is_control) AS is_control FROM resid GROUP BY ALL)"
+
+
+def _dayband(t: Tables):
+    return effects.day_means(t.resid, geo.band_upto(F.col("dist_m")))
+
+
+def _canonical(t: Tables):
+    return effects.day_means(t.resid, geo.band_below(F.col("dist_m")))
+
+
+@query("day_band_residuals", "E22", "date d, band s, resid f9, game_day b, is_control b", f"SELECT * FROM {_days(UPTO)}")
+def _(t):
+    return _dayband(t)
+
+
+@query("band_did", "E23", "band s, did f9, n_treated l, n_control l, effect_pct f6", f"""
+    SELECT *, 100 * (exp(did) - 1) AS effect_pct FROM (SELECT band, AVG(resid) FILTER (game_day) - AVG(resid) FILTER (is_control AND NOT game_day) AS did,
+      COUNT(*) FILTER (game_day) AS n_treated, COUNT(*) FILTER (is_control AND NOT game_day) AS n_control FROM {_days(UPTO)} GROUP BY 1)""")
+def _(t):
+    return effects.did(_dayband(t), _treated(), _control())
+
+
+@query("band_bootstrap", "E24 J17", "band s, lo f6, hi f6, p f4, n_draws l")
+def _(t):
+    return bootstrap.bootstrap_did(_dayband(t), _treated(), _control(), n_draws=500)
+
+
+@query("bootstrap_multiplicity", "E24 J17", "side s, draw l, n_days l", f"""
+    SELECT s.side, d AS draw, s.n AS n_days FROM (SELECT CASE WHEN game_day THEN 't' ELSE 'c' END AS side, COUNT(DISTINCT date) AS n FROM {_days(UPTO)}
+      WHERE game_day OR is_control GROUP BY 1) s, (SELECT unnest(range(50)) AS d)""")
+def _(t):
+    draws = bootstrap.draw_days(bootstrap.day_sides(_dayband(t), _treated(), _control()), 50)
+    return draws.groupBy("side", "draw").agg(F.count("*").alias("n_days"))
+
+
+@query("placebo_effects", "E25", "band s, placebo_mean f6, placebo_sd f6, n_draws l")
+def _(t):
+    return bootstrap.placebo(_dayband(t), _treated(), _control(), n_draws=100)
+
+
+def _matched(days_sql: str, key: str) -> str:
+    return f"""(SELECT {key}, SUM((g - c) * n_g) / SUM(n_g) AS did, SUM(n_g) AS n_treated_days FROM (
+      SELECT {key}, month(date) AS m, isodow(date) >= 6 AS w, AVG(resid) FILTER (game_day) AS g, AVG(resid) FILTER (is_control AND NOT game_day) AS c
+      FROM {days_sql} GROUP BY ALL) x JOIN (SELECT month(date) AS m, isodow(date) >= 6 AS w, COUNT(DISTINCT date) AS n_g FROM {days_sql} WHERE game_day GROUP BY ALL) y
+      ON x.m = y.m AND x.w = y.w WHERE g IS NOT NULL AND c IS NOT NULL GROUP BY 1)"""
+
+
+@query("matched_did", "E26 AG12", "band s, did f9, n_treated_days l", f"SELECT * FROM {_matched(_days(BELOW), 'band')}")
+def _(t):
+    return effects.did_matched(_canonical(t), _treated(), _control())
+
+
+@query("strata_coverage", "E26", "month l, weekend b, n_g l, n_c l", f"""
+    SELECT month(date) AS month, isodow(date) >= 6 AS weekend, COUNT(DISTINCT date) FILTER (game_day) AS n_g, COUNT(DISTINCT date) FILTER (is_control AND NOT game_day) AS n_c
+    FROM {_days(BELOW)} GROUP BY ALL HAVING n_g > 0""")
+def _(t):
+    return effects.strata_coverage(_canonical(t), _treated(), _control())
+
+
+@query("matched_bootstrap", "E27", "band s, lo f6, hi f6, p f4, n_draws l")
+def _(t):
+    return bootstrap.bootstrap_matched(effects.with_strata(_canonical(t)), _treated(), _control(), effects.STRATA, n_draws=200)
+
+
+@query("activity_weights", "E28", "unit_id l, level f9, dist_m f3", """
+    SELECT unit_id, AVG(exp(y) - 1) AS level, MAX(dist_m) AS dist_m FROM resid WHERE is_control AND NOT game_day GROUP BY 1""")
+def _(t):
+    return effects.activity_weights(t.resid)
+
+
+def _decay(t: Tables):
+    units = effects.day_means(t.resid, F.col("unit_id"), "unit_id")
+    return effects.fit_decay(effects.did_matched(units, _treated(), _control(), "unit_id"), effects.activity_weights(t.resid))
+
+
+@query("decay_curve", "E29", "A f6, L f2, c f6, weighted_r2 f6, n_units l")
+def _(t):
+    return _decay(t)
+
+
+@query("band_shift_closure", "E30", "band s, did f9, n_units l, closed b", f"""
+    SELECT band, did, n_units, TRUE AS closed FROM {_matched(_days(BELOW), 'band')} JOIN (SELECT {BELOW} AS band, COUNT(*) AS n_units FROM nations GROUP BY 1) USING (band)""")
+def _(t):
+    decay, weights, band = _decay(t), effects.activity_weights(t.resid), geo.band_below(F.col("dist_m"))
+    shifts = effects.band_shifts(decay, effects.did_matched(_canonical(t), _treated(), _control()), weights, band)
+    rows = effects.smooth_effect(decay, weights).withColumn("band", band).join(shifts, "band")
+    total = rows.groupBy("band").agg(F.max("did").alias("did"), F.max("n_units").alias("n_units"),
+                                     F.log(F.sum(F.col("level") * F.exp(F.col("smooth") + F.col("shift"))) / F.sum("level")).alias("back"))
+    return total.withColumn("closed", F.abs(F.col("back") - F.col("did")) < 1e-9)
+
+
+def _schedule(t: Tables):
+    return t.calendar.filter("game_day").select("date", "attendance", "day_night")
+
+
+@query("event_level_effects", "E31", "date d, band s, effect f9, z f6, night l", f"""
+    WITH m AS (SELECT d.date, d.band, d.resid - k.c AS effect, g.attendance, g.day_night FROM {_days(BELOW)} d JOIN (SELECT * FROM calendar WHERE attendance > 0) g USING (date)
+      JOIN (SELECT band, month(date) AS m, isodow(date) >= 6 AS w, AVG(resid) AS c FROM {_days(BELOW)} WHERE is_control AND NOT game_day GROUP BY ALL) k
+        ON k.band = d.band AND k.m = month(d.date) AND k.w = (isodow(d.date) >= 6) WHERE d.game_day)
+    SELECT date, band, effect, (attendance - (SELECT AVG(attendance) FROM m)) / (SELECT stddev_pop(attendance) FROM m) AS z, day_night = 'night' AS night FROM m""")
+def _(t):
+    return effects.event_effects(_canonical(t), _treated(), _control(), _schedule(t))
+
+
+@query("event_response_slopes", "E31 AG9", "band s, slope f6, n_events l", f"""
+    WITH m AS (SELECT d.date, d.band, d.resid - k.c AS effect, g.attendance FROM {_days(BELOW)} d JOIN (SELECT * FROM calendar WHERE attendance > 0) g USING (date)
+      JOIN (SELECT band, month(date) AS m, isodow(date) >= 6 AS w, AVG(resid) AS c FROM {_days(BELOW)} WHERE is_control AND NOT game_day GROUP BY ALL) k
+        ON k.band = d.band AND k.m = month(d.date) AND k.w = (isodow(d.date) >= 6) WHERE d.game_day),
+      z AS (SELECT band, effect, (attendance - (SELECT AVG(attendance) FROM m)) / (SELECT stddev_pop(attendance) FROM m) AS z, pow((attendance - (SELECT AVG(attendance) FROM m))
+             / (SELECT stddev_pop(attendance) FROM m), 2) AS z2 FROM m)
+    SELECT band, (covar_pop(z, effect) * var_pop(z2) - covar_pop(z2, effect) * covar_pop(z, z2)) / (var_pop(z) * var_pop(z2) - pow(covar_pop(z, z2), 2)) AS slope,
+           COUNT(*) AS n_events FROM z GROUP BY 1""")
+def _(t):
+    rows = effects.event_effects(_canonical(t), _treated(), _control(), _schedule(t)).withColumn("z2", F.col("z") * F.col("z"))
+    return effects.ols3(rows, ["band"], "effect", "z", "z2").withColumnRenamed("beta", "slope")
+
+
+def _estimate(t: Tables, n_draws: int = 100):
+    return effects.estimate_effects(t.resid, _schedule(t), n_draws=n_draws)
+
+
+@query("effect_bands", "E32 E33", "band s, did_log_raw f6, did_log f6, shift f4, significant b, lift_pct f4, lift_pct_raw f4, lo f6, hi f6")
+def _(t):
+    return _estimate(t)["bands"]
+
+
+@query("attendance_response", "E31", "band s, alpha f6, beta f6, gamma f6, n_events l")
+def _(t):
+    per = effects.event_effects(_canonical(t), _treated(), _control(), _schedule(t))
+    sure = per.select("band", F.lit(True).alias("significant")).distinct()
+    return effects.attendance_response(per, sure, n_draws=100)
+
+
+_FIXED = """WITH bands AS (SELECT * FROM (VALUES ('b1', .30, .01, TRUE, .10, .05), ('b2', .35, .00, TRUE, .00, .02), ('b3', .10, -.02, FALSE, .00, .00),
+      ('b4', .05, .01, TRUE, .20, .00), ('b5', .02, .00, TRUE, .00, .00), ('b6', .01, .00, FALSE, .00, .00)) AS b(band, did_log, shift, significant, beta, gamma)),
+    req AS (SELECT date, (attendance - 20000) / 9000.0 AS z, CAST(day_night = 'night' AS INT) - 0.5 AS gap FROM calendar WHERE game_day AND attendance IS NOT NULL),
+    tot AS (SELECT r.date, b.*, did_log + beta * z + gamma * gap AS raw, beta * z + gamma * gap AS adj,
+      CASE WHEN significant THEN MIN(CASE WHEN significant THEN did_log + beta * z + gamma * gap END) OVER (PARTITION BY r.date ORDER BY band) END AS total FROM req r, bands b) """
+
+
+def _fixed(t: Tables):
+    """Stated effect parameters, so that assembly and composition can be checked exactly."""
+    from pyspark.sql import Row
+    rows = [Row(band=b, did_log=d, shift=s, significant=g, beta=be, gamma=ga) for b, d, s, g, be, ga in (
+        ("b1", .30, .01, True, .10, .05), ("b2", .35, .00, True, .00, .02), ("b3", .10, -.02, False, .00, .00),
+        ("b4", .05, .01, True, .20, .00), ("b5", .02, .00, True, .00, .00), ("b6", .01, .00, False, .00, .00))]
+    table = t.spark.createDataFrame(rows)
+    one = t.spark.createDataFrame([Row(A=.4, L=900.0, c=.01, center=20000.0, scale=9000.0, night_share=.5)])
+    return {"bands": table.drop("beta", "gamma"), "response": table.select("band", "beta", "gamma"), "decay": one.select("A", "L", "c"),
+            "center": one.select("center", "scale", "night_share")}
+
+
+def _requests(t: Tables):
+    return t.calendar.filter("game_day and attendance is not null").select("date", "attendance", (F.col("day_night") == "night").cast("double").alias("is_night"))
+
+
+@query("capped_band_totals", "E34 W12", "date d, band s, raw f9, total f9, adj f9", _FIXED + "SELECT * FROM tot")
+def _(t):
+    e = _fixed(t)
+    return effects.band_totals(_requests(t), e["bands"], e["response"], e["center"])
+
+
+@query("composed_levels", "E34 E35 PRJ24", "date d, unit_id l, hour l, effect_log f9, cf_level f6, game_level f6, extra_level f6", _FIXED + f"""
+    SELECT date, unit_id, hour, eff AS effect_log, exp(greatest(cf_log, 0)) - 1 AS cf_level, (exp(greatest(cf_log, 0)) - 1) * exp(eff) AS game_level,
+           (exp(greatest(cf_log, 0)) - 1) * (exp(eff) - 1) AS extra_level
+    FROM (SELECT r.date, r.unit_id, r.hour, r.cf_log, CASE WHEN significant THEN .4 * exp(-dist_m / 900) + .01 + shift + adj + total - raw ELSE 0 END AS eff
+          FROM (SELECT *, {BELOW} AS band FROM resid) r LEFT JOIN tot ON tot.date = r.date AND tot.band = r.band WHERE game_day AND attendance IS NOT NULL)""")
+def _(t):
+    e = _fixed(t)
+    totals = effects.band_totals(_requests(t), e["bands"], e["response"], e["center"])
+    rows = t.resid.filter("game_day and attendance is not null").select("date", "unit_id", "hour", "cf_log", "dist_m", geo.band_below(F.col("dist_m")).alias("band"))
+    return effects.compose(effects.effect_log(rows, totals, e["decay"]))
+
+
+@query("level_weighted_effect", "AG12 E34", "band s, effect f9", _FIXED + f"""
+    SELECT band, SUM(w * eff) / SUM(w) AS effect FROM (SELECT r.band, exp(greatest(cf_log, 0)) - 1 AS w,
+          CASE WHEN significant THEN .4 * exp(-dist_m / 900) + .01 + shift + adj + total - raw ELSE 0 END AS eff
+          FROM (SELECT *, {BELOW} AS band FROM resid) r LEFT JOIN tot ON tot.date = r.date AND tot.band = r.band WHERE game_day AND attendance IS NOT NULL) GROUP BY 1""")
+def _(t):
+    e = _fixed(t)
+    totals = effects.band_totals(_requests(t), e["bands"], e["response"], e["center"])
+    rows = t.resid.filter("game_day and attendance is not null").select("date", "unit_id", "hour", "cf_log", "dist_m", geo.band_below(F.col("dist_m")).alias("band"))
+    return effects.level_weighted_effect(effects.compose(effects.effect_log(rows, totals, e["decay"])))
+
+
+@query("forecast_score", "E36 E35 E20", "split s, band s, n l, mae_ignore f6, mae_composed f6, improvement_pct f4", f"""
+    WITH e AS (SELECT band, AVG(resid) FILTER (game_day) - AVG(resid) FILTER (is_control AND NOT game_day) AS did FROM
+      (SELECT date, {UPTO} AS band, AVG(resid) AS resid, bool_or(game_day) AS game_day, bool_or(is_control) AS is_control FROM resid WHERE split = 'train' GROUP BY ALL) GROUP BY 1)
+    SELECT split, r.band, COUNT(*) AS n, AVG(abs(y - cf_log)) AS mae_ignore, AVG(abs(y - ln(1 + (exp(greatest(cf_log, 0)) - 1) * exp(COALESCE(did, 0))))) AS mae_composed,
+           100 * (AVG(abs(y - cf_log)) - AVG(abs(y - ln(1 + (exp(greatest(cf_log, 0)) - 1) * exp(COALESCE(did, 0)))))) / AVG(abs(y - cf_log)) AS improvement_pct
+    FROM (SELECT *, {UPTO} AS band FROM resid WHERE game_day) r LEFT JOIN e USING (band) GROUP BY ALL""")
+def _(t):
+    band = geo.band_upto(F.col("dist_m"))
+    train = effects.did(effects.day_means(t.resid.filter("split = 'train'"), band), _treated(), _control())
+    return effects.forecast_score(t.resid.withColumn("band", band), train, ["split", "band"])
+
+
+@query("venue_crossover", "E37", "venue s, treatment s, band s, did f9, n_treated l, n_control l", """
+    SELECT venue, tr AS treatment, band, AVG(resid) FILTER (CASE tr WHEN 'home_only' THEN game_day AND NOT rival_day ELSE rival_day AND NOT game_day END)
+             - AVG(resid) FILTER (is_control AND NOT game_day AND NOT rival_day) AS did,
+           COUNT(*) FILTER (CASE tr WHEN 'home_only' THEN game_day AND NOT rival_day ELSE rival_day AND NOT game_day END) AS n_treated,
+           COUNT(*) FILTER (is_control AND NOT game_day AND NOT rival_day) AS n_control
+    FROM (SELECT venue, date, """ + _BAND + """ AS band, AVG(resid) AS resid, bool_or(game_day) AS game_day, bool_or(rival_day) AS rival_day, bool_or(is_control) AS is_control
+      FROM (SELECT r.*, v.venue, sqrt(pow((lat - v.la) * 111320, 2) + pow((lon - v.lo) * 111320 * cos(radians(v.la)), 2)) AS d FROM resid r,
+        (SELECT 'first' AS venue, 37.7786::DOUBLE AS la, -122.3893::DOUBLE AS lo UNION ALL SELECT 'second', 37.7680::DOUBLE, -122.3877::DOUBLE) v) GROUP BY ALL),
+      (SELECT unnest(['home_only', 'rival_only']) AS tr) GROUP BY ALL""")
+def _(t):
+    return effects.crossover(t.resid, {"first": geo.VENUE, "second": geo.SECOND_VENUE}, n_draws=50)
+
+
+@query("event_lift_frame", "E49 OP4 PRJ26", "date d, ring_lift_1 f6, ring_lift_5 f6, is_night l, start_sin f9, dow_cos f9", """
+    SELECT c.date, l1 AS ring_lift_1, l5 AS ring_lift_5, c.day_night = 'night' AS is_night, sin(2 * pi() * c.first_hour / 24) AS start_sin, cos(2 * pi() * c.dow / 7) AS dow_cos
+    FROM calendar c JOIN (SELECT h.date, AVG(h.visitor_hours - m.m) FILTER (ring_id = 1) AS l1, AVG(h.visitor_hours - m.m) FILTER (ring_id = 5) AS l5
+      FROM ring_hour h JOIN calendar k ON k.date = h.date AND k.game_day AND k.n_games = 1 AND h.hour - k.first_hour BETWEEN -2 AND 4
+      JOIN (SELECT ring_id, hour, AVG(visitor_hours) AS m FROM ring_hour JOIN calendar USING (date) WHERE clean_control GROUP BY ALL) m USING (ring_id, hour) GROUP BY 1) x USING (date)
+    WHERE c.attendance IS NOT NULL""")
+def _(t):
+    cal = t.calendar.select("date", "dow", "game_day", "n_games", "attendance", "day_night", "first_hour", "clean_control")
+    rows = t.ring_hour.join(F.broadcast(cal), "date")
+    mean = rows.filter("clean_control").groupBy("ring_id", "hour").agg(F.avg("visitor_hours").alias("predicted"))
+    pred = rows.join(mean, ["ring_id", "hour"]).withColumn("observed", F.col("visitor_hours")).withColumn(
+        "relative_hour", F.when(F.col("n_games") == 1, F.col("hour") - F.col("first_hour")))
+    events = cal.filter("game_day").select("date", "attendance", "day_night", "first_hour", "dow", F.month("date").alias("month"))
+    return effects.lift_frame(pred, events)
+
+
+# -- graphs --------------------------------------------------------------------------------------
+
+
+def _nodes(t: Tables):
+    return t.poi.select(F.col("poi_id").alias("node_id"), "lat", "lon")
+
+
+KNN = """(SELECT least(a, b) AS a, greatest(a, b) AS b, MIN(d) AS dist_m FROM (
+    SELECT x.poi_id AS a, y.poi_id AS b, 2 * 6371008.8 * asin(sqrt(pow(sin((radians(x.lat) - radians(y.lat)) / 2), 2)
+           + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin((radians(x.lon) - radians(y.lon)) / 2), 2))) AS d
+    FROM poi x JOIN poi y ON x.poi_id <> y.poi_id QUALIFY row_number() OVER (PARTITION BY x.poi_id ORDER BY d, y.poi_id) <= 8) GROUP BY 1, 2)"""
+
+
+@query("knn_edges", "E41 J11 W2", "a l, b l, dist_m f3", f"SELECT * FROM {KNN}")
+def _(t):
+    return graph.knn_edges(_nodes(t))
+
+
+@query("contiguity_edges", "E42 J12", "src s, dst s", """
+    SELECT a.unit_id AS src, b.unit_id AS dst FROM unit_stats a JOIN unit_stats b ON abs(a.gi - b.gi) <= 1 AND abs(a.gj - b.gj) <= 1 AND a.unit_id <> b.unit_id""")
+def _(t):
+    return graph.contiguity_edges(t.units)
+
+
+# Distance steps widened with the test grid.
+STEPS = ((2000, 0.114), (3000, 0.057), (4500, 0.028), (6000, 0.013))
+DIST = """(SELECT src, dst, d AS dist_m, CASE WHEN d <= 2000 THEN .114 WHEN d <= 3000 THEN .057 WHEN d <= 4500 THEN .028 ELSE .013 END * least(least(p, q) / 40.0, 1) AS w FROM (
+    SELECT a.unit_id AS src, b.unit_id AS dst, a.n_poi AS p, b.n_poi AS q,
+           sqrt(pow((b.lat - a.lat) * 111320, 2) + pow((b.lon - a.lon) * 111320 * cos(radians(a.lat)), 2)) AS d
+    FROM unit_stats a JOIN unit_stats b ON a.unit_id <> b.unit_id) WHERE d <= 6000)"""
+
+
+def _dist(t: Tables):
+    return graph.distance_edges(t.units, STEP, STEPS)
+
+
+@query("distance_edges", "E43", "src s, dst s, dist_m f3, w f6", f"SELECT * FROM {DIST}")
+def _(t):
+    return _dist(t)
+
+
+def _cosine_sql(pairs: str, qualify: str) -> str:
+    return f"""SELECT src, dst, cos FROM (SELECT x.node_id AS src, y.node_id AS dst, SUM(x.w * y.w) / (any_value(x.l) * any_value(y.l)) AS cos
+      FROM (SELECT *, sqrt(SUM(w * w) OVER (PARTITION BY node_id)) AS l FROM vec) x JOIN (SELECT *, sqrt(SUM(w * w) OVER (PARTITION BY node_id)) AS l FROM vec) y
+        ON x.key = y.key AND x.node_id {pairs} y.node_id GROUP BY ALL HAVING round(cos, 9) >= 0.1) QUALIFY {qualify}"""
+
+
+_MUTUAL = "row_number() OVER (PARTITION BY src ORDER BY round(cos, 9) DESC, dst) <= 8 OR row_number() OVER (PARTITION BY dst ORDER BY round(cos, 9) DESC, src) <= 8"
+_DIRECTED = "row_number() OVER (PARTITION BY src ORDER BY round(cos, 9) DESC, dst) <= 8"
+_JSONVEC = "WITH vec AS (SELECT user_id AS node_id, k.key || '-' || CAST(k.value AS VARCHAR) AS key, CAST(COUNT(*) AS DOUBLE) AS w FROM events, json_each(props) AS k GROUP BY ALL) "
+
+
+@query("basket_cosine_edges", "E44 J13 W9", "src l, dst l, cos f6", "WITH vec AS (SELECT * FROM basket) " + _cosine_sql("<", _MUTUAL))
+def _(t):
+    return graph.cosine_edges(t.basket)
+
+
+@query("basket_flow_edges", "E44", "src l, dst l, cos f6", "WITH vec AS (SELECT * FROM basket) " + _cosine_sql("<>", _DIRECTED))
+def _(t):
+    return graph.cosine_edges(t.basket, mode="directed")
+
+
+def _profiles(t: Tables):
+    """Counts of each property value per user."""
+    return t.table("events").select(F.col("user_id").alias("node_id"), F.explode(F.from_json("props", "map<string,double>")).alias("k", "v")).groupBy(
+        "node_id", F.concat("k", F.lit("-"), F.col("v").cast("long").cast("string")).alias("key")).agg(F.count("*").cast("double").alias("w"))
+
+
+@query("profile_cosine_edges", "E44 ARR7", "src l, dst l, cos f6", _JSONVEC + _cosine_sql("<", _MUTUAL))
+def _(t):
+    # Property values are few and common, so most of the work takes the heavy-key path.
+    return graph.cosine_edges(_profiles(t), heavy=40, block_rows=64)
+
+
+REPORT = """SELECT COUNT(*) AS n_edges, COUNT(DISTINCT src) AS n_nodes, AVG(w) AS mean_w, round((SELECT AVG(k) FROM (SELECT COUNT(*) AS k FROM e GROUP BY src)), 1) AS degree_mean,
+    (SELECT MIN(k) FROM (SELECT COUNT(*) AS k FROM e GROUP BY src)) AS degree_min, (SELECT MAX(k) FROM (SELECT COUNT(*) AS k FROM e GROUP BY src)) AS degree_max FROM e"""
+
+
+@query("edge_report", "E45", "n_edges l, n_nodes l, mean_w f6, degree_mean f1, degree_min l, degree_max l", f"WITH e AS (SELECT * FROM {DIST}) {REPORT}")
+def _(t):
+    return graph.edge_report(_dist(t))
+
+
+@query("isolated_nodes", "E45", "n_nodes l, n_isolated l", f"""
+    SELECT COUNT(*) AS n_nodes, COUNT(*) FILTER (unit_id NOT IN (SELECT src FROM {DIST} UNION SELECT dst FROM {DIST})) AS n_isolated FROM unit_stats""")
+def _(t):
+    return graph.isolated_nodes(t.units.withColumnRenamed("unit_id", "node_id"), _dist(t))
+
+
+TOUCH = "(SELECT a.unit_id AS src, b.unit_id AS dst, 1.0::DOUBLE AS w FROM unit_stats a JOIN unit_stats b ON abs(a.gi - b.gi) <= 1 AND abs(a.gj - b.gj) <= 1 AND a.unit_id < b.unit_id)"
+
+
+@query("merged_edges", "E46", "src s, dst s, w f6", f"""
+    WITH u AS (SELECT least(src, dst) AS s, greatest(src, dst) AS d, AVG(w) AS w FROM (SELECT src, dst, w FROM {DIST} WHERE src < dst UNION ALL SELECT * FROM {TOUCH}) GROUP BY ALL)
+    SELECT s AS src, d AS dst, w FROM u UNION ALL SELECT d, s, w FROM u""")
+def _(t):
+    once = F.col("src") < F.col("dst")
+    return graph.merge_edges(_dist(t).filter(once), graph.contiguity_edges(t.units).filter(once).withColumn("w", F.lit(1.0)))
+
+
+@query("neighbor_features", "E47", "node_id s, n_poi_near f6, food_share_near f6", f"""
+    WITH s AS (SELECT src, dst, MAX(w) AS w FROM (SELECT src, dst, w FROM {DIST} UNION ALL SELECT dst, src, w FROM {DIST}) GROUP BY ALL
+               UNION ALL SELECT unit_id, unit_id, 1 FROM unit_stats), g AS (SELECT src, SUM(w) AS deg FROM s GROUP BY 1)
+    SELECT s.src AS node_id, SUM(s.w / sqrt(a.deg * b.deg) * f.n_poi) AS n_poi_near, SUM(s.w / sqrt(a.deg * b.deg) * f.n_food / f.n_poi) AS food_share_near
+    FROM s JOIN g a ON a.src = s.src JOIN g b ON b.src = s.dst JOIN unit_stats f ON f.unit_id = s.dst GROUP BY 1""")
+def _(t):
+    nodes = t.units.withColumnRenamed("unit_id", "node_id")
+    return graph.neighbor_features(nodes, graph.normalized_weights(nodes, _dist(t)), ["n_poi", "food_share"])
+
+
+@query("split_windows", "E48", "start_idx l, split s", """
+    WITH h AS (SELECT date_diff('day', DATE '1995-01-01', date) * 24 + hour AS i, CASE WHEN year(date) <= 1998 THEN 'train' WHEN year(date) = 1999 THEN 'val' ELSE 'test' END AS split
+               FROM all_days, all_hours), s AS (SELECT i AS start_idx FROM h WHERE i % 6 = 0 AND i + 47 <= (SELECT MAX(i) FROM h))
+    SELECT start_idx, MIN(split) AS split FROM s JOIN h ON h.i BETWEEN start_idx + 24 AND start_idx + 47 GROUP BY 1 HAVING COUNT(DISTINCT split) = 1""")
+def _(t):
+    hours = t.spine.select((F.datediff("date", F.lit("1995-01-01").cast("date")) * 24 + F.col("hour")).alias("hour_idx"), "split")
+    return graph.split_windows(hours)
+
+
+# -- scoring and search -----------------------------------------------------------------------------
+
+
+def _bodies(t: Tables):
+    """A JSON request per event; some are broken in known ways."""
+    e = t.table("events")
+    k, date = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd")
+    lat = F.lit(37.70) + (k * 7919 % 1400) / F.lit(10000.0)
+    lon = F.lit(-122.52) + (k * 104729 % 1700) / F.lit(10000.0)
+    body = (F.when(F.col("event_type") == "error", F.concat(F.lit('{"date": "'), date, F.lit('", "lat": "x", "lon": -122.4}')))
+            .when(F.col("event_type") == "signup", F.concat(F.lit('{"date": "'), date, F.lit('", "lat": 37.7, "lon": -122.4, "hours": [0, 23]}')))
+            .when(F.col("value") < 2, F.concat(F.lit('{"date": "'), date, F.lit('", "lat": 37.7, "lon": -122.4, "colour": 1}')))
+            .when(F.col("value") < 4, F.lit('{"lat": 37.7, "lon": -122.4}'))
+            .when(F.col("value") < 6, F.lit("not json"))
+            .otherwise(F.concat(F.lit('{"date": "'), date, F.lit('", "lat": '), F.format_string("%.4f", lat), F.lit(', "lon": '), F.format_string("%.4f", lon), F.lit("}"))))
+    return e.select("event_id", body.alias("body"))
+
+
+@query("request_validation", "E51", "reason s, n l", """
+    SELECT reason, COUNT(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'lat must be a number' WHEN event_type = 'signup' THEN 'hours must be the evening window'
+      WHEN value < 2 THEN 'unknown fields' WHEN value < 4 THEN 'date is required' WHEN value < 6 THEN 'body is not a JSON object'
+      WHEN CAST(ts AS DATE) > DATE '2024-01-30' THEN 'date outside the served window' ELSE 'accepted' END AS reason FROM events) GROUP BY 1""")
+def _(t):
+    good, bad = score.validate_requests(_bodies(t), "2024-01-01", "2024-01-30")
+    rows = good.select(F.lit("accepted").alias("reason")).unionByName(bad.select("reason"))
+    return rows.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def _served(t: Tables):
+    """January counterfactual levels of the grid units; every third day is an event."""
+    cells = panel.cell_hour(t.hour_fact, t.poi_cell, *JAN, hours=panel.EVENING)
+    cf = cells.join(t.units.select("unit_id", "dist_m"), "unit_id").withColumn("cf_log", F.log1p("person_hours"))
+    d = F.col("date")
+    cal = days.date_spine(t.spark, *JAN).select(d, (F.dayofmonth(d) % 3 == 0).alias("game_day"), F.when(F.dayofmonth(d) % 2 == 0, 30000.0).alias("attendance"),
+                                                F.when(F.dayofmonth(d) % 6 == 0, "night").otherwise("day").alias("day_night"))
+    return score.served_units(cf, cal, _fixed(t))
+
+
+_SERVED = f"""served AS (SELECT date, unit_id, any_value(band) AS band, SUM(lv) AS cf, SUM(lv * exp(eff)) AS game, SUM(lv * (exp(eff) - 1)) AS extra FROM (
+      SELECT c.date, c.unit_id, c.person_hours AS lv, u.band, CASE WHEN day(c.date) % 3 = 0 AND k.significant THEN .4 * exp(-u.dist_m / 900) + .01 + shift + adj + total - raw ELSE 0 END AS eff
+      FROM {CELL_HOUR} c JOIN (SELECT unit_id, dist_m, {BELOW} AS band FROM (SELECT unit_id, {FLAT} AS dist_m FROM unit_stats)) u USING (unit_id)
+      LEFT JOIN jan k ON k.date = c.date AND k.band = u.band WHERE c.hour BETWEEN 16 AND 23) GROUP BY ALL) """
+_JAN_TOTALS = _FIXED + """, jq AS (SELECT date, (COALESCE(CASE WHEN day(date) % 2 = 0 THEN 30000 END, 20000) - 20000) / 9000.0 AS z, CAST(day(date) % 6 = 0 AS INT) - 0.5 AS gap
+      FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS date) WHERE day(date) % 3 = 0),
+    jan AS (SELECT r.date, b.*, did_log + beta * z + gamma * gap AS raw, beta * z + gamma * gap AS adj,
+      CASE WHEN significant THEN MIN(CASE WHEN significant THEN did_log + beta * z + gamma * gap END) OVER (PARTITION BY r.date ORDER BY band) END AS total FROM jq r, bands b), """
+
+
+@query("band_responses", "E50 Q23", "date d, band s, cf f4, extra f4, lift_pct f3, n_units l", _JAN_TOTALS + _SERVED + """
+    SELECT date, band, SUM(cf) AS cf, SUM(extra) AS extra, round(100 * CASE WHEN SUM(cf) > 0 THEN SUM(game) / SUM(cf) - 1 ELSE 0 END, 3) AS lift_pct, COUNT(*) AS n_units FROM served GROUP BY ALL""")
+def _(t):
+    return score.band_response(_served(t))
+
+
+@query("scored_requests", "E50", "event_id l, date d, unit_id s, outside b, cf f2, extra f2, lift_pct f3, extra_within f2", _JAN_TOTALS + _SERVED + f"""
+    SELECT q.event_id, q.date, k.unit_id, k.unit_id IS NULL AS outside, COALESCE(round(s.cf, 2), 0) AS cf, COALESCE(round(s.extra, 2), 0) AS extra,
+           COALESCE(round(100 * CASE WHEN s.cf > 0 THEN s.game / s.cf - 1 ELSE 0 END, 3), 0) AS lift_pct, w.x AS extra_within
+    FROM (SELECT event_id, CAST(ts AS DATE) AS date, CAST(round(37.70::DOUBLE + (event_id * 7919 % 1400) / 10000::DOUBLE, 4) AS DOUBLE) AS lat,
+            CAST(round(-122.52::DOUBLE + (event_id * 104729 % 1700) / 10000::DOUBLE, 4) AS DOUBLE) AS lon FROM events
+          WHERE event_type NOT IN ('error', 'signup') AND value >= 6) q
+    LEFT JOIN LATERAL (SELECT unit_id FROM (SELECT u.unit_id, sqrt(pow((q.lat - u.lat) * 111320, 2) + pow((q.lon - u.lon) * 111320 * cos(radians(u.lat)), 2)) AS d,
+          u.gi = floor(q.lat / {STEP[0]}::DOUBLE) AND u.gj = floor(q.lon / {STEP[1]}::DOUBLE) AS own FROM unit_stats u) WHERE own OR d <= 400 ORDER BY own DESC, d, unit_id LIMIT 1) k ON TRUE
+    LEFT JOIN served s ON s.date = q.date AND s.unit_id = k.unit_id
+    JOIN (SELECT date, round(SUM(CASE WHEN band IN ('b1', 'b2', 'b3', 'b4') THEN extra ELSE 0 END), 2) AS x FROM served GROUP BY 1) w ON w.date = q.date""")
+def _(t):
+    good, _bad = score.validate_requests(_bodies(t), *JAN)
+    return score.score_requests(good.select("event_id", "date", "lat", "lon"), _served(t), t.units, STEP)
+
+
+@query("place_search", "E52", "query s, rank l, score l, name s, address s", """
+    WITH places AS (SELECT DISTINCT p_name AS name, CAST(p_size AS VARCHAR) || ' ' || p_brand || ' Street' AS address FROM part),
+      docs AS (SELECT name, address, list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: w <> '') AS n,
+                 list_transform(list_filter(string_split_regex(lower(address), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: CASE w WHEN 'street' THEN 'st' ELSE w END) AS a FROM places),
+      asked AS (SELECT DISTINCT lower(substr(string_split(p_name, ' ')[2], 1, 4) || ' ' || CAST(p_size AS VARCHAR) || ' street San Francisco CA') AS query,
+                  [substr(string_split(p_name, ' ')[2], 1, 4), CAST(p_size AS VARCHAR), 'st'] AS toks FROM part)
+    SELECT query, row_number() OVER (PARTITION BY query ORDER BY score, lower(name), name, address) AS rank, score, name, address FROM (
+      SELECT query, name, address, 4 AS score FROM asked JOIN docs ON len(list_filter(toks, lambda k: len(list_filter(list_concat(n, a), lambda w: starts_with(w, k))) = 0)) = 0) QUALIFY rank <= 8""")
+def _(t):
+    return places.search_places(t.place_queries, t.place_index)
+
+

@@ -55,13 +55,14 @@ def query(name: str, ids: str, columns: str, sql: str | None = None):
 def needed_ctes(sql: str) -> list[str]:
     """Stand-in tables the SQL names, dependencies first."""
     order: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for word in dict.fromkeys(re.findall(r"\w+", text)):
-            if word in CTES and word not in order:
+            if word in CTES and word not in seen:
+                seen.add(word)
                 visit(CTES[word])
-                if word not in order:
-                    order.append(word)
+                order.append(word)
 
     visit(sql)
     return order
