@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, geo
 from ..functions.stats import weighted_mean
+from ..session import durable_table
 from .bootstrap import bootstrap_did, bootstrap_matched, draw_days
 from .panel import EVENING
 from .reshape import to_wide
@@ -214,17 +215,21 @@ def suppress(bands: DataFrame) -> DataFrame:
 
 def estimate_effects(resid: DataFrame, events: DataFrame, uppers: Sequence[float] = geo.CANONICAL_BANDS_M,
                      n_draws: int = 1000, seed: int = 0) -> dict[str, DataFrame]:
-    """Bands, decay, response, centre and strata coverage from evening residuals."""
+    """Bands, decay, response, centre and strata coverage from evening residuals.
+
+    The day-level tables feed several estimators each, so they are written once;
+    their size is bounded by dates x bands and dates x units.
+    """
     treated, control = F.col("game_day"), F.col("is_control") & ~F.col("game_day")
     band = geo.band_below(F.col("dist_m"), uppers)
-    dayband, dayunit = day_means(resid, band), day_means(resid, F.col("unit_id"), "unit_id")
-    weights = activity_weights(resid)
+    dayband, dayunit = durable_table(day_means(resid, band)), day_means(resid, F.col("unit_id"), "unit_id")
+    weights = durable_table(activity_weights(resid))
     point = did_matched(dayband, treated, control)
-    decay = fit_decay(did_matched(dayunit, treated, control, "unit_id"), weights)
+    decay = durable_table(fit_decay(did_matched(durable_table(dayunit), treated, control, "unit_id"), weights))
     shifts = band_shifts(decay, point, weights, band)
     ci = bootstrap_matched(with_strata(dayband), treated, control, STRATA, n_draws, seed)
-    bands = suppress(shifts.join(ci.select("band", "lo", "hi"), "band", "left"))
-    per_event = event_effects(dayband, treated, control, events)
+    bands = durable_table(suppress(shifts.join(ci.select("band", "lo", "hi"), "band", "left")))
+    per_event = durable_table(event_effects(dayband, treated, control, events))
     return {"bands": bands, "decay": decay, "response": attendance_response(per_event, bands, n_draws, seed),
             "center": response_center(per_event), "coverage": strata_coverage(dayband, treated, control)}
 

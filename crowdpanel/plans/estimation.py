@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, geo
 from ..operators import bootstrap, controls, days, disagg, effects, graph, model, panel, places, score, uplift
+from ..session import durable_table
 from .panels import CELL_HOUR, JAN
 from .registry import query
 from .relational import FLAT
@@ -303,8 +304,7 @@ FEATURES = ("unit_code", "hour", "dow", "month", "t_index", "base_k2", "base_k4"
 
 @query("counterfactual_fit", "E16 E17 E20", "split s, n l, mae f4, rmse f4, bias f4, r2 f4")
 def _(t):
-    from ..session import reliable_checkpoint
-    rows = reliable_checkpoint(_frame(t).select("unit_id", "date", "split", "is_control", "y", *FEATURES))
+    rows = durable_table(_frame(t).select("unit_id", "date", "split", "is_control", "y", *FEATURES))
     fitted = model.fit_counterfactual(rows.filter("split = 'train'"), FEATURES, trees=5, depth=4, bins=64)
     return model.scores(model.predict_cf(fitted, rows.filter("is_control"), FEATURES), F.col("y"), F.col("cf_log"), ["split"])
 
@@ -477,7 +477,7 @@ def _(t):
 
 @query("attendance_response", "E31", "band s, alpha f6, beta f6, gamma f6, n_events l")
 def _(t):
-    per = effects.event_effects(_canonical(t), _treated(), _control(), _schedule(t))
+    per = durable_table(effects.event_effects(_canonical(t), _treated(), _control(), _schedule(t)))
     sure = per.select("band", F.lit(True).alias("significant")).distinct()
     return effects.attendance_response(per, sure, n_draws=100)
 

@@ -21,7 +21,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
-        df = self.build(Tables(spark, folder))
+        df = self.build(shared_tables(spark, folder))
         return df.select(*[_spark_cast(n, k) for n, k in self.columns])
 
     def oracle(self) -> str | None:
@@ -34,6 +34,15 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+_TABLES: dict[tuple[str, int, str], Tables] = {}
+
+
+def shared_tables(spark: SparkSession, folder: str) -> Tables:
+    """One set of stand-ins per application, session and folder."""
+    key = (spark.sparkContext.applicationId, id(spark), folder)
+    if key not in _TABLES:
+        _TABLES[key] = Tables(spark, folder)
+    return _TABLES[key]
 
 
 def query(name: str, ids: str, columns: str, sql: str | None = None):

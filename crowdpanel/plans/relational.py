@@ -300,7 +300,7 @@ def _(t):
 
 @query("dense_ring_spine", "J4 P18", "ring_id l, date d, hour l, visitor_hours l, cents l", "SELECT * FROM ring_hour")
 def _(t):
-    return t.ring_hour
+    return t.ring_hour_plan
 
 
 @query("events_around_start", "J5", "date d, relative_hour l, ts t, n l", """

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, geo
 from ..operators import days as cal
-from ..operators import model, panel, unpack
+from ..operators import model, panel, spatial, unpack
+from ..session import durable_table
 
 # The wider grid gives test-sized data cells with ten places.
 STEP = (0.0225, 0.0284)
@@ -28,7 +29,11 @@ CONTROL = "is_control"
 
 
 class Tables:
-    """The shared tables of one folder and the stand-ins built on them."""
+    """The shared tables of one folder and the stand-ins built on them.
+
+    Stand-ins that a pipeline would land as tables (weekly patterns, games,
+    calendar, hourly panel, residuals) are written once per session.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -70,21 +75,18 @@ class Tables:
             F.sum("visits").alias("visit_counts"))
         daily = unpack.pack_weeks(self.day_fact.withColumn("hour", F.lit(0)), 7, "visits").withColumnRenamed("packed", "packed_days")
         rows = hours.join(daily, ["poi_id", "week_start"]).join(week, ["poi_id", "week_start"]).join(self.poi, "poi_id")
-        return rows.withColumn("packed_hours", F.when(F.col("has_hourly"), F.col("all_hours")))
+        return durable_table(rows.withColumn("packed_hours", F.when(F.col("has_hourly"), F.col("all_hours"))))
 
     @cached_property
     def assigned(self) -> DataFrame:
-        from ..operators import spatial
         return spatial.assign_cells(self.poi, STEP, BOX)
 
     @cached_property
     def units(self) -> DataFrame:
-        from ..operators import spatial
         return spatial.grid_units(self.assigned, 10)
 
     @cached_property
     def poi_cell(self) -> DataFrame:
-        from ..operators import spatial
         return spatial.poi_cell(self.assigned, self.units)
 
     # -- orders: regions as rings, nations as units -----------------------------
@@ -115,17 +117,21 @@ class Tables:
                                         F.lit(geo.VENUE[1]).alias("lon"))
         return n.withColumn("dist_m", geo.flat_distance("lat", "lon", *geo.VENUE))
 
-    @cached_property
-    def ring_hour(self) -> DataFrame:
+    @property
+    def ring_hour_plan(self) -> DataFrame:
         """Dense ring x date x hour panel of orders."""
         return panel.dense_hours(self.sales, self.rings, ["ring_id"], *YEARS,
                                  {"visitor_hours": F.lit(1), "cents": F.col("cents")})
 
+    @cached_property
+    def ring_hour(self) -> DataFrame:
+        return durable_table(self.ring_hour_plan)
+
     # -- calendar -----------------------------------------------------------------
 
     @cached_property
     def day_counts(self) -> DataFrame:
-        return self.table("orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("n"))
+        return durable_table(self.table("orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("n")))
 
     @cached_property
     def games(self) -> DataFrame:
@@ -137,11 +143,11 @@ class Tables:
             F.min("o_orderpriority").alias("opponent"))
         month, hour = F.month("date"), (F.lit(12) + F.col("n") % 8)
         unplayed = (F.year("date") == 2001) & (month >= 6)
-        return g.select(
+        return durable_table(g.select(
             "date", "game_no", F.when(month == 2, "S").when(month == 10, "D").otherwise("R").alias("game_type"),
             F.when(F.col("doy") % 35 == 0, "Postponed").otherwise("Final").alias("status"),
             F.when(~unplayed, F.col("cents") % 40000).alias("attendance"), hour.cast("int").alias("first_hour"),
-            F.when(hour >= 17, "night").otherwise("day").alias("day_night"), "opponent")
+            F.when(hour >= 17, "night").otherwise("day").alias("day_night"), "opponent"))
 
     def _every(self, n: int) -> DataFrame:
         return self.day_counts.filter(F.dayofyear("date") % n == 0)
@@ -167,9 +173,13 @@ class Tables:
                 cal.event_details(self.rival_events, "detail", "rival_event"), conv, city,
                 cal.event_details(named(50, "fair "), "event", "fair_event")]
 
+    @property
+    def calendar_plan(self) -> DataFrame:
+        return cal.calendar_day(cal.date_spine(self.spark, *YEARS), self.games, self.details)
+
     @cached_property
     def calendar(self) -> DataFrame:
-        return cal.calendar_day(cal.date_spine(self.spark, *YEARS), self.games, self.details)
+        return durable_table(self.calendar_plan)
 
     @cached_property
     def ring_panel(self) -> DataFrame:
@@ -198,6 +208,10 @@ class Tables:
 
     @cached_property
     def unit_evening(self) -> DataFrame:
+        return durable_table(self.unit_evening_plan)
+
+    @property
+    def unit_evening_plan(self) -> DataFrame:
         """Dense nation x date x evening hour with flags, y and distance."""
         dense = panel.dense_hours(self.sales, self.nations.select("unit_id"), ["unit_id"], *YEARS,
                                   {"person_hours": F.lit(1)}, panel.EVENING)
@@ -211,7 +225,7 @@ class Tables:
         """Evening rows with the control hour-of-week mean as counterfactual."""
         rows = self.unit_evening
         out = model.how_baselines(rows.filter(CONTROL), rows).withColumnRenamed("how_unit", "cf_log")
-        return out.withColumn("resid", F.col("y") - F.col("cf_log"))
+        return durable_table(out.withColumn("resid", F.col("y") - F.col("cf_log")))
 
     # -- quarterly totals and their daily indicator -----------------------------------
 
