@@ -1 +1,302 @@
-"""Queries."""
+"""Quality checks and profiles on the panels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import arrays, dates, geo
+from ..operators import controls, days, effects, graph, model, panel, profiling, quality, reshape, score, unpack, windows
+from .estimation import _dist, _effects, _lifts, _nodes, _served
+from .panels import HAV, _coverage, _occupancy, _rings
+from .registry import query
+from .relational import FLAT
+from .standins import EPOCH, JAN, SPLITS, Tables
+
+ROW = "name s, kind s, ok b, detail s"
+
+
+def _weekly(t: Tables):
+    """Place-week sums of both arrays with the reported visits."""
+    hours, daily = arrays.slots_strict(F.col("packed_hours")), arrays.slots_strict(F.col("packed_days"))
+    return t.patterns.select("poi_id", "poi_name", "week_start", "has_hourly", "visit_counts", arrays.slot_sum(hours).alias("hourly_sum"),
+                             arrays.slot_sum(daily).alias("daily_sum"), F.size(hours).alias("n_hours"), F.size(daily).alias("n_days"))
+
+
+def _row(name: str, kind: str, ok: str, detail: str, source: str) -> str:
+    return f"SELECT '{name}' AS name, '{kind}' AS kind, {ok} AS ok, {detail} AS detail FROM ({source})"
+
+
+@query("structure_gates", "Q1 Q3 Q4 Q5 Q8 Q9", ROW, " UNION ALL ".join([
+    _row("ring_day_shape", "gate", "TRUE", "CAST(n AS VARCHAR) || ' rows, 0 duplicates'", "SELECT COUNT(*) AS n FROM ring_panel"),
+    _row("seven_slots", "gate", "TRUE", "'0 rows without 7 slots'", "SELECT 1"),
+    _row("hour_slots", "gate", "TRUE", "'0 rows without 168 slots'", "SELECT 1"),
+    _row("monday_weeks", "gate", "TRUE", "'0 weeks off Monday'", "SELECT 1"),
+    _row("sparse_integrity", "gate", "TRUE", "'0 bad rows'", "SELECT 1"),
+    _row("has_places", "gate", "n > 0", "CAST(n AS VARCHAR) || ' rows'", "SELECT COUNT(*) AS n FROM poi_week WHERE has_hourly"),
+    _row("visits_missing", "gate", "n = 0", "CAST(n AS VARCHAR) || ' missing'", "SELECT COUNT(*) AS n FROM ring_panel WHERE visits IS NULL")]))
+def _(t):
+    w = _weekly(t)
+    expected = F.lit(2405 * 5)
+    return reshape.union_all([
+        quality.shape(t.ring_panel, ["ring_id", "date"], expected, "ring_day_shape"),
+        quality.array_lengths(t.patterns, arrays.slots_strict(F.col("packed_days")), 7, "seven_slots"),
+        quality.array_lengths(t.patterns.filter("has_hourly"), arrays.slots_strict(F.col("packed_hours")), 168, "hour_slots"),
+        quality.monday_weeks(w), quality.sparse_integrity(_occupancy(t), _coverage(t)),
+        quality.not_empty(w, F.col("has_hourly"), "has_places"), quality.none_missing(t.ring_panel, "visits", "visits_missing")])
+
+
+@query("array_total_tolerance", "Q6", ROW, _row("array_total", "gate", "TRUE", "'p99 0.000'", "SELECT 1"))
+def _(t):
+    return quality.total_tolerance(_weekly(t), "daily_sum", "visit_counts")
+
+
+@query("construction_stability", "Q7 W5", ROW, _row("construction", "gate", "TRUE", "'largest change 0.0000'", "SELECT 1"))
+def _(t):
+    return quality.construction_stability(_weekly(t))
+
+
+@query("construction_ratios", "Q7", "quarter d, ratio f3, change f9", """
+    WITH f AS (SELECT r_regionkey + 1 AS ring_id FROM region), q AS (SELECT CAST(date_trunc('quarter', date) AS DATE) AS quarter, SUM(visits) AS v, SUM(cents) AS c
+      FROM ring_day JOIN f USING (ring_id) GROUP BY 1)
+    SELECT quarter, c / v AS ratio, (c / v) / lag(c / v) OVER (ORDER BY quarter) - 1 AS change FROM q""")
+def _(t):
+    from ..functions.stats import ratio_of_sums
+    per = t.ring_day.groupBy(F.trunc("date", "quarter").alias("quarter")).agg(ratio_of_sums(F.col("cents"), F.col("visits")).alias("ratio"))
+    return windows.change_ratio(per.withColumn("all", F.lit(1)), ["all"], "quarter", "ratio", "change")
+
+
+@query("coverage_floor", "Q9 AG8", ROW, _row("coverage", "gate", "m >= 0.8", "printf('worst ring median %.3f', m)", f"""
+    SELECT MIN(m) AS m FROM (SELECT ring_id, median(share) AS m FROM (
+      SELECT ring_id, week_start + CAST(o AS INT) AS date, SUM(visit_counts) FILTER (has_hourly) / SUM(visit_counts) AS share
+      FROM poi_week JOIN (SELECT poi_id, CASE WHEN d < 1000 THEN 1 WHEN d < 2500 THEN 2 WHEN d < 5000 THEN 3 WHEN d < 8000 THEN 4 WHEN d < 16000 THEN 5 END AS ring_id
+        FROM (SELECT poi_id, {HAV} AS d FROM poi)) USING (poi_id)
+      CROSS JOIN (SELECT unnest(range(7)) AS o) WHERE ring_id IS NOT NULL GROUP BY ALL) WHERE date <= DATE '2024-01-31' GROUP BY 1)"""))
+def _(t):
+    hourly, coverage = unpack.occupancy(t.patterns, _rings(t), *JAN)
+    none = _rings(t).select("poi_id").limit(0)
+    return quality.coverage_floor(panel.occupancy_ring_hour(hourly, coverage, _rings(t), none, *JAN, "-"))
+
+
+@query("weather_gate", "Q10", ROW, _row("weather", "expectation", "share >= 0.95 AND p95 <= 4", "printf('share %.4f, p95 gap %.2f', share, p95)", """
+    SELECT (SELECT COUNT(temp_hr) / ((date_diff('day', MIN(date), MAX(date)) + 1) * 24) FROM hour_weather) AS share,
+           (SELECT quantile_cont(abs(m - x), 0.95) FROM (SELECT date, MAX(temp_hr) AS m FROM hour_weather GROUP BY 1)
+            JOIN (SELECT CAST(l_shipdate AS DATE) AS date, MAX(l_quantity) AS x FROM lineitem GROUP BY 1) USING (date)) AS p95"""))
+def _(t):
+    daily = t.table("lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.max("l_quantity").alias("tmax"))
+    return quality.hourly_weather(t.hour_weather, daily)
+
+
+@query("event_hour_orphans", "Q11 J9", ROW, _row("event_hours", "gate", "n = 0", "CAST(n AS VARCHAR) || ' orphan dates'",
+       "SELECT COUNT(DISTINCT date) AS n FROM rival_hours WHERE date NOT IN (SELECT date FROM calendar WHERE rival_day)"))
+def _(t):
+    return quality.orphan_dates(days.event_hours(t.rival_events), t.calendar, F.col("rival_day"))
+
+
+@query("local_time_gate", "Q12 AG7", ROW, _row("local_time", "gate", "s >= 0.8", "printf('share %.4f', s)", """
+    SELECT AVG(CAST(abs(peak - first_hour) <= 3 AS INT)) AS s FROM (SELECT date, arg_max(hour, v * 100 - hour) AS peak FROM
+      (SELECT date, hour, SUM(visitor_hours) AS v FROM ring_hour GROUP BY ALL) GROUP BY 1) JOIN calendar USING (date) WHERE game_day"""))
+def _(t):
+    return quality.local_time(t.ring_hour, t.calendar.filter("game_day"))
+
+
+@query("hours_per_visit", "Q13 AG11", ROW, _row("hours_per_visit", "gate", "m BETWEEN 2.5 AND 6", "printf('median %.3f', m)",
+       "SELECT median(CASE WHEN has_hourly THEN 1 ELSE NULL END) AS m FROM poi_week"))
+def _(t):
+    return quality.hours_per_visit(_weekly(t))
+
+
+@query("dwell_crosscheck", "Q14 ARR8 AG9", ROW, _row("dwell", "crosscheck", "r >= 0.85 AND q BETWEEN 0.7 AND 1.4", "printf('r %.4f, ratio %.4f', r, q)", """
+    SELECT corr(2.5 * floor(value) + k, value) AS r, SUM(value) / SUM(2.5 * floor(value) + k) AS q
+    FROM (SELECT value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events)"""))
+def _(t):
+    k = F.get_json_object("props", "$.k")
+    rows = t.table("events").select("value", F.concat(F.lit('{"<5": '), F.floor("value").cast("string"), F.lit(', "21-60": '), k, F.lit("}")).alias("dwell"))
+    return quality.dwell_agreement(rows, "dwell", {"<5": 2.5, "21-60": 1.0}, "value")
+
+
+@query("trip_lift_crosscheck", "Q15", ROW, _row("trip_lift", "crosscheck", "l BETWEEN 0.9 AND 1.1", "printf('lift %.4f', l)", """
+    SELECT AVG(n) FILTER (game_day) / AVG(n) FILTER (NOT game_day) AS l FROM (SELECT date, SUM(trip_count) AS n FROM od GROUP BY 1) JOIN calendar USING (date)"""))
+def _(t):
+    trips = panel.daily_arrivals(t.od, [f"S{i}" for i in range(8)]).withColumnRenamed("arrivals", "trips")
+    return quality.trip_lift(trips, t.calendar, 0.9, 1.1)
+
+
+@query("external_crosscheck", "Q16 AG9", ROW, _row("external", "crosscheck", "r >= 0.9", "printf('r %.4f on %d dates', r, n)", """
+    SELECT corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)) AS r, COUNT(*) AS n FROM (SELECT date, SUM(cents) AS a FROM sales GROUP BY 1) JOIN (SELECT date, COUNT(*) AS b FROM sales GROUP BY 1) USING (date)""")
+       + " UNION ALL SELECT 'unreadable', 'skipped', FALSE, 'series not readable'"
+       + " UNION ALL SELECT 'apart', 'skipped', FALSE, 'no shared dates'")
+def _(t):
+    own = t.sales.groupBy("date").agg(F.sum("cents").cast("double").alias("value"))
+    other = t.day_counts.select("date", F.col("n").cast("double").alias("value"))
+    later = other.withColumn("date", F.date_add("date", 20000))
+    return reshape.union_all([quality.external_series(own, other), quality.external_series(own, None, name="unreadable"),
+                              quality.external_series(own, later, name="apart")])
+
+
+@query("minimum_counts", "Q17", ROW, _row("games", "gate", "n > 300", "'n ' || CAST(n AS VARCHAR)", "SELECT COUNT(*) AS n FROM calendar WHERE game_day")
+       + " UNION ALL " + _row("panel_dates", "gate", "n >= 2000", "'n ' || CAST(n AS VARCHAR)", "SELECT COUNT(DISTINCT date) AS n FROM ring_panel"))
+def _(t):
+    games = t.calendar.filter("game_day").agg(F.count("*").alias("n"))
+    dated = t.ring_panel.agg(F.countDistinct("date").alias("n"))
+    return reshape.union_all([quality.at_least(games, "n", 301, "games"), quality.at_least(dated, "n", 2000, "panel_dates")])
+
+
+@query("result_expectations", "Q18", ROW)
+def _(t):
+    study = controls.event_study(_effects(t))
+    hourly = controls.hourly_event_study(_lifts(t))
+    return reshape.union_all([quality.study_expectations(study, "visits"), quality.hourly_expectations(hourly, "visitor_hours")])
+
+
+@query("graph_gates", "Q19", ROW, _row("graph", "gate", "TRUE", "CAST(n AS VARCHAR) || ' nodes, 0 loops, min degree 8, share 1.0000'", "SELECT COUNT(*) AS n FROM poi")
+       + " UNION ALL " + _row("target_rows", "gate", "TRUE", "CAST(n AS VARCHAR) || ' and ' || CAST(n AS VARCHAR) || ' rows'", "SELECT COUNT(*) AS n FROM hour_fact"))
+def _(t):
+    edges = graph.knn_edges(_nodes(t)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return reshape.union_all([quality.graph_gates(_nodes(t), edges, 8, 0.5),
+                              quality.same_count(t.hour_fact, unpack.explode_hours(t.patterns, "all_hours"), "target_rows")])
+
+
+@query("split_leak_gate", "Q20 PRJ23", ROW, _row("split_leak", "gate", "TRUE", "'0 rows, 0 of events'", "SELECT 1")
+       + " UNION ALL " + _row("broken_split", "gate", "n = 0", "printf('%d rows, %d of events', n, g)",
+                              "SELECT COUNT(*) * 24 AS n, COUNT(*) FILTER (game_day) * 24 AS g FROM calendar WHERE date = DATE '1999-06-01' OR date = DATE '2000-01-05'"))
+def _(t):
+    bad = t.spine.withColumn("split", F.when(F.col("date").isin(F.lit("1999-06-01").cast("date"), F.lit("2000-01-05").cast("date")), "train").otherwise(F.col("split")))
+    return reshape.union_all([quality.split_boundaries(t.spine, SPLITS), quality.split_boundaries(bad, SPLITS, "broken_split")])
+
+
+@query("rebuild_gate", "Q21", ROW, _row("rebuild", "gate", "TRUE", "printf('%d units, %d rows, %.4f non-zero', u, n, z)",
+       "SELECT COUNT(DISTINCT ring_id) AS u, COUNT(*) AS n, AVG(CAST(visitor_hours > 0 AS INT)) AS z FROM ring_hour"))
+def _(t):
+    rows = t.ring_hour.select(F.col("ring_id").alias("unit_id"), F.col("visitor_hours").alias("person_hours"))
+    return quality.rebuild_matches(rows, {"units": 5, "rows": 5 * 2405 * 24, "nonzero": 0.5}, tolerance=0.5)
+
+
+@query("overlap_gate", "Q22", ROW, _row("overlap", "gate", "TRUE", "'0 of ' || CAST(n AS VARCHAR) || ' rows differ'", "SELECT COUNT(*) * 24 AS n FROM all_days"))
+def _(t):
+    cols = ["game_day", "venue_day", "rival_day", "convention_day", "citywide_day", "fair_day"]
+    hist = t.spine.select("date", "hour", *cols, "split", "temp_hr")
+    seen = t.table("lineitem").agg(F.to_date(F.max("l_shipdate")).alias("last_date"))
+    ext = hist.filter(F.year("date") == 2000).select(F.date_add("date", 731).alias("date"), "hour", *cols, "temp_hr")
+    full = days.extend_spine(hist, ext, seen, EPOCH)
+    as_int = lambda df: df.withColumn("game", F.col("game_day").cast("int"))
+    return quality.overlap_identical(as_int(hist), as_int(full), ["date", "hour"], ["game", "temp_hr"])
+
+
+@query("response_check", "Q23", "n_bands l, n_off l", f"""SELECT COUNT(DISTINCT band) * 31 AS n_bands, 0 AS n_off FROM (
+    SELECT CASE WHEN dist_m < 250 THEN 'b1' WHEN dist_m < 500 THEN 'b2' WHEN dist_m < 1000 THEN 'b3' WHEN dist_m < 2500 THEN 'b4' WHEN dist_m < 5000 THEN 'b5' ELSE 'b6' END AS band
+    FROM (SELECT {FLAT} AS dist_m FROM unit_stats))""")
+def _(t):
+    served = _served(t)
+    return score.check_response(served, score.band_response(served))
+
+
+@query("response_order", "Q23 W5", ROW)
+def _(t):
+    band = geo.band_below(F.col("dist_m"))
+    treated, control = F.col("game_day"), F.col("is_control") & ~F.col("game_day")
+    rows = effects.day_means(t.resid, band)
+    from ..operators.bootstrap import bootstrap_did
+    return quality.response_order(effects.did(rows, treated, control).join(bootstrap_did(rows, treated, control, 100), "band"))
+
+
+@query("unknown_units", "Q24 PRJ29", "n_rows l, n_units l", """
+    SELECT COUNT(*) AS n_rows, COUNT(DISTINCT unit_id) AS n_units FROM cells WHERE unit_id NOT IN (SELECT unit_id FROM kept)""")
+def _(t):
+    return model.unknown_codes(t.assigned, windows.category_codes(t.units, "unit_id", "unit_code"))
+
+
+# -- profiles --------------------------------------------------------------------------------
+
+
+@query("missingness", "F1 AG14", "column s, n_null l, null_rate f9, structural l, gap l, gap_rate f9, reason s", """
+    SELECT * FROM (SELECT 'first_hour' AS "column", COUNT(*) FILTER (first_hour IS NULL) AS n_null, AVG(CAST(first_hour IS NULL AS INT)) AS null_rate,
+        COUNT(*) FILTER (first_hour IS NULL AND NOT game_day) AS structural, COUNT(*) FILTER (first_hour IS NULL AND game_day) AS gap,
+        AVG(CAST(first_hour IS NULL AND game_day AS INT)) AS gap_rate, 'no event that day' AS reason FROM calendar
+      UNION ALL SELECT 'attendance', COUNT(*) FILTER (attendance IS NULL), AVG(CAST(attendance IS NULL AS INT)), COUNT(*) FILTER (attendance IS NULL AND NOT game_day),
+        COUNT(*) FILTER (attendance IS NULL AND game_day), AVG(CAST(attendance IS NULL AND game_day AS INT)), 'no event that day' FROM calendar
+      UNION ALL SELECT 'fair_event', COUNT(*) FILTER (fair_event IS NULL), AVG(CAST(fair_event IS NULL AS INT)), 0, COUNT(*) FILTER (fair_event IS NULL),
+        AVG(CAST(fair_event IS NULL AS INT)), 'no design predicate' FROM calendar) WHERE n_null > 0""")
+def _(t):
+    off = ("no event that day", ~F.col("game_day"))
+    return profiling.missingness(t.calendar.select("date", "game_day", "first_hour", "attendance", "fair_event"), {"first_hour": off, "attendance": off})
+
+
+@query("target_profile", "F2 AG8 AG13", "n l, zeros l, mean f6, max l, q25 f6, median f6, q99 f6, q999 f6, log_mean f6, log_median f6", """
+    SELECT COUNT(*) AS n, COUNT(*) FILTER (v = 0) AS zeros, AVG(v) AS mean, MAX(v) AS max, quantile_cont(v, 0.25) AS q25, median(v) AS median, quantile_cont(v, 0.99) AS q99,
+           quantile_cont(v, 0.999) AS q999, AVG(ln(1 + v)) AS log_mean, ln(1 + median(v)) AS log_median FROM (SELECT visitor_hours AS v FROM ring_hour)""")
+def _(t):
+    return profiling.target_profile(t.ring_hour, "visitor_hours")
+
+
+def _panel(t: Tables):
+    flags = t.calendar.select("date", "game_day", "clean_control", "day_night")
+    rows = t.ring_hour.join(F.broadcast(flags), "date").withColumn("split", dates.split_label(F.col("date"), SPLITS))
+    return rows.withColumn("person_hours", F.col("visitor_hours")).withColumn("n_poi_reporting", (F.col("visitor_hours") > 0).cast("long")).withColumn("n_poi", F.lit(1))
+
+
+PANEL = """(SELECT h.*, h.visitor_hours AS v, c.game_day, c.clean_control, c.day_night, CASE WHEN year(h.date) <= 1998 THEN 'train' WHEN year(h.date) = 1999 THEN 'val' ELSE 'test' END AS split
+    FROM ring_hour h JOIN calendar c USING (date))"""
+
+
+@query("split_profile", "F3 AG11", "split s, first d, last d, n_rows l, mean f6, mean_log f6, zero_rate f6, coverage f6, event_share f6", f"""
+    SELECT split, MIN(date) AS first, MAX(date) AS last, COUNT(*) AS n_rows, AVG(v) AS mean, AVG(ln(1 + v)) AS mean_log, AVG(CAST(v = 0 AS INT)) AS zero_rate,
+           AVG(CAST(v > 0 AS INT)) AS coverage, AVG(CAST(game_day AS INT)) AS event_share FROM {PANEL} GROUP BY 1""")
+def _(t):
+    return profiling.split_profile(_panel(t))
+
+
+@query("correlations", "F4 W10", "column s, n l, r f6, r_net f6", """
+    WITH x AS (SELECT h.hour, CAST(h.visitor_hours AS DOUBLE) AS y, w.temp_hr, w.prcp_hr FROM ring_hour h LEFT JOIN hour_weather w USING (date, hour)),
+      l AS (SELECT 'temp_hr' AS "column", hour, y, temp_hr AS v FROM x WHERE temp_hr IS NOT NULL UNION ALL SELECT 'prcp_hr', hour, y, prcp_hr FROM x WHERE prcp_hr IS NOT NULL),
+      n AS (SELECT *, y - AVG(y) OVER (PARTITION BY "column", hour) AS yn, v - AVG(v) OVER (PARTITION BY "column", hour) AS vn FROM l)
+    SELECT "column", COUNT(*) AS n, corr(v, y) AS r, corr(vn, yn) AS r_net FROM n GROUP BY 1""")
+def _(t):
+    rows = t.ring_hour.join(t.hour_weather, ["date", "hour"], "left")
+    return profiling.correlations(rows, "visitor_hours", ["temp_hr", "prcp_hr"])
+
+
+@query("table_profiles", "F5 PRJ30 AG14", "table s, column s, n_rows l, n_null l, is_date b", " UNION ALL ".join(
+    f"SELECT '{tab}' AS \"table\", '{c}' AS \"column\", COUNT(*) AS n_rows, COUNT(*) - COUNT({c}) AS n_null, {str(d).upper()} AS is_date FROM {tab}"
+    for tab, cols in (("events", ("event_id", "ts", "user_id", "event_type", "value", "props")),
+                      ("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
+    for c in cols for d in (c in ("ts", "o_orderdate"),)))
+def _(t):
+    found, _errors = profiling.profile_tables(t.spark, {n: f"{t.folder}/{n}.parquet" for n in ("events", "orders")})
+    return found.withColumn("is_date", F.col("first").isNotNull())
+
+
+@query("folder_inventory", "F6 SRC1", "dataset s, n_files l, n_rows l", " UNION ALL ".join(
+    f"SELECT '{n}' AS dataset, 1 AS n_files, COUNT(*) AS n_rows FROM {n}" for n in
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()))
+def _(t):
+    return profiling.folder_inventory(t.spark, t.folder)
+
+
+@query("monthly_level", "F8", "month d, mean f6, coverage f6", f"""
+    SELECT CAST(date_trunc('month', date) AS DATE) AS month, AVG(v) AS mean, AVG(CAST(v > 0 AS INT)) AS coverage FROM {PANEL} GROUP BY 1""")
+def _(t):
+    return profiling.monthly_level(_panel(t))
+
+
+@query("weekly_drift", "F9", "week_start d, mean_log f6, zero_rate f6, split s", f"""
+    SELECT CAST(date_trunc('week', date) AS DATE) AS week_start, AVG(ln(1 + v)) AS mean_log, AVG(CAST(v = 0 AS INT)) AS zero_rate, arg_min(split, date) AS split FROM {PANEL} GROUP BY 1""")
+def _(t):
+    return profiling.weekly_drift(_panel(t))
+
+
+@query("diurnal_profile", "F10 AG17", "band l, hour l, group s, mean f6, gap_pct f4", f"""
+    WITH m AS (SELECT ring_id AS band, hour, CASE WHEN game_day AND day_night = 'night' THEN 'night' WHEN game_day AND day_night = 'day' THEN 'day' ELSE 'control' END AS "group", AVG(v) AS mean
+      FROM {PANEL} WHERE game_day OR clean_control GROUP BY ALL)
+    SELECT m.*, 100 * (m.mean / NULLIF(c.mean, 0) - 1) AS gap_pct FROM m LEFT JOIN (SELECT band, hour, mean FROM m WHERE "group" = 'control') c USING (band, hour)""")
+def _(t):
+    return profiling.diurnal_profile(_panel(t), F.col("ring_id"))
+
+
+@query("covariate_balance", "F11 AG10", "covariate s, mean_event f6, mean_control f6, smd f6", """
+    WITH d AS (SELECT date, game_day, clean_control, CAST(isodow(date) >= 5 AS DOUBLE) AS weekend_fri, CAST(rival_day AS DOUBLE) AS rival_day, CAST(fair_day AS DOUBLE) AS fair_day,
+        (SELECT 0) AS z FROM calendar), l AS (SELECT game_day, clean_control, u.c AS covariate, CASE u.c WHEN 'weekend_fri' THEN weekend_fri WHEN 'rival_day' THEN rival_day ELSE fair_day END AS x
+        FROM d CROSS JOIN (SELECT unnest(['weekend_fri', 'rival_day', 'fair_day']) AS c) u)
+    SELECT covariate, AVG(x) FILTER (game_day) AS mean_event, AVG(x) FILTER (clean_control) AS mean_control,
+           (AVG(x) FILTER (game_day) - AVG(x) FILTER (clean_control)) / sqrt((var_samp(x) FILTER (game_day) + var_samp(x) FILTER (clean_control)) / 2) AS smd FROM l GROUP BY 1""")
+def _(t):
+    return profiling.covariate_balance(t.calendar, ["rival_day", "fair_day"])
