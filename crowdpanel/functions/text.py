@@ -57,19 +57,25 @@ def words(text: Column) -> Column:
     return F.transform(tokens, lambda w: F.coalesce(table[w], w))
 
 
+def _let(value: Column, body) -> Column:
+    """Bind an expression once and use it many times inside ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def query_words(text: Column) -> Column:
     """Search tokens without locality words, unless nothing else is left."""
-    tokens = words(text)
 
-    def pair_at(i: Column) -> Column:
-        here, after = F.get(tokens, i), F.get(tokens, i + 1)
-        hit = F.lit(False)
-        for first, second in LOCALITY_PAIRS:
-            hit = hit | F.coalesce((here == first) & (after == second), F.lit(False))
-        return hit
+    def strip(tokens: Column) -> Column:
+        def pair_at(i: Column) -> Column:
+            here, after = F.get(tokens, i), F.get(tokens, i + 1)
+            hit = F.lit(False)
+            for first, second in LOCALITY_PAIRS:
+                hit = hit | F.coalesce((here == first) & (after == second), F.lit(False))
+            return hit
+
+        def keep(w: Column, i: Column) -> Column:
+            return ~(w.isin(*LOCALITY_WORDS) | w.rlike(LOCAL_POSTCODE) | pair_at(i) | pair_at(i - 1))
 
-    def keep(w: Column, i: Column) -> Column:
-        return ~(w.isin(*LOCALITY_WORDS) | w.rlike(LOCAL_POSTCODE) | pair_at(i) | pair_at(i - 1))
+        return _let(F.filter(tokens, keep), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(tokens))
 
-    kept = F.filter(tokens, keep)
-    return F.when(F.size(kept) > 0, kept).otherwise(tokens)
+    return _let(words(text), strip)

@@ -70,10 +70,10 @@ def activity_weights(resid: DataFrame, hours: Sequence[int] = EVENING) -> DataFr
     return rows.groupBy("unit_id").agg(F.avg(F.expm1("y")).alias("level"), F.max("dist_m").alias("dist_m"))
 
 
-def _decay_scan(units: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Best bounded (A, c) for every length from weighted sums; one row per length."""
+def _decay_scan(units: DataFrame) -> DataFrame:
+    """Best bounded (A, c) for every length L of the rows from weighted sums; one row per length."""
     e, y, w = F.exp(-F.col("d") / F.col("L")), F.col("y"), F.col("w")
-    s = units.join(F.broadcast(lengths)).groupBy("L").agg(
+    s = units.groupBy("L").agg(
         F.sum(w).alias("sw"), F.sum(w * e).alias("se"), F.sum(w * e * e).alias("see"), F.sum(w * y).alias("sy"),
         F.sum(w * e * y).alias("sey"), F.sum(w * y * y).alias("syy"), F.count("*").alias("n"))
     col = F.col
@@ -101,17 +101,17 @@ def fit_decay(unit_did: DataFrame, weights: DataFrame, coarse: float = 20.0, fin
     For a fixed L the best A and c are closed form, so lengths are scanned as rows
     on a coarse grid and again on a fine grid around the best one.
     """
-    spark = unit_did.sparkSession
     rows = unit_did.join(weights, "unit_id").select(
         F.col("dist_m").alias("d"), F.col("did").alias("y"), F.col("level").alias("w")).filter(
         "d is not null and y is not null and not isnan(d) and not isnan(y) and w > 0")
-    steps = int((DECAY_L[1] - DECAY_L[0]) / coarse) + 1
-    grid = spark.range(steps).select((F.col("id") * coarse + DECAY_L[0]).alias("L"))
-    best = _decay_scan(rows, grid).agg(F.min_by("L", F.struct("sse", "L")).alias("L0"))
+    low, high = DECAY_L
+    grid = F.explode(F.sequence(F.lit(0), F.lit(int((high - low) / coarse))))
+    best = _decay_scan(rows.withColumn("i", grid).withColumn("L", F.col("i") * coarse + low)).agg(
+        F.min_by("L", F.struct("sse", "L")).alias("L0"))
     span = int(coarse / fine)
-    near = best.select(F.explode(F.sequence(F.lit(-span), F.lit(span))).alias("i"), "L0").select(
-        F.least(F.greatest(F.col("L0") + F.col("i") * fine, F.lit(DECAY_L[0])), F.lit(DECAY_L[1])).alias("L")).distinct()
-    return _decay_scan(rows, near).agg(
+    near = rows.join(F.broadcast(best)).withColumn("i", F.explode(F.sequence(F.lit(-span), F.lit(span)))).withColumn(
+        "L", F.col("L0") + F.col("i") * fine).filter(F.col("L").between(low, high))
+    return _decay_scan(near).agg(
         F.min_by(F.struct("A", "L", "c", "weighted_r2", "n_units"), F.struct("sse", "L")).alias("f")).select("f.*")
 
 

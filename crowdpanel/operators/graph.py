@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, geo
 from ..functions.stats import count_if
+from ..session import durable_table
 from .reshape import union_all
 from .windows import mutual_top_k, top_k
 
@@ -23,18 +24,22 @@ DENSITY_SCALE = 40
 MAX_LEVEL = 16
 
 
-def _around_cell(gi: Column, gj: Column, reach: int) -> Column:
-    """Explodable (gi, gj) of the square of cells within ``reach``."""
-    span = F.sequence(F.lit(-reach), F.lit(reach))
-    return F.flatten(F.transform(span, lambda a: F.transform(
-        span, lambda b: F.struct((gi + a).alias("gi"), (gj + b).alias("gj")))))
+def _spread(df: DataFrame, reach) -> DataFrame:
+    """Each row once per cell of the square around its (gi, gj), which are replaced.
+
+    Two plain explodes: nested lambdas would leave generated code.
+    """
+    r = F.lit(reach) if isinstance(reach, int) else reach
+    steps = F.sequence(-r, r)
+    moved = df.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+    return moved.withColumn("gi", F.col("gi") + F.col("_i")).withColumn("gj", F.col("gj") + F.col("_j")).drop("_i", "_j")
 
 
 def contiguity_edges(cells: DataFrame) -> DataFrame:
     """Directed (src, dst) of units whose grid indexes differ by at most one."""
-    near = cells.select(F.col("unit_id").alias("src"), F.explode(_around_cell(F.col("gi"), F.col("gj"), 1)).alias("c"))
-    there = cells.select(F.col("unit_id").alias("dst"), F.struct("gi", "gj").alias("c"))
-    return near.join(there, "c").filter(F.col("src") != F.col("dst")).select("src", "dst")
+    near = _spread(cells.select(F.col("unit_id").alias("src"), "gi", "gj"), 1)
+    there = cells.select(F.col("unit_id").alias("dst"), "gi", "gj")
+    return near.join(there, ["gi", "gj"]).filter(F.col("src") != F.col("dst")).select("src", "dst")
 
 
 def units_within(cells: DataFrame, radius_m: float, step: Sequence[float]) -> DataFrame:
@@ -46,12 +51,10 @@ def units_within(cells: DataFrame, radius_m: float, step: Sequence[float]) -> Da
     height = step[0] * geo.METRES_PER_DEGREE
     width = step[1] * geo.METRES_PER_DEGREE * math.cos(math.radians(60))  # safe below 60 degrees
     reach = max(math.ceil(radius_m / height), math.ceil(radius_m / width)) + 1
-    near = cells.select(F.col("unit_id").alias("src"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"),
-                        F.col("n_poi").alias("src_poi"),
-                        F.explode(_around_cell(F.col("gi"), F.col("gj"), reach)).alias("c"))
-    there = cells.select(F.col("unit_id").alias("dst"), "lat", "lon", F.col("n_poi").alias("dst_poi"),
-                         F.struct("gi", "gj").alias("c"))
-    pairs = near.join(there, "c").filter(F.col("src") != F.col("dst"))
+    near = _spread(cells.select(F.col("unit_id").alias("src"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"),
+                                F.col("n_poi").alias("src_poi"), "gi", "gj"), reach)
+    there = cells.select(F.col("unit_id").alias("dst"), "lat", "lon", F.col("n_poi").alias("dst_poi"), "gi", "gj")
+    pairs = near.join(there, ["gi", "gj"]).filter(F.col("src") != F.col("dst"))
     d = geo.flat_distance(F.col("lat"), F.col("lon"), F.col("_la"), F.col("_lo"))
     return pairs.withColumn("dist_m", d).filter(F.col("dist_m") <= radius_m).select(
         "src", "dst", "dist_m", "src_poi", "dst_poi")
@@ -92,21 +95,18 @@ def knn_lists(nodes: DataFrame, k: int = K_NEIGHBOURS, max_level: int = MAX_LEVE
     reach = F.ceil(2 * F.sqrt(1 + stretch * stretch) * 1.01).cast("int")
     box = box.select("_s", "_w", extent.alias("_h0"), cos_far.alias("_cos"), reach.alias("_reach"))
 
-    levels = spots.join(F.broadcast(box)).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_level))))
+    spots = durable_table(spots.join(F.broadcast(box)))  # read three times below
+    levels = spots.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_level))))
     h = F.col("_h0") / F.pow(F.lit(2.0), F.col("level"))
     placed = (levels.withColumn("gi", F.floor((F.col("lat") - F.col("_s")) / h))
               .withColumn("gj", F.floor((F.col("lon") - F.col("_w")) * F.col("_cos") / h)))
     cells = placed.groupBy("level", "gi", "gj").agg(F.sum(F.size("ids")).alias("n"))
-    spread = cells.select("level", "n", F.explode(_around_cell(F.col("gi"), F.col("gj"), 1)).alias("c"))
-    block = spread.groupBy("level", F.col("c.gi").alias("gi"), F.col("c.gj").alias("gj")).agg(F.sum("n").alias("block_n"))
+    block = _spread(cells, 1).groupBy("level", "gi", "gj").agg(F.sum("n").alias("block_n"))
     enough = placed.join(block, ["level", "gi", "gj"]).filter((F.col("block_n") >= k + 1) | (F.col("level") == 0))
     chosen = enough.groupBy("lat", "lon").agg(
         F.max_by(F.struct("level", "gi", "gj", "_reach"), "level").alias("q"))
-    sides = F.transform(F.sequence(-F.col("q._reach"), F.col("q._reach")), lambda a: a.cast("long"))
-    asked = chosen.select(F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "q.level",
-                          F.explode(F.flatten(F.transform(sides, lambda a: F.transform(sides, lambda b: F.struct(
-                              (F.col("q.gi") + a).alias("gi"), (F.col("q.gj") + b).alias("gj")))))).alias("c"))
-    asked = asked.select("qlat", "qlon", "level", "c.gi", "c.gj")
+    asked = _spread(chosen.select(F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "q.level", "q.gi", "q.gj", "q._reach"),
+                    F.col("_reach")).drop("_reach")
     found = asked.join(placed.select("level", "gi", "gj", "lat", "lon", "ids"), ["level", "gi", "gj"])
     dist = geo.haversine("qlat", "qlon", "lat", "lon")
     flat = found.withColumn("dist_m", dist).select("qlat", "qlon", "dist_m", F.explode("ids").alias("peer_id"))
@@ -182,16 +182,22 @@ def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEI
     the block, and whatever beats it there beats it in full.
     """
     directed = mode == "directed"
-    length = vectors.groupBy("node_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len"))
-    unit = vectors.join(length.filter("_len > 0"), "node_id").select("node_id", "key", (F.col("w") / F.col("_len")).alias("u"))
-    holders = vectors.groupBy("key").agg(F.count("*").alias("_df"))
-    tagged = unit.join(holders, "key")
-    light, hot = tagged.filter(F.col("_df") <= heavy).drop("_df"), tagged.filter(F.col("_df") > heavy).drop("_df")
-
-    a = light.select("key", F.col("node_id").alias("src"), F.col("u").alias("_a"))
-    b = light.select("key", F.col("node_id").alias("dst"), F.col("u").alias("_b"))
+    w2 = F.col("w") * F.col("w")
+    is_hot = F.col("_df") > heavy
+    tagged = vectors.join(vectors.groupBy("key").agg(F.count("*").alias("_df")), "key")
+    norms = tagged.groupBy("node_id").agg(F.sqrt(F.sum(w2)).alias("_len"), F.sqrt(F.sum(F.when(is_hot, w2).otherwise(0.0))).alias("_hot"))
+    unit = tagged.join(norms.filter("_len > 0"), "node_id").select(
+        "node_id", "key", "_df", (F.col("w") / F.col("_len")).alias("u"), (F.col("_hot") / F.col("_len")).alias("hn"))
+    unit = durable_table(unit)  # read four times below
+    light, hot = unit.filter(~is_hot), unit.filter(is_hot)
+
+    a = light.select("key", F.col("node_id").alias("src"), F.col("u").alias("_a"), F.col("hn").alias("_ha"))
+    b = light.select("key", F.col("node_id").alias("dst"), F.col("u").alias("_b"), F.col("hn").alias("_hb"))
     ordered = F.col("src") != F.col("dst") if directed else F.col("src") < F.col("dst")
-    found = a.join(b, "key").filter(ordered).groupBy("src", "dst").agg(F.sum(F.col("_a") * F.col("_b")).alias("light"))
+    # The heavy parts can add at most the product of their lengths: most pairs end here.
+    found = a.join(b, "key").filter(ordered).groupBy("src", "dst").agg(
+        F.sum(F.col("_a") * F.col("_b")).alias("light"), F.max(F.col("_ha") * F.col("_hb")).alias("_more")).filter(
+        F.col("light") + F.col("_more") >= min_cos - 1e-8).drop("_more")
 
     n_blocks = hot.agg(F.ceil(F.approx_count_distinct("node_id") / F.lit(block_rows)).cast("int").alias("_n"))
     blocked = hot.join(F.broadcast(n_blocks)).withColumn(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,15 +32,15 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str,
               values: Sequence[str], strict: bool = True, block: str = "month") -> DataFrame:
     """Left rows with the latest right row before (or at) their time.
 
-    A key's timeline is cut into calendar blocks so that a hot key is spread over
-    many tasks: inside a block a running ``last`` finds the state, and the state
+    A key's timeline is cut into calendar blocks (hour … year, the finer the hotter
+    the keys), so that a hot key is spread over many tasks: inside a block a running ``last`` finds the state, and the state
     at the block's start is carried in from one row per (key, block). ``right``
     holds one row per key and time. Adds ``asof_<time>`` and the value columns.
     """
     keys = list(keys)
     at = f"asof_{time}"
     state = F.struct(F.col(time).alias(at), *[F.col(v) for v in values])
-    where = F.trunc(F.col(time).cast("date"), block).alias("_block")
+    where = F.date_trunc(block, F.col(time).cast("timestamp_ntz")).alias("_block")
     probe = left.select("*", where, F.lit(None).cast(right.select(state.alias("s")).schema["s"].dataType).alias("_state"),
                         F.lit(True).alias("_probe"))
     feed = right.select(*keys, time, where, state.alias("_state"), F.lit(False).alias("_probe"))
@@ -117,7 +117,3 @@ def carry_forward(fact: DataFrame, weekly: DataFrame, keys: Sequence[str], value
 def one_row(*frames: DataFrame) -> DataFrame:
     """Side by side bundle of one-row aggregates."""
     return reduce(lambda a, b: a.join(F.broadcast(b)), frames)
-
-
-def rows_equal(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)

@@ -40,9 +40,11 @@ def search_places(queries: DataFrame, index: DataFrame, n: int = TOP_N) -> DataF
     per_query = asked.select("query", F.explode(F.array_distinct("tokens")).alias("token")).join(reach, "token", "left")
     driver = per_query.groupBy("query").agg(
         F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
-    by_word = driver.join(grams.select("token", "word"), "token").select("query", "word")
+    by_word = driver.join(asked, "query").join(grams.select("token", "word"), "token")
     words_of = places.select("name", "address", "n", "a", "na", F.explode(F.array_distinct("na")).alias("word"))
-    hits = by_word.join(words_of, "word").drop("word").distinct().join(asked, "query")
+    # A place with several matching words is taken at the first of them only.
+    once = F.get(F.filter("na", lambda w: w.startswith(F.col("token"))), F.lit(0)) == F.col("word")
+    hits = by_word.join(words_of, "word").filter(once)
 
     def every(ws: str):
         return F.forall("tokens", lambda t: F.exists(F.col(ws), lambda w: w.startswith(t)))

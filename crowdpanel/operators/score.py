@@ -19,13 +19,20 @@ PLACE_LON = (-122.6, -122.3)
 REQUEST_FIELDS = ("schema", "date", "lat", "lon", "hours", "include_cells", "attendance", "day_night", "bands_m",
                   "focus_cell_id")
 
+BODY_SCHEMA = "date string, lat string, lon string, hours string, attendance string, day_night string"
+
 
 def validate_requests(raw: DataFrame, first: str, last: str, text: str = "body") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): JSON text rows checked field by field; first reason wins."""
-    keys = F.json_object_keys(text)
-    field = lambda k: F.get_json_object(text, f"$.{k}")
-    lat, lon, date = field("lat").try_cast("double"), field("lon").try_cast("double"), F.to_date(
-        F.when(field("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), field("date")).try_cast("date"))
+    # Parsed behind a generator: filters on the fields cannot be pushed below it,
+    # which would repeat the parsing for every mention of a field.
+    once = raw.select("*", F.explode(F.array(F.struct(F.json_object_keys(text).alias("keys"), F.from_json(text, BODY_SCHEMA).alias("b")))).alias("_p"))
+    parsed = once.select(
+        *raw.columns, F.col("_p.keys").alias("_keys"), F.col("_p.b").alias("_b"),
+        F.when(F.col("_p.b.date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("_p.b.date")).try_cast("date").alias("date"),
+        F.col("_p.b.lat").try_cast("double").alias("lat"), F.col("_p.b.lon").try_cast("double").alias("lon"))
+    field = lambda k: F.col(f"_b.{k}")
+    keys, date, lat, lon = F.col("_keys"), F.col("date"), F.col("lat"), F.col("lon")
     unknown = F.size(F.filter(keys, lambda k: ~k.isin(*REQUEST_FIELDS))) > 0
     evening = F.regexp_replace(field("hours"), " ", "") == f"[{EVENING[0]},{EVENING[1]}]"
     reason = (F.when(keys.isNull(), "body is not a JSON object")
@@ -37,8 +44,8 @@ def validate_requests(raw: DataFrame, first: str, last: str, text: str = "body")
               .when(~date.between(F.lit(first).cast("date"), F.lit(last).cast("date")), "date outside the served window")
               .when(~lat.between(*PLACE_LAT) | ~lon.between(*PLACE_LON), "place outside the served area")
               .when(field("hours").isNotNull() & ~evening, "hours must be the evening window"))
-    checked = raw.withColumn("reason", reason).withColumn("date", date).withColumn("lat", lat).withColumn("lon", lon).withColumn(
-        "attendance", field("attendance").try_cast("double")).withColumn("day_night", field("day_night"))
+    checked = parsed.select(*raw.columns, "date", "lat", "lon", field("attendance").try_cast("double").alias("attendance"),
+                            field("day_night").alias("day_night"), reason.alias("reason"))
     return checked.filter(F.col("reason").isNull()).drop("reason"), checked.filter(F.col("reason").isNotNull()).select(
         *raw.columns, "reason")
 

@@ -217,7 +217,7 @@ class Tables:
                                   {"person_hours": F.lit(1)}, panel.EVENING)
         flags = self.calendar.select("date", "dow", "game_day", "rival_day", "day_night", "attendance",
                                      F.col("clean_control_strict").alias(CONTROL))
-        out = dense.join(F.broadcast(flags), "date").join(F.broadcast(self.nations), "unit_id")
+        out = dense.join(F.broadcast(flags), "date").join(self.nations, "unit_id")
         return out.withColumn("y", F.log1p("person_hours")).withColumn("split", dates.split_label(F.col("date"), SPLITS))
 
     @cached_property
