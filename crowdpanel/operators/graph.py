@@ -82,6 +82,9 @@ def knn_lists(nodes: DataFrame, k: int = K_NEIGHBOURS, max_level: int = MAX_LEVE
       that reach are read and nothing nearer can be missed. One level finer the
       3x3 holds at most k nodes, which bounds the readers of any cell: the number
       of pairs grows linearly however dense a cluster is.
+
+    For extents of up to some ten degrees off the poles and the date line, where
+    cell sides bound distances to well within the one percent of slack used.
     """
     first = top_k(nodes.select("node_id", "lat", "lon"), ["lat", "lon"], [F.col("node_id")], k + 1, "_r")
     spots = first.groupBy("lat", "lon").agg(F.array_sort(F.collect_list("node_id")).alias("ids"))  # at most k+1
@@ -92,8 +95,9 @@ def knn_lists(nodes: DataFrame, k: int = K_NEIGHBOURS, max_level: int = MAX_LEVE
     cos_far = F.cos(F.radians("_far"))
     extent = F.greatest(F.col("_n") - F.col("_s"), (F.col("_e") - F.col("_w")) * cos_far, F.lit(1e-6)) * 1.001
     stretch = F.cos(F.radians("_near")) / cos_far
-    reach = F.ceil(2 * F.sqrt(1 + stretch * stretch) * 1.01).cast("int")
-    box = box.select("_s", "_w", extent.alias("_h0"), cos_far.alias("_cos"), reach.alias("_reach"))
+    # k+1 nodes of a 3x3 block are at most this many cell heights away.
+    far_corner = 2 * F.sqrt(1 + stretch * stretch) * 1.01
+    box = box.select("_s", "_w", extent.alias("_h0"), cos_far.alias("_cos"), far_corner.alias("_far_corner"))
 
     spots = durable_table(spots.join(F.broadcast(box)))  # read three times below
     levels = spots.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_level))))
@@ -103,13 +107,14 @@ def knn_lists(nodes: DataFrame, k: int = K_NEIGHBOURS, max_level: int = MAX_LEVE
     cells = placed.groupBy("level", "gi", "gj").agg(F.sum(F.size("ids")).alias("n"))
     block = _spread(cells, 1).groupBy("level", "gi", "gj").agg(F.sum("n").alias("block_n"))
     enough = placed.join(block, ["level", "gi", "gj"]).filter((F.col("block_n") >= k + 1) | (F.col("level") == 0))
-    chosen = enough.groupBy("lat", "lon").agg(
-        F.max_by(F.struct("level", "gi", "gj", "_reach"), "level").alias("q"))
-    asked = _spread(chosen.select(F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "q.level", "q.gi", "q.gj", "q._reach"),
-                    F.col("_reach")).drop("_reach")
+    metres = F.col("_far_corner") * h * (geo.EARTH_RADIUS_M * math.pi / 180)
+    chosen = enough.withColumn("_within", metres).groupBy("lat", "lon").agg(
+        F.max_by(F.struct("level", "gi", "gj", "_far_corner", "_within"), "level").alias("q"))
+    asked = _spread(chosen.select(F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "q.level", "q.gi", "q.gj", "q._within",
+                                  F.ceil("q._far_corner").cast("int").alias("_reach")), F.col("_reach")).drop("_reach")
     found = asked.join(placed.select("level", "gi", "gj", "lat", "lon", "ids"), ["level", "gi", "gj"])
     dist = geo.haversine("qlat", "qlon", "lat", "lon")
-    flat = found.withColumn("dist_m", dist).select("qlat", "qlon", "dist_m", F.explode("ids").alias("peer_id"))
+    flat = found.withColumn("dist_m", dist).filter((F.col("dist_m") <= F.col("_within")) | (F.col("level") == 0)).select("qlat", "qlon", "dist_m", F.explode("ids").alias("peer_id"))
     near = top_k(flat, ["qlat", "qlon"], [F.col("dist_m"), F.col("peer_id")], k + 1, "_r")
     shared = near.groupBy(F.col("qlat").alias("lat"), F.col("qlon").alias("lon")).agg(
         F.array_sort(F.collect_list(F.struct("dist_m", "peer_id"))).alias("near"))  # at most k+1
@@ -193,12 +198,24 @@ def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEI
 
     a = light.select("key", F.col("node_id").alias("src"), F.col("u").alias("_a"), F.col("hn").alias("_ha"))
     b = light.select("key", F.col("node_id").alias("dst"), F.col("u").alias("_b"), F.col("hn").alias("_hb"))
-    ordered = F.col("src") != F.col("dst") if directed else F.col("src") < F.col("dst")
     # The heavy parts can add at most the product of their lengths: most pairs end here.
-    found = a.join(b, "key").filter(ordered).groupBy("src", "dst").agg(
+    found = a.join(b, "key").filter(F.col("src") < F.col("dst")).groupBy("src", "dst").agg(
         F.sum(F.col("_a") * F.col("_b")).alias("light"), F.max(F.col("_ha") * F.col("_hb")).alias("_more")).filter(
         F.col("light") + F.col("_more") >= min_cos - 1e-8).drop("_more")
+    if hot.isEmpty():
+        scored = found.withColumnRenamed("light", "cos")
+    else:
+        scored = _with_heavy_keys(found, hot, min_cos, k, directed, block_rows)
+    scored = scored.filter(F.round("cos", 9) >= min_cos)
+    rank_by = F.round("cos", 9)
+    if not directed:
+        return mutual_top_k(scored, rank_by, k)
+    both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return top_k(scored.select(both.alias("e"), "cos").select("e.*", "cos"), ["src"], [rank_by.desc(), F.col("dst")], k, "_r").drop("_r")
 
+
+def _with_heavy_keys(found: DataFrame, hot: DataFrame, min_cos: float, k: int, directed: bool, block_rows: int) -> DataFrame:
+    """Light pairs with their heavy part added, and the best pairs that share heavy keys only."""
     n_blocks = hot.agg(F.ceil(F.approx_count_distinct("node_id") / F.lit(block_rows)).cast("int").alias("_n"))
     blocked = hot.join(F.broadcast(n_blocks)).withColumn(
         "_b", F.pmod(F.xxhash64("node_id"), F.greatest("_n", F.lit(1))).cast("int"))
@@ -207,21 +224,18 @@ def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEI
                           F.col("_b").alias("l1"), others.alias("l2"))
     right = blocked.select(F.col("node_id").alias("r_id"), F.col("key").alias("r_key"), F.col("u").alias("r_u"),
                            others.alias("r1"), F.col("_b").alias("r2"))
-    # A (left node, block) answer holds at most k rows, so candidates stay linear in nodes x blocks.
-    only_hot = left.groupBy("l1", "l2").cogroup(right.groupBy("r1", "r2")).applyInPandas(
-        _best_of_block(k, min_cos, directed), "src long, dst long").distinct()
+    # A (left node, block) answer holds at most k rows per side, so candidates stay linear in nodes x blocks.
+    best = left.groupBy("l1", "l2").cogroup(right.groupBy("r1", "r2")).applyInPandas(
+        _best_of_block(k, min_cos, directed), "src long, dst long")
+    only_hot = best.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     pairs = found.join(only_hot, ["src", "dst"], "full")
     packed = hot.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "u"))).alias("m"))
-    withmaps = pairs.join(packed.select(F.col("node_id").alias("src"), F.col("m").alias("_ms")), "src", "left").join(
+    both = pairs.join(packed.select(F.col("node_id").alias("src"), F.col("m").alias("_ms")), "src", "left").join(
         packed.select(F.col("node_id").alias("dst"), F.col("m").alias("_md")), "dst", "left")
     shared = F.aggregate(F.map_entries("_ms"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(
         F.try_element_at(F.col("_md"), e["key"]), F.lit(0.0)))
     cos = F.coalesce("light", F.lit(0.0)) + F.coalesce(F.when(F.col("_md").isNotNull(), shared), F.lit(0.0))
-    scored = withmaps.select("src", "dst", cos.alias("cos")).filter(F.round("cos", 9) >= min_cos)
-    rank_by = F.round("cos", 9)
-    if directed:
-        return top_k(scored, ["src"], [rank_by.desc(), F.col("dst")], k, "_r").drop("_r")
-    return mutual_top_k(scored, rank_by, k)
+    return both.select("src", "dst", cos.alias("cos"))
 
 
 def edge_report(edges: DataFrame) -> DataFrame:

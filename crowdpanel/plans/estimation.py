@@ -760,7 +760,8 @@ def _(t):
     JOIN (SELECT date, round(SUM(CASE WHEN band IN ('b1', 'b2', 'b3', 'b4') THEN extra ELSE 0 END), 2) AS x FROM served GROUP BY 1) w ON w.date = q.date""")
 def _(t):
     good, _bad = score.validate_requests(_bodies(t), *JAN)
-    return score.score_requests(good.select("event_id", "date", "lat", "lon"), _served(t), t.units, STEP)
+    accepted = durable_table(good.select("event_id", "date", "lat", "lon"))  # landed like any request log
+    return score.score_requests(accepted, _served(t), t.units, STEP)
 
 
 @query("place_search", "E52", "query s, rank l, score l, name s, address s", """
