@@ -241,7 +241,7 @@ def _with_heavy_keys(found: DataFrame, hot: DataFrame, min_cos: float, k: int, d
 def edge_report(edges: DataFrame) -> DataFrame:
     """One row: edges, source nodes, mean weight and degree mean, min, max."""
     per_node = edges.groupBy("src").agg(F.count("*").alias("deg"), F.sum("w").alias("w"))
-    return per_node.agg(F.sum("deg").alias("n_edges"), F.count("*").alias("n_nodes"),
+    return per_node.agg(F.coalesce(F.sum("deg"), F.lit(0).cast("long")).alias("n_edges"), F.count("*").alias("n_nodes"),
                         (F.sum("w") / F.sum("deg")).alias("mean_w"), F.round(F.avg("deg"), 1).alias("degree_mean"),
                         F.min("deg").alias("degree_min"), F.max("deg").alias("degree_max"))
 

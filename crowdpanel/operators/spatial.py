@@ -81,7 +81,7 @@ def unit_coverage(assigned: DataFrame, units: DataFrame) -> DataFrame:
         units.select("unit_id", F.lit(True).alias("kept")), "unit_id", "left")
     kept = F.col("kept").isNotNull()
     return per_cell.agg(F.count("*").alias("n_cells"), count_if(kept).alias("n_kept_cells"),
-                        F.sum("n").alias("n_poi"), F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("n_kept_poi"))
+                        F.sum("n").alias("n_poi"), F.sum(F.when(kept, F.col("n"))).alias("n_kept_poi"))
 
 
 def poi_index(patterns: DataFrame, units: DataFrame, step: Sequence[float] = geo.GRID_STEP,
