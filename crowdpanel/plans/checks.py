@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, dates, geo
 from ..operators import controls, days, effects, graph, model, panel, profiling, quality, reshape, score, unpack, windows
-from .estimation import _dist, _effects, _lifts, _nodes, _served
-from .panels import HAV, _coverage, _occupancy, _rings
+from .estimation import _effects, _lifts, _nodes, _served
+from .panels import HAV, _coverage, _occupancy
 from .registry import query
 from .relational import FLAT
 from .standins import EPOCH, JAN, SPLITS, Tables
@@ -72,9 +72,9 @@ def _(t):
         FROM (SELECT poi_id, {HAV} AS d FROM poi)) USING (poi_id)
       CROSS JOIN (SELECT unnest(range(7)) AS o) WHERE ring_id IS NOT NULL GROUP BY ALL) WHERE date <= DATE '2024-01-31' GROUP BY 1)"""))
 def _(t):
-    hourly, coverage = unpack.occupancy(t.patterns, _rings(t), *JAN)
-    none = _rings(t).select("poi_id").limit(0)
-    return quality.coverage_floor(panel.occupancy_ring_hour(hourly, coverage, _rings(t), none, *JAN, "-"))
+    hourly, coverage = unpack.occupancy(t.patterns, t.ringed, *JAN)
+    none = t.ringed.select("poi_id").limit(0)
+    return quality.coverage_floor(panel.occupancy_ring_hour(hourly, coverage, t.ringed, none, *JAN, "-"))
 
 
 @query("weather_gate", "Q10", ROW, _row("weather", "expectation", "share >= 0.95 AND p95 <= 4", "printf('share %.4f, p95 gap %.2f', share, p95)", """

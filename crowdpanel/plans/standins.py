@@ -21,6 +21,8 @@ from ..session import durable_table
 STEP = (0.0225, 0.0284)
 BOX = (37.60, 37.90, -122.60, -122.30)
 JAN = ("2024-01-01", "2024-01-31")
+# Wider rings, so that the few test places fill all of them.
+EDGES = (0, 1000, 2500, 5000, 8000, 16000)
 YEARS = ("1995-01-01", "2001-08-01")
 SPLITS = {"train": ("1995-01-01", "1998-12-31"), "val": ("1999-01-01", "1999-12-31"), "test": ("2000-01-01", "2001-12-31")}
 EPOCH = "1995-01-01"
@@ -77,6 +79,10 @@ class Tables:
         rows = hours.join(daily, ["poi_id", "week_start"]).join(week, ["poi_id", "week_start"]).join(self.poi, "poi_id")
         return durable_table(rows.withColumn("packed_hours", F.when(F.col("has_hourly"), F.col("all_hours"))))
 
+    @cached_property
+    def ringed(self) -> DataFrame:
+        return durable_table(spatial.poi_rings(self.patterns, *JAN, edges=EDGES))
+
     @cached_property
     def assigned(self) -> DataFrame:
         return spatial.assign_cells(self.poi, STEP, BOX)
