@@ -202,7 +202,7 @@ def _cut(body: np.ndarray, offs: np.ndarray, ranges: pa.Array, length: int) -> t
     return list_array(spans, np.bincount(where, minlength=len(counts))), kept
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200, grain: int = 64, chunk: int = 512) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200, grain: int = 64, chunk: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) per row: the removed byte ranges and the bytes that stay, joined."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     base = base.select("doc_id", "text", F.xxhash64("doc_id").alias("ka"), F.xxhash64("text").alias("kb"))
