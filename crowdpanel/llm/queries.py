@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, suffix_dedup
+from . import decontam, minhash, rules, suffix_dedup, warc
 from .common import table
 
 #: A-Z alone are lower-cased, in both engines.
@@ -14,6 +14,64 @@ _LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPACED = r"[^\x20\x09-\x0D]+"
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    place = warc.new_folder(spark)
+    manifest = warc.write_archives(table(spark, folder, "pages"), place)
+    found = warc.resolved(warc.read_archives(manifest, place))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", F.col("full_digest").alias("payload_digest"), "record_type",
+                        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP4 = """
+WITH p AS (SELECT page_id, coalesce(encode(html), ''::BLOB) AS body FROM pages),
+h AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM r
+"""
+
+
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return rules.judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_BIN = "(greatest(length(bin(v)) - 6, 0) * 32 + (v >> greatest(length(bin(v)) - 6, 0)))"
+_LOW = "((b - greatest(b // 32 - 1, 0) * 32) << greatest(b // 32 - 1, 0))"
+OP5 = rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '{_SPACED}'), []) AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM d, unnest(range(1, len(w) - 6)) u(i)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win), unnest(range(i, i + 8)) u(p)
+        WHERE c > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+v AS (SELECT doc_id, lang, source, base_failed, u.measure, u.v FROM b, unnest([
+      {{'measure': 'symbols', 'v': 1000 * n_symbols // greatest(n_words, 1)}}, {{'measure': 'chars', 'v': 1000 * word_chars // greatest(n_words, 1)}},
+      {{'measure': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_words, 1)}}, {{'measure': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1)}}]) t(u)),
+s AS (SELECT lang, source, measure, {_BIN} AS b, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+lev AS (SELECT 0 AS lev, lang, source, measure, b, n FROM s
+        UNION ALL SELECT 1, lang, NULL, measure, b, sum(n) FROM s GROUP BY lang, measure, b
+        UNION ALL SELECT 2, NULL, NULL, measure, b, sum(n) FROM s GROUP BY measure, b),
+run AS (SELECT *, sum(n) OVER (PARTITION BY lev, lang, source, measure ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lev, lang, source, measure) AS rows_ FROM lev),
+qb AS (SELECT lev, lang, source, measure, max(rows_) AS rows_, min(b) FILTER (100 * upto >= 25 * rows_) AS b1, min(b) FILTER (100 * upto >= 75 * rows_) AS b3
+       FROM run GROUP BY ALL),
+q AS (SELECT lev, lang, source, measure, rows_, (SELECT {_LOW} FROM (SELECT b1 AS b)) AS q1, (SELECT {_LOW} FROM (SELECT b3 AS b)) AS q3 FROM qb),
+p AS (SELECT g.lang, g.source, g.measure, CASE WHEN g.rows_ >= 100 THEN g.q1 WHEN l.rows_ >= 100 THEN l.q1 ELSE a.q1 END AS q1,
+      CASE WHEN g.rows_ >= 100 THEN g.q3 WHEN l.rows_ >= 100 THEN l.q3 ELSE a.q3 END AS q3
+      FROM q g JOIN q l ON l.lev = 1 AND l.measure = g.measure AND l.lang IS NOT DISTINCT FROM g.lang JOIN q a ON a.lev = 2 AND a.measure = g.measure WHERE g.lev = 0),
+f AS (SELECT lang, source, measure, q3 + 3 * greatest(q3 - q1, CASE measure WHEN 'chars' THEN 500 WHEN 'repeats' THEN 50 ELSE 20 END) AS high,
+      CASE measure WHEN 'chars' THEN q1 - 3 * greatest(q3 - q1, 500) ELSE -1 END AS low FROM p),
+bad AS (SELECT DISTINCT doc_id FROM v JOIN f ON v.measure = f.measure AND v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source
+        WHERE v.v > f.high OR v.v < f.low)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
+FROM b LEFT JOIN bad USING (doc_id)
+"""
+
+
 def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -60,8 +118,10 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_warc": op4_warc,
+    "op5_quality_rules": op5_quality_rules,
     "op8_minhash": op8_minhash,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES = {"op8_minhash": OP8, "op9_decontamination": OP9}
+ORACLES = {"op4_warc": OP4, "op5_quality_rules": OP5, "op8_minhash": OP8, "op9_decontamination": OP9}
