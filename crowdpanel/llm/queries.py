@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, rules, suffix_dedup, warc
+from . import decontam, line_dedup, minhash, rules, suffix_dedup, warc
 from .common import table
 
 #: A-Z alone are lower-cased, in both engines.
@@ -14,6 +14,10 @@ _LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPACED = r"[^\x20\x09-\x0D]+"
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     place = warc.new_folder(spark)
     manifest = warc.write_archives(table(spark, folder, "pages"), place)
@@ -118,6 +122,7 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op8_minhash": op8_minhash,

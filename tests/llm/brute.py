@@ -93,3 +93,31 @@ def edit_distance(a, b):
         for j, y in enumerate(b, 1):
             old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
     return row[-1]
+
+
+def lines(docs, least=8):
+    """doc_id -> (text that stays, n_lines, n_same, n_near); docs in order of doc_id."""
+    seen, pieces, out = {}, defaultdict(list), {}
+    for d, t in docs:
+        stay, same, near = [], 0, 0
+        parts = t.split("\n")
+        for line in parts:
+            w = tuple(spaced(line))
+            if not w:
+                stay.append(line)
+                continue
+            if w in seen:
+                same += 1
+                continue
+            seen[w] = True
+            found = False
+            if len(w) >= least:
+                halves = {(s, m, w[:m // 2] if s == "p" else w[len(w) - (m - m // 2):]) for m in (len(w), len(w) - 1) for s in "ps"}
+                found = any(edit_distance(w, x) <= 1 for h in halves for x in pieces[h] if abs(len(x) - len(w)) < 2)
+                for h in halves:
+                    pieces[h].append(w)
+            near += found
+            if not found:
+                stay.append(line)
+        out[d] = ("\n".join(stay), len(parts), same, near)
+    return out
