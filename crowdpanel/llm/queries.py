@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, minhash, rules, suffix_dedup, warc
-from .common import table
+from . import decontam, line_dedup, mil, minhash, pieces, rules, secrets, suffix_dedup, toxicity, warc
+from .common import stored, table
 
 #: A-Z alone are lower-cased, in both engines.
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -18,6 +18,38 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pieces.decode(pieces.encode(table(spark, folder, "documents").select("doc_id", "text")))
+    return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+def fold(mod: int, held: int) -> Column:
+    """True for the rows that learning never sees."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == held
+
+
+def op3_quality_mil(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = mil.train(docs, table(spark, folder, "labels").where(~fold(3, 1)))
+    return mil.scored(docs, model).select("doc_id", F.coalesce(fold(3, 1), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                                          "n_passages", "top_passage")
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels").where(~fold(4, 2)))
+    return toxicity.scored(docs, model).select("doc_id", F.coalesce(fold(4, 2), F.lit(False)).alias("held_out"), "score",
+                                               (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_restored")
+
+
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = stored(secrets.findings(docs, secrets.letter_costs(docs), secrets.common_words(docs)))
+    labelled = found.withColumn("label", secrets.weak_label()).where("label is not null")
+    return secrets.judged(found, labelled).select("doc_id", "start", "end", "candidate", "before", "after", "score", "is_secret")
+
+
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     place = warc.new_folder(spark)
     manifest = warc.write_archives(table(spark, folder, "pages"), place)
@@ -123,8 +155,12 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_quality_mil": op3_quality_mil,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
+    "op7_secrets": op7_secrets,
     "op8_minhash": op8_minhash,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
