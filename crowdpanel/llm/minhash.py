@@ -10,9 +10,13 @@ pairs. A pair that agrees in ``least`` of ``coords`` coordinates shares one of i
 those lists are merged (prefix); the longer lists are skipped and probed by comparing signatures of the candidates that
 the short ones gave. Pairs above the match threshold are confirmed on the full sets.
 
-No list is paired with itself: first every class meets the most central class of each of its lists, links are closed to
-components, and then only classes of different components meet. Families of thousands of near copies thus cost one
-pair a member. Joins are on plain keys, so adaptive execution splits hot ones.
+No list is paired with itself. First every class meets the leader of each of its lists, the class whose coordinates are
+the most common, and the links found are closed to components. Then only members of different components can still be
+linked. With A the shingles that a member adds to its leader and R those of the leader that it lacks, two members that
+share no added shingle differ in at least |A1| + |A2| + ||R1| - |R2|| shingles; where that is too much for a link they need
+not meet, and members that do share an added shingle meet over it. Both ways together lose no pair, and families of
+thousands of copies that each change a few words differently cost about one pair a member. Joins are on plain keys,
+so adaptive execution splits hot ones.
 
 Null and empty texts and texts without words have no shingles: they are linked with nothing, stay, and are their own
 component. Repeated rows are copies of one class. A null id takes the smallest id of its component, or null.
@@ -117,28 +121,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     near = lambda a, b: F.greatest(a, b) * num <= F.least(a, b) * den
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that agree in enough coordinates and whose full sets are similar."""
-        side = lambda s: sets.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"))
-        alike = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= least
-        few = pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b")
-        full = lambda s: sets.select(F.col("node").alias(s), F.col("hashes").alias(f"set_{s}"))
-        both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-        union = F.size("set_a") + F.size("set_b") - both
-        return few.join(full("a"), "a").join(full("b"), "b").where(both * den >= union * num).select("a", "b")
-
-    leaders = posts.groupBy("tok").agg(F.max(F.struct("c", "node", "n")).alias("l")).select("tok", "l.node", "l.n").toDF("tok", "b", "nb")
-    star = stored(posts.join(leaders, "tok").where((F.col("node") != F.col("b")) & near(F.col("n"), F.col("nb")))
-                  .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
-    links = stored(confirmed(star))
+    side = lambda c, *more: sets.select(F.col("node").alias(c), *[F.col(m).alias(f"{m}_{c}") for m in more])
+    alike = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= least
+    shared_size = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("long")
+    similar = lambda inter: inter * den >= (F.size("hashes_a") + F.size("hashes_b") - inter) * num
+
+    # a member of a list and its leader: what they share, and whether they are linked
+    leaders = posts.groupBy("tok").agg(F.max(F.struct("c", "node")).alias("l")).select("tok", F.col("l.node").alias("b"))
+    star = posts.join(leaders, "tok").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
+    star = star.join(side("a", "sig", "hashes"), "a").join(side("b", "sig", "hashes"), "b")
+    star = stored(star.select("a", "b", F.size("hashes_b").alias("nb"), shared_size.alias("inter"), (alike & similar(shared_size)).alias("linked")))
+    links = star.where("linked").select("a", "b")
     labels = components(links)
+
+    # lists that still hold several components; a, r: shingles that a member adds to its leader and lacks of it
     placed = posts.join(labels, "node", "left").select("tok", "node", "n", F.coalesce("label", "node").alias("comp"))
     open_ = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    placed = stored(placed.join(open_, "tok"))
-    one, two = placed.alias("x"), placed.alias("y")
-    met = one.join(two, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node")) & near(F.col("x.n"), F.col("y.n")))
-    rest = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = links.union(stored(confirmed(stored(rest))))
+    led = star.select(F.col("a").alias("node"), F.col("b").alias("lead"), "nb", "inter")
+    placed = stored(placed.join(open_, "tok").join(leaders.withColumnRenamed("b", "lead"), "tok").join(led, ["node", "lead"])
+                    .select("tok", "lead", "node", "n", "comp", (F.col("n") - F.col("inter")).alias("a"), (F.col("nb") - F.col("inter")).alias("r")))
+    extra = placed.select("lead", "node", "n", "comp", "a", "r").distinct()
+    own = extra.join(side("node", "hashes"), "node").join(side("lead", "hashes"), "lead")
+    added = stored(own.select("lead", "node", F.explode(F.array_except("hashes_node", "hashes_lead")).alias("z"), "n", "comp"))
+    # shingles that most members of a leader add belong to the family: they join the leader's set for what follows
+    members = extra.groupBy("lead").agg(F.count("*").alias("m"))
+    rare = added.groupBy("lead", "z").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).join(members, "lead")
+    rare = rare.select("lead", "z", "f", (F.col("lo") != F.col("hi")).alias("open"), (F.col("f") * 2 > F.col("m")).alias("family"))
+    ranked = stored(added.join(rare, ["lead", "z"]).groupBy("lead", "node").agg(
+        F.count_if("family").alias("k"), F.array_sort(F.collect_list(F.when(~F.col("family"), F.struct("f", "z", "open")))).alias("zs")))
+    grown = rare.where("family").groupBy("lead").agg(F.count("*").alias("g"))
+    k, g = F.coalesce("k", F.lit(0)), F.coalesce("g", F.lit(0))
+    moved = stored(extra.join(ranked, ["lead", "node"], "left").join(grown, "lead", "left").select(
+        "lead", "node", "n", "comp", (F.col("a") - k).alias("a"), (F.col("r") + g - k).alias("r"),
+        # linked members differ in at most n * (den - num) / num shingles, so they share one of so many rarest added ones
+        F.slice("zs", F.lit(1), F.floor(F.col("n") * (den - num) / num).cast("int") + 1).alias("zs")))
+
+    slack = (F.col("x.n") + F.col("y.n")) * (den - num)
+    apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node")) & near(F.col("x.n"), F.col("y.n"))
+    lacks = F.abs(F.col("x.r") - F.col("y.r"))
+    listed = placed.select("tok", "lead", "node").join(moved.drop("zs"), ["lead", "node"])
+    met = listed.alias("x").join(listed.alias("y"), (F.col("x.tok") == F.col("y.tok")) & apart & ((F.col("x.a") + F.col("y.a") + lacks) * (den + num) <= slack))
+    over = moved.select("lead", "node", "n", "comp", "a", "r", F.explode(F.filter("zs", lambda x: x["open"])).alias("x")).select("lead", "node", "n", "comp", "a", "r", "x.z")
+    same = (F.col("x.lead") == F.col("y.lead")) & (F.col("x.z") == F.col("y.z"))
+    more = over.alias("x").join(over.alias("y"), same & apart & ((F.abs(F.col("x.a") - F.col("y.a")) + lacks) * (den + num) <= slack))
+    rest = stored(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).union(more.select(F.col("x.node"), F.col("y.node"))).distinct())
+    few = rest.join(side("a", "sig"), "a").join(side("b", "sig"), "b").where(alike).select("a", "b")
+    full = few.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").where(similar(shared_size)).select("a", "b")
+    links = links.union(stored(full))
     labels = components(links)
 
     named = classes.join(labels, "node", "left").select("n", "node", "other", "rep", F.coalesce("label", "node").alias("comp"))
