@@ -161,10 +161,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     lacks = F.abs(F.col("x.r") - F.col("y.r"))
     listed = placed.select("tok", "lead", "node").join(moved.drop("zs"), ["lead", "node"])
     met = listed.alias("x").join(listed.alias("y"), (F.col("x.tok") == F.col("y.tok")) & apart & ((F.col("x.a") + F.col("y.a") + lacks) * (den + num) <= slack))
-    over = moved.select("lead", "node", "n", "comp", "a", "r", F.explode(F.filter("zs", lambda x: x["open"])).alias("x")).select("lead", "node", "n", "comp", "a", "r", "x.z")
+    over = moved.select("lead", "node", "n", "comp", "a", "r", (F.size("zs") == F.col("a")).alias("all"), F.explode(F.filter("zs", lambda x: x["open"])).alias("x"))
+    over = over.select("lead", "node", "n", "comp", "a", "r", "all", "x.z")
     same = (F.col("x.lead") == F.col("y.lead")) & (F.col("x.z") == F.col("y.z"))
     more = over.alias("x").join(over.alias("y"), same & apart & ((F.abs(F.col("x.a") - F.col("y.a")) + lacks) * (den + num) <= slack))
-    rest = stored(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).union(more.select(F.col("x.node"), F.col("y.node"))).distinct())
+    # where no added shingle was cut off, the collisions are all that the two share beyond the family
+    more = more.groupBy(F.col("x.lead"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
+        F.count("*").alias("o"), F.max(F.col("x.all") & F.col("y.all")).alias("all"), F.max(F.col("x.a") + F.col("y.a") + lacks).alias("d"), F.max(slack).alias("slack"))
+    more = more.where(~F.col("all") | ((F.col("d") - 2 * F.col("o")) * (den + num) <= F.col("slack"))).select("a", "b")
+    rest = stored(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).union(more).distinct())
     few = rest.join(side("a", "sig"), "a").join(side("b", "sig"), "b").where(alike).select("a", "b")
     full = few.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").where(similar(shared_size)).select("a", "b")
     links = links.union(stored(full))
