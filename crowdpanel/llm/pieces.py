@@ -6,14 +6,15 @@ score at its end from the best score at its start. A character that no piece cov
 becomes byte pieces (or the unknown piece where a model has none). Among equal scores the longer last piece wins.
 
 Pieces hold the word mark (U+2581) only at their start, so the best segmentation of a text is that of its words one
-after the other, and a task keeps the words it has solved. A model with a mark elsewhere in a piece is solved text by
-text. Texts are normalised as the model says it: a leading space is put in front, spaces become word marks. A U+2581
+after the other, and a task keeps the words it has solved. Words are cut once more between characters that no piece
+holds side by side (line ends, most ideographs): nothing can cross there, so scripts without spaces are kept in parts
+too. A model with a mark elsewhere in a piece is solved text by text. Texts are normalised as the model says it: a leading space is put in front, spaces become word marks. A U+2581
 of the text itself is written in bytes, so decoding gives back every text exactly.
 
 Scores are those of the model. For a model trained as BPE they are merge ranks; the method here takes the best sum of
 scores, which is not the order of merges, so ids differ from a merge-based encoder while the round trip is exact.
 
-Null and empty texts have no ids; both decode to an empty text. Rows pass through with all their columns.
+Null and empty texts have no ids; both decode to an empty text, and a null id to nothing. Rows pass through with all their columns.
 """
 
 from __future__ import annotations
@@ -22,17 +23,45 @@ import re
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from .common import list_array
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Solved words that a task keeps, by number and by length of a word.
+#: Solved words that a task keeps, by number (and as many old ones) and by length of a word.
 MEMORY_WORDS, MEMORY_LENGTH = 200_000, 64
 
 
+class _Solved(dict):
+    """Packed ids of words by word. A new one is solved, and kept if it is short; when the table is full it becomes the
+    old one, from which words that come up again are taken back."""
+
+    def __init__(self, solve):
+        self.solve, self.old = solve, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.solve(word)
+            if len(word) > MEMORY_LENGTH:
+                return ids
+        if len(self) >= MEMORY_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+def _packed(ids) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 class Pieces:
     """Pieces with scores; ids of bytes, the unknown piece and pieces that are not text."""
 
@@ -50,7 +79,25 @@ class Pieces:
         ordinary = [s for i, s in enumerate(scores) if i not in skip]
         self.penalty = (min(ordinary) if ordinary else 0.0) - 10.0
         self.by_word = all(MARK not in p.lstrip(MARK) for i, p in enumerate(pieces) if i not in skip)
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Pairs of characters that some piece holds side by side.
+        self.pairs = {p[i:i + 2] for k, p in enumerate(pieces) if k not in skip for i in range(len(p) - 1)}
+        # signs that no piece holds behind anything but such signs and marks: text is cut in front of their runs
+        signs = {c for c in map(chr, range(128)) if not c.isalnum() and c != " "}
+        while joined := {y for x, y in self.pairs if y in signs and x not in signs and x != MARK}:
+            signs -= joined
+        some = re.escape("".join(sorted(signs)))
+        rest = f"[^{MARK}{some}]"
+        self.words = re.compile(f"{MARK}+[{some}]*{rest}*|[{some}]+{rest}*|{rest}+" if signs else f"{MARK}*{rest}+|{MARK}+")
+        self.parts = _Solved(lambda part: _packed(self.viterbi(part)))
+        self.solved = _Solved(lambda word: b"".join(map(self.parts.__getitem__, self.cut(word))))
+        self.blobs = pa.array([bytes((self.byte_of[i],)) if i in self.byte_of else b"" if i in silent else p.replace(MARK, " ").encode()
+                               for i, p in enumerate(pieces)], pa.large_binary())
+
+    def cut(self, word: str) -> list[str]:
+        """Consecutive parts of a word that no piece reaches across."""
+        pairs = self.pairs
+        at = [0, *[i for i in range(1, len(word)) if word[i - 1:i + 1] not in pairs], len(word)]
+        return [word[a:b] for a, b in zip(at, at[1:])]
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -96,38 +143,37 @@ class Pieces:
             at -= size
         return tuple(reversed(out))
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as 32-bit integers one after the other."""
         if not text:
-            return []
-        out: list[int] = []
+            return b""
+        out: list[bytes] = []
         for k, part in enumerate(text.split(MARK)):
             if k:
-                out += self._escape(MARK)
+                out.append(_packed(self._escape(MARK)))
             plain = (MARK + part if k == 0 else part).replace(" ", MARK)
-            if not self.by_word:
-                out += self.viterbi(plain)
-                continue
-            for word in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", plain):
-                ids = self.known.get(word)
-                if ids is None:
-                    ids = self.viterbi(word)
-                    if len(word) <= MEMORY_LENGTH:
-                        if len(self.known) >= MEMORY_WORDS:
-                            self.known.clear()
-                        self.known[word] = ids
-                out += ids
-        return out
+            # ``solved`` looks a word up, or solves it where it is new
+            out += map(self.solved.__getitem__, self.words.findall(plain)) if self.by_word else [_packed(self.viterbi(plain))]
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def encode_column(self, texts: pa.Array) -> pa.Array:
+        made = [self.packed(t) for t in texts.to_pylist()]
+        return list_array(pa.array(np.frombuffer(b"".join(made), np.int32)), np.array([len(m) // 4 for m in made], np.int64))
 
     def decode(self, ids: list[int]) -> str:
-        parts: list[bytes] = []
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                parts.append(bytes((b,)))
-            elif i not in self.silent:
-                parts.append(self.text[i].replace(MARK, " ").encode())
-        text = b"".join(parts).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        return self.decode_column(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+    def decode_column(self, ids: pa.Array) -> pa.Array:
+        flat = self.blobs.take(ids.flatten()).fill_null(b"")
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        _, offsets, data = flat.buffers()
+        offs = np.frombuffer(offsets, np.int64, count=len(flat) + 1, offset=8 * flat.offset)[ends].tolist() if len(flat) else [0] * len(ends)
+        raw = memoryview(data) if data is not None else memoryview(b"")
+        texts = [str(raw[a:b], "utf-8", "replace") for a, b in zip(offs, offs[1:])]
+        return pa.array([t[1:] if t[:1] == " " else t for t in texts], pa.string())
 
 
 @lru_cache(maxsize=2)
@@ -135,7 +181,7 @@ def loaded(path: str) -> Pieces:
     return Pieces.load(path)
 
 
-def _per_row(df: DataFrame, column: str, field: str, kind: pa.DataType, work) -> DataFrame:
+def _per_column(df: DataFrame, column: str, field: str, work) -> DataFrame:
     added = StructType.fromDDL(field)
     name = added.names[0]
     kept = [f for f in df.schema.fields if f.name != name]
@@ -144,8 +190,8 @@ def _per_row(df: DataFrame, column: str, field: str, kind: pa.DataType, work) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = pa.array([work(x) for x in part.column(part.schema.get_field_index(column)).to_pylist()], kind)
                 old = [part.column(part.schema.get_field_index(f.name)) for f in kept]
+                made = work(part.column(part.schema.get_field_index(column)))
                 yield pa.RecordBatch.from_arrays([*old, made], [*[f.name for f in kept], name])
 
     return df.mapInArrow(run, StructType([*kept, *added.fields]))
@@ -153,9 +199,9 @@ def _per_row(df: DataFrame, column: str, field: str, kind: pa.DataType, work) ->
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", model: str = MODEL) -> DataFrame:
     """``docs`` with the ids of each text; ``model`` is a path that every executor can open (or a file added to the job)."""
-    return _per_row(docs, text, f"{ids} array<int>", pa.list_(pa.int32()), lambda t: loaded(model).encode(t or ""))
+    return _per_column(docs, text, f"{ids} array<int>", lambda c: loaded(model).encode_column(c))
 
 
 def decode(rows: DataFrame, ids: str = "token_ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
     """``rows`` with the text of each list of ids."""
-    return _per_row(rows, ids, f"{text} string", pa.string(), lambda x: loaded(model).decode(x or []))
+    return _per_column(rows, ids, f"{text} string", lambda c: loaded(model).decode_column(c))
