@@ -83,7 +83,7 @@ def bootstrap_matched(frame: DataFrame, treated: Column, control: Column, strata
 
 def placebo(dayband: DataFrame, treated: Column, control: Column, n_draws: int = 200, seed: int = 0,
             key: str = "band") -> DataFrame:
-    """Mean and sd of differences when control days stand in for treated ones.
+    """Mean and population sd of differences when control days stand in for treated ones.
 
     Each draw marks as many control days as there are treated days, without
     replacement, and compares them with the remaining controls.
@@ -96,5 +96,5 @@ def placebo(dayband: DataFrame, treated: Column, control: Column, n_draws: int =
     fake = pool.withColumn("r", F.row_number().over(order)).join(F.broadcast(m)).select(
         "draw", "date", F.when(F.col("r") <= F.col("m"), "t").otherwise("c").alias("side"))
     dids = did_draws(dayband, fake, key)
-    return dids.groupBy(key).agg(F.avg("did").alias("placebo_mean"), F.stddev_samp("did").alias("placebo_sd"),
+    return dids.groupBy(key).agg(F.avg("did").alias("placebo_mean"), F.stddev_pop("did").alias("placebo_sd"),
                                  F.count("*").alias("n_draws"))

@@ -14,9 +14,9 @@ from .joins import one_row
 from .reshape import sample_rows, union_all
 from .windows import demean
 
-# Quantile ladder of the target profile.
+# Quantile ladder of the target profile, words in names of date columns.
 LADDER = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9, "q99": 0.99, "q999": 0.999}
-DATE_HINTS = ("date", "week_start", "ts", "timestamp", "day")
+DATE_HINTS = ("date", "datetime", "timestamp", "ts", "day", "time")
 
 
 def missingness(df: DataFrame, structural: Mapping[str, tuple[str, Column]]) -> DataFrame:

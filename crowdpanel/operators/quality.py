@@ -151,11 +151,15 @@ def hours_per_visit(weekly: DataFrame, lo: float = 2.5, hi: float = 6.0, name: s
     return check(exact_quantiles(ratios, "r", {"m": 0.5}), name, F.col("m").between(lo, hi), F.format_string("median %.3f", "m"))
 
 
-def dwell_agreement(df: DataFrame, dwell: str, weights: dict[str, float], hours: str, min_corr: float = 0.85,
+# Whole-hour buckets that a visit of each dwell class spans on average.
+DWELL_HOURS = {"<5": 1.042, "5-20": 1.208, "21-60": 1.667, "61-240": 3.5, ">240": 6.0}
+
+
+def dwell_agreement(df: DataFrame, dwell: str, hours: str, weights: dict[str, float] = DWELL_HOURS, min_corr: float = 0.85,
                     span: tuple[float, float] = (0.7, 1.4), name: str = "dwell") -> DataFrame:
-    """Hours implied by dwell buckets against measured hours: correlation and ratio."""
+    """Hours implied by dwell buckets against measured hours: correlation and ratio over rows that imply any."""
     implied = weighted_keys(F.from_json(dwell, "map<string,double>"), weights)
-    one = df.select(implied.alias("i"), F.col(hours).cast("double").alias("h")).agg(
+    one = df.select(implied.alias("i"), F.col(hours).cast("double").alias("h")).filter("i > 0").agg(
         F.corr("i", "h").alias("r"), F.try_divide(F.sum("h"), F.nullif(F.sum("i"), F.lit(0.0))).alias("q"))
     return check(one, name, (F.col("r") >= min_corr) & F.col("q").between(*span), F.format_string("r %.4f, ratio %.4f", "r", "q"),
                  "crosscheck")
@@ -260,8 +264,12 @@ def overlap_identical(original: DataFrame, extended: DataFrame, keys: Sequence[s
 
 
 def response_order(bands: DataFrame, name: str = "response_order") -> DataFrame:
-    """Band lifts do not rise with distance unless the intervals overlap."""
-    w = Window.orderBy("band")  # a handful of bands
-    prev, prev_hi = F.lag("did").over(w), F.lag("hi").over(w)
-    rising = bands.withColumn("up", (F.col("did") > prev) & (F.col("lo") > prev_hi))
+    """Band lifts do not rise with distance unless the intervals overlap; a band without an interval overlaps none.
+
+    Bands follow the number in their label, then the label.
+    """
+    w = Window.orderBy(F.regexp_extract("band", r"(\d+)", 1).try_cast("int"), "band")  # a handful of bands
+    prev, prev_lo, prev_hi = F.lag("did").over(w), F.lag("lo").over(w), F.lag("hi").over(w)
+    overlap = F.coalesce((prev_lo <= F.col("hi")) & (F.col("lo") <= prev_hi), F.lit(False))
+    rising = bands.withColumn("up", (F.col("did") > prev + 1e-9) & ~overlap)
     return check(rising.agg(count_if(F.col("up")).alias("n")), name, F.col("n") == 0, F.format_string("%d rises", "n"), "expectation")

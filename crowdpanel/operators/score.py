@@ -109,7 +109,9 @@ def score_requests(requests: DataFrame, served: DataFrame, units: DataFrame, ste
                    within: Sequence[str] = ("b1", "b2", "b3", "b4"), hero: Sequence[str] = ("b1", "b2")) -> DataFrame:
     """One answer per request: focus unit levels, total within 2.5 km and hero lift.
 
-    All sums are made once per date; a request only looks up its date and unit.
+    All sums are made once per date; a request only looks up its date and unit. A
+    request whose date the table does not serve stays, with levels 0, without
+    ``extra_within`` and with the reason.
     """
     bands = band_response(served)
     inner, top = F.col("band").isin(*within), F.col("band").isin(*hero)
@@ -120,11 +122,12 @@ def score_requests(requests: DataFrame, served: DataFrame, units: DataFrame, ste
     focus = resolve_focus(requests, units, step)
     unit = served.select("date", "unit_id", F.round("cf", 2).alias("cf"), F.round("extra", 2).alias("extra"),
                          F.round(100 * lift_of(F.col("game"), F.col("cf")), 3).alias("lift_pct"))
-    answered = requests.join(focus, ["lat", "lon"], "left").join(headline, "date").join(unit, ["date", "unit_id"], "left")
+    answered = requests.join(focus, ["lat", "lon"], "left").join(headline.withColumn("_served", F.lit(True)), "date", "left").join(
+        unit, ["date", "unit_id"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return answered.select(*[F.col(c) for c in requests.columns], "unit_id", F.coalesce("snapped", F.lit(False)).alias("snapped"),
                            F.col("unit_id").isNull().alias("outside"), zero("cf"), zero("extra"), zero("lift_pct"),
-                           "extra_within", zero("hero_lift_pct"))
+                           "extra_within", zero("hero_lift_pct"), F.when(F.col("_served").isNull(), "date not served").alias("reason"))
 
 
 def next_events(requests: DataFrame, schedule: DataFrame, n: int, date: str = "date") -> DataFrame:

@@ -24,7 +24,7 @@ BAND_EFFECTS = {
 }
 
 
-def arrival_uplift(od: DataFrame, schedule: DataFrame, station: str, pre: int = 3,
+def arrival_uplift(od: DataFrame, schedule: DataFrame, station: str, pre: int = 2,
                    night_only: bool = True) -> DataFrame:
     """Arrivals in [start-pre, start] of each game minus the same weekday-hour means.
 

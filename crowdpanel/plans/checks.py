@@ -107,11 +107,11 @@ def _(t):
 
 @query("dwell_crosscheck", "Q14 ARR8 AG9", ROW, _row("dwell", "crosscheck", "r >= 0.85 AND q BETWEEN 0.7 AND 1.4", "printf('r %.4f, ratio %.4f', r, q)", """
     SELECT corr(2.5 * floor(value) + k, value) AS r, SUM(value) / SUM(2.5 * floor(value) + k) AS q
-    FROM (SELECT value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events)"""))
+    FROM (SELECT value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events) WHERE 2.5 * floor(value) + k > 0"""))
 def _(t):
     k = F.get_json_object("props", "$.k")
     rows = t.table("events").select("value", F.concat(F.lit('{"<5": '), F.floor("value").cast("string"), F.lit(', "21-60": '), k, F.lit("}")).alias("dwell"))
-    return quality.dwell_agreement(rows, "dwell", {"<5": 2.5, "21-60": 1.0}, "value")
+    return quality.dwell_agreement(rows, "dwell", "value", {"<5": 2.5, "21-60": 1.0})
 
 
 @query("trip_lift_crosscheck", "Q15", ROW, _row("trip_lift", "crosscheck", "l BETWEEN 0.9 AND 1.1", "printf('lift %.4f', l)", """

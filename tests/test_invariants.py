@@ -199,7 +199,8 @@ def test_arrival_uplift(spark):
             od.append(Row(date=D0 + timedelta(1 + 7 * week), hour=h, origin="A", destination="S", trip_count=n))
             od.append(Row(date=D0 + timedelta(1 + 7 * week), hour=h, origin="A", destination="Z", trip_count=999))
     sched = spark.createDataFrame([Row(date=D0 + timedelta(1), first_hour=18, opponent="x", day_night="night")])
-    got = arrival_uplift(spark.createDataFrame(od), sched, "S", pre=2).first()
+    od.append(Row(date=D0 + timedelta(1), hour=15, origin="A", destination="S", trip_count=7))  # before the window
+    got = arrival_uplift(spark.createDataFrame(od), sched, "S").first()
     assert (got.game_arrivals, got.baseline_arrivals, got.uplift) == (900, 300.0, 600.0)
 
 
@@ -240,6 +241,23 @@ def test_missingness_separates_structure_from_gaps(spark):
     assert (got["first_hour"].n_null, got["first_hour"].structural, got["first_hour"].gap) == (3, 2, 1) and got["temp"].gap == 1
 
 
+def test_response_order_needs_overlapping_intervals(spark):
+    def ok(*rows):
+        return quality.response_order(spark.createDataFrame(rows, "band string, did double, lo double, hi double")).first().ok
+
+    assert ok(("b1", 0.4, 0.3, 0.5), ("b2", 0.1, 0.0, 0.2))
+    assert ok(("b1", 0.10, 0.0, 0.2), ("b2", 0.15, 0.1, 0.3))
+    assert not ok(("b1", 0.1, 0.0, 0.2), ("b2", 0.4, 0.3, 0.5))
+    assert not ok(("b1", 0.1, None, None), ("b2", 0.4, None, None))
+    assert ok(("b2", 0.3, 0.2, 0.4), ("b10", 0.1, 0.0, 0.15))
+
+
+def test_dwell_agreement_leaves_out_rows_that_imply_nothing(spark):
+    rows = [('{"<5": 10}', 10.5), ('{"61-240": 10}', 35.0), ('{"5-20": 100}', 121.0), ('{"<5": 0}', 5000.0), (None, 9000.0)]
+    got = quality.dwell_agreement(spark.createDataFrame(rows, "dwell string, hours double"), "dwell", "hours").first()
+    assert got.ok, got.detail
+
+
 def test_feature_contract():
     class Fake:
         def __init__(self, dtypes):
