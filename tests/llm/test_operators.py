@@ -72,6 +72,24 @@ def test_pieces_take_the_best_segmentation():
         assert sum(score[i] for i in model.viterbi(word)) == pytest.approx(best(word))
 
 
+def test_cut_words_keep_the_best_segmentation():
+    model = pieces.loaded(pieces.MODEL)
+    draw = random.Random(2)
+    for _ in range(200):
+        text = "".join(draw.choice("ab.,\n\té漢e'!s ") for _ in range(draw.randrange(1, 90)))
+        assert model.encode(text) == list(model.viterbi((pieces.MARK + text).replace(" ", pieces.MARK)))
+        assert model.decode(model.encode(text)) == text
+    assert model.decode([]) == model.decode([None]) == ""
+
+
+def test_solved_words_survive_a_full_table(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMORY_WORDS", 3)
+    asked = []
+    solved = pieces._Solved(lambda w: asked.append(w) or w.encode())
+    assert [solved[w] for w in "abcdaab"] == [w.encode() for w in "abcdaab"]
+    assert asked == list("abcd") and len(solved) <= 3 and len(solved.old) <= 3
+
+
 def test_pieces_round_trip(spark, odd):
     got = queries.op2_sentencepiece(spark, SF).collect()
     assert len(got) == 200 and all(r["round_trip"] for r in got)
