@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from crowdpanel.functions import dates, flags, geo
-from crowdpanel.operators import bootstrap, controls, days, disagg, effects, model, panel, profiling, quality, unpack
+from crowdpanel.operators import bootstrap, controls, days, disagg, effects, model, panel, profiling, quality, score, unpack
 from crowdpanel.operators.baseline import rolling_baseline
 from crowdpanel.operators.uplift import arrival_uplift, dollarize
 
@@ -278,3 +278,13 @@ def test_quarters_need_enough_days(spark):
 def test_relative_hour_and_holidays(spark):
     df = spark.createDataFrame([(date(2024, 7, 4),), (date(2024, 11, 28),), (date(2025, 5, 26),), (date(2024, 7, 5),)], "d date")
     assert [r[0] for r in df.select(dates.is_federal_holiday(F.col("d"))).collect()] == [True, True, True, False]
+
+
+def test_requests_of_unserved_dates_stay(spark):
+    served = spark.createDataFrame([(D0, "u", "b1", 10.0, 4.0, 5.0, 1.0)], "date date, unit_id string, band string, dist_m double, cf double, game double, extra double")
+    units = spark.createDataFrame([("u", 37.77, -122.39)], "unit_id string, lat double, lon double").withColumn(
+        "gi", geo.grid_index(F.col("lat"), geo.GRID_STEP[0])).withColumn("gj", geo.grid_index(F.col("lon"), geo.GRID_STEP[1]))
+    asked = spark.createDataFrame([(1, D0, 37.77, -122.39), (2, D0 + timedelta(1), 37.77, -122.39)], "event_id long, date date, lat double, lon double")
+    got = {r.event_id: r for r in score.score_requests(asked, served, units).collect()}
+    assert (got[1].extra, got[1].extra_within, got[1].reason) == (1.0, 1.0, None)
+    assert (got[2].extra, got[2].extra_within, got[2].reason) == (0.0, None, "date not served")
