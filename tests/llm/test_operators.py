@@ -253,6 +253,16 @@ def test_components_of_chains_and_stars(spark):
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 130)}
 
 
+def test_components_of_a_long_path_in_random_order(spark):
+    """A path of 2,000 nodes with random 64-bit ids, and one whose ids fall and rise by turns."""
+    draw = random.Random(11)
+    path = [draw.randrange(-(1 << 63), 1 << 63) for _ in range(2000)]
+    turns = [10**6 + x for k in range(150) for x in (k, 299 - k)]
+    edges = [*zip(path, path[1:]), *zip(turns[1:], turns)]
+    got = {r["node"]: r["label"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(path, min(path)) | dict.fromkeys(turns, 10**6)
+
+
 def test_rules_stay_in_the_jvm(spark):
     plan = queries.op5_quality_rules(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
