@@ -109,7 +109,7 @@ FROM b LEFT JOIN bad USING (doc_id)
 
 
 def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, folder, "documents"))
+    return minhash.near_duplicates(table(spark, folder, "documents"), num=85, den=100)
 
 
 OP8 = rf"""

@@ -18,8 +18,8 @@ def shingle_set(text):
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def near(docs):
-    """doc_id -> (n_shingles, component_id) over all pairs that share a shingle."""
+def near(docs, num=85):
+    """doc_id -> (n_shingles, component_id) over all pairs that share a shingle; num: the least similarity in hundredths."""
     sets = {d: shingle_set(t) for d, t in docs}
     up = {d: d for d in sets}
 
@@ -38,7 +38,7 @@ def near(docs):
             for b in ds[i + 1:]:
                 both[min(a, b), max(a, b)] += 1
     for (a, b), n in both.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= num * (len(sets[a]) + len(sets[b]) - n):
             x, y = root(a), root(b)
             up[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), root(d)) for d in sets}

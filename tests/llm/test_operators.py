@@ -196,6 +196,18 @@ def test_near_duplicate_families(spark):
     assert got == brute.near(rows)
 
 
+def test_pipeline_drops_copies_from_a_similarity_of_80(spark):
+    """Pairs of texts of 100 words, the second with one to three words changed far apart: Jaccard 0.90, 0.81 and 0.73."""
+    rows = []
+    for k in range(1, 4):
+        words = ["p%dw%d" % (k, j) for j in range(100)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join("x" if j in (20, 50, 80)[:k] else w for j, w in enumerate(words)))]
+    named = brute.near(rows, 80)
+    assert [d for d, _ in rows if named[d][1] == d] == [10, 20, 30, 31] and brute.near(rows)[21][1] == 21
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r["doc_id"] for r in got) == [10, 20, 30, 31]
+
+
 def test_contamination_equals_plain(spark, docs):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, "Short Item here"), (901, None), (902, "the"), (903, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
