@@ -38,6 +38,9 @@ LETTER = np.zeros(256, bool)
 LETTER[0x61:0x7B] = LETTER[0x80:] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LOOKALIKE] + [ord(c) for c in SEPARATOR if c != " "]] = True
+#: Separators that stand for no letter.
+_EDGE = np.zeros(256, bool)
+_EDGE[[ord(c) for c in SEPARATOR if c not in LOOKALIKE and c != " "]] = True
 #: Letter codes of the trigram model: 0 is the edge of a word, 27 any letter beyond a-z.
 _CODE = np.zeros(256, np.int64)
 _CODE[0x61:0x7B] = np.arange(1, 27)
@@ -91,7 +94,9 @@ class Decoder:
         cost = self.cost
         # state: the last two letter codes; value: cost and a linked list of letters
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for char in token.lower():
+        token = token.lower()
+        shown = len(token.rstrip("!"))
+        for at, char in enumerate(token):
             letter = "a" <= char <= "z"
             other = not letter and char.isalpha()
             options = [(char, 0.0)] if letter or other else [(c, SWAP) for c in LOOKALIKE.get(char, "")]
@@ -108,7 +113,7 @@ class Decoder:
                     code = 27 if other else ord(c) - 96
                     put((b, code), value + row[code] + more, (c, path))
                 if not letter and not other:
-                    put((a, b), value + (DROP_SEPARATOR if char in SEPARATOR else DROP_OTHER), path)
+                    put((a, b), value + (DROP_SEPARATOR if char in SEPARATOR or at >= shown else DROP_OTHER), path)
                 elif path is not None and path[0] == char:
                     put((a, b), value + DROP_REPEAT, path)
             states = fresh
@@ -124,16 +129,22 @@ _RUN = re.compile(rb"(?<![A-Za-z0-9\x80-\xff])(?:[A-Za-z0-9@$!|*+][ ._-]){2,}[A-
 
 
 def suspects(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of tokens with a look-alike or separator before a letter, or a letter three times in a row."""
+    """Starts and ends of tokens with any letter that hold a look-alike, a separator inside, or a letter three times in a row.
+
+    Separators at the ends of a token are left out: every path drops them, so what is decoded stays the same.
+    """
     start, end = word_bounds(body, offs, NOT_SPACE)
+    core = np.flatnonzero(NOT_SPACE[body] & ~_EDGE[body])
+    first, last = np.searchsorted(core, start), np.searchsorted(core, end)
+    some = last > first
+    start, end = core[first[some]], core[last[some] - 1] + 1
     low = LOWER[body]
     letter = LETTER[low]
-    after = np.r_[letter[1:], False] if len(body) else letter
-    sign = _SIGN[low] & after
     triple = np.zeros(len(body), bool)
     triple[2:] = letter[2:] & (low[2:] == low[1:-1]) & (low[2:] == low[:-2])
-    total = np.r_[0, np.cumsum(sign | triple)]
-    odd = (total[end] > total[start]) & (np.r_[0, np.cumsum(letter)][end] - np.r_[0, np.cumsum(letter)][start] > 1)
+    letters, signs, triples = (np.r_[0, np.cumsum(x)] for x in (letter, _SIGN[low], triple))
+    odd = (signs[end] > signs[start]) | (triples[end] > triples[np.minimum(start + 2, end)])
+    odd &= letters[end] > letters[start]
     return start[odd], end[odd]
 
 

@@ -7,6 +7,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,36 @@ def test_toxicity_restores_disguised_words(spark):
         assert decoder.restore(shown) == "stupid"
 
 
+@pytest.fixture(scope="module")
+def decoder(spark):
+    docs = spark.createDataFrame([(k, "you are a stupid idiot full of hate and an ass man") for k in range(30)], "doc_id long, text string")
+    counts = np.zeros(28**3)
+    for code, n in toxicity.trigram_counts(docs).collect():
+        counts[code] = n
+    return toxicity.Decoder(counts)
+
+
+def slots(decoder, *texts):
+    """The slots of each text when all share one slice."""
+    row, slot = toxicity.word_slots(decoder, *common.text_bytes(pa.array(texts)))
+    return [set(slot[row == k].tolist()) for k in range(len(texts))]
+
+
+def test_toxicity_decodes_every_disguised_token(decoder):
+    want = {"idiot": ("idio7", "idi07", "1d107", "1d107!", '"idi07,"'), "hate": ("hat3", "h473"), "ass": ("a$$", "a55."), "stupid": ("$tup1d!", "stuuupid")}
+    for word, shown in want.items():
+        for text in shown:
+            assert slots(decoder, word)[0] <= slots(decoder, f"you {text} man")[0], text
+
+
+def test_toxicity_scores_disguised_words_alike(spark, decoder):
+    weight = np.zeros(toxicity.SLOTS)
+    weight[list(slots(decoder, "idiot")[0])] = 3
+    rows = [(1, "you idiot"), (2, "you idi07"), (3, "you 1d107"), (4, "you man"), (5, "you man, well.")]
+    got = toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), toxicity.Scorer(decoder, weight, -1.0)).orderBy("doc_id").collect()
+    assert [r["score"] > 0.5 for r in got] == [True, True, True, False, False] and [r["n_restored"] for r in got] == [0, 1, 1, 0, 0]
+
+
 def test_archives_round_trip(spark):
     rows = [(i, f"http://x/{i}\r\nX: y", ("payload %d " % (i % 3)) * 200) for i in range(40)] + [(50, None, None), (51, "u", ""), (None, "u", "payload 0 " * 200), (60, "u", "ä" * 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
