@@ -77,20 +77,20 @@ class Decoder:
         bigram = (two + 5 * unigram) / (two.sum(axis=1, keepdims=True) + 5)
         chance = (three + 5 * bigram[None]) / (three.sum(axis=2, keepdims=True) + 5)
         self.cost = (-np.log(chance)).tolist()
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple[str, bool], str] = {}
 
-    def restore(self, token: str) -> str:
-        """The most likely word behind a token, lower-case letters only."""
-        got = self.known.get(token)
+    def restore(self, token: str, cut: bool = False) -> str:
+        """The most likely word behind a token, lower-case letters only; with ``cut`` white space may also end a word."""
+        got = self.known.get((token, cut))
         if got is None:
-            got = self._viterbi(token)
+            got = self._viterbi(token, cut)
             if len(token) <= 64:
                 if len(self.known) > 100_000:
                     self.known.clear()
-                self.known[token] = got
+                self.known[token, cut] = got
         return got
 
-    def _viterbi(self, token: str) -> str:
+    def _viterbi(self, token: str, cut: bool) -> str:
         cost = self.cost
         # state: the last two letter codes; value: cost and a linked list of letters
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
@@ -113,7 +113,9 @@ class Decoder:
                     code = 27 if other else ord(c) - 96
                     put((b, code), value + row[code] + more, (c, path))
                 if not letter and not other:
-                    put((a, b), value + (DROP_SEPARATOR if char in SEPARATOR or at >= shown else DROP_OTHER), path)
+                    put((a, b), value + (DROP_SEPARATOR if char in SEPARATOR or char.isspace() or at >= shown else DROP_OTHER), path)
+                    if cut and char.isspace() and b:
+                        put((0, 0), value + row[0] + DROP_SEPARATOR, (" ", path))
                 elif path is not None and path[0] == char:
                     put((a, b), value + DROP_REPEAT, path)
             states = fresh
@@ -125,7 +127,30 @@ class Decoder:
         return "".join(reversed(out))
 
 
-_RUN = re.compile(rb"(?<![A-Za-z0-9\x80-\xff])(?:[A-Za-z0-9@$!|*+][ ._-]){2,}[A-Za-z0-9@$!|*+](?![A-Za-z0-9\x80-\xff])")
+_RUN = re.compile(rb"(?<![A-Za-z0-9\x80-\xff])(?:[A-Za-z0-9@$!|*+][\s._-]+){2,}[A-Za-z0-9@$!|*+](?![A-Za-z0-9\x80-\xff])")
+_GAP, _FIRST, _LAST = re.compile(rb"[\s._-]+"), re.compile(rb"^.[\s._-]+"), re.compile(rb"[\s._-]+.$")
+
+
+def readings(decoder: Decoder, run: bytes) -> str:
+    """Restored words of a run of single characters: with word breaks at white space, as one word, and as one word without the first,
+    the last or both characters, as these may be words of their own. Stretches between gaps unlike the run's most common gap are read as well."""
+    parts, gaps = [run], _GAP.findall(run)
+    if len(set(gaps)) > 1:
+        usual = max(sorted(set(gaps)), key=gaps.count)
+        chars = _GAP.split(run)
+        part = chars[0]
+        for gap, char in zip(gaps, chars[1:]):
+            if gap == usual:
+                part += gap + char
+            else:
+                parts.append(part)
+                part = char
+        parts = [x for x in [*parts, part] if len(x) > 1]
+    out = []
+    for x in parts:
+        head, tail = _FIRST.sub(b"", x), _LAST.sub(b"", x)
+        out += [decoder.restore(x.decode("ascii"), cut=True), *[decoder.restore(y.decode("ascii")) for y in (x, head, tail, _LAST.sub(b"", head))]]
+    return " ".join(out)
 
 
 def suspects(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,10 +180,9 @@ def restored(decoder: Decoder, body: np.ndarray, offs: np.ndarray) -> tuple[list
     words = [decoder.restore(raw[a:b].decode("utf-8", "replace")) for a, b in zip(start.tolist(), end.tolist())]
     row = np.searchsorted(offs, start, side="right") - 1
     spaced, where = [], []
-    for m in _RUN.finditer(raw):
-        k = int(np.searchsorted(offs, m.start(), side="right")) - 1
-        if m.end() <= offs[k + 1]:
-            spaced.append(decoder.restore(m[0].decode("utf-8", "replace")))
+    for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+        for m in _RUN.finditer(raw[a:b]):
+            spaced.append(readings(decoder, m[0]))
             where.append(k)
     return words + spaced, np.r_[row, np.array(where, np.int64)]
 

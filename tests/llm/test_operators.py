@@ -158,6 +158,22 @@ def test_toxicity_decodes_every_disguised_token(decoder):
             assert slots(decoder, word)[0] <= slots(decoder, f"you {text} man")[0], text
 
 
+def test_toxicity_finds_spaced_words(decoder):
+    shown = ("you are a s t u p i d man", "s t u p i d a man", "s  t  u  p  i  d", "s\tt\tu\tp\ti\td", "s\nt\nu\np\ni\nd", "s. t. u. p. i. d", "s t u p i d\ni d i o t", "s t u p i d  i d i o t")
+    for text in shown:
+        assert slots(decoder, "stupid")[0] <= slots(decoder, text)[0], text
+    assert all(slots(decoder, "idiot")[0] <= slots(decoder, text)[0] for text in shown[-2:])
+
+
+def test_toxicity_rows_do_not_see_their_neighbours(decoder):
+    """Spaced words and repeated letters at the ends of rows, in one slice and each in its own."""
+    rows = ["s t u p i d", "you", "x s t u p i d", "a man", "s t u p i d", "i d i o t", "ss", "ss man", "", "7 i d i o t"]
+    assert slots(decoder, *rows) == [slots(decoder, r)[0] for r in rows]
+    assert all(slots(decoder, "stupid")[0] <= slots(decoder, *rows)[k] for k in (0, 2, 4))
+    starts = toxicity.suspects(*common.text_bytes(pa.array(["zoo", "oh"])))[0]
+    assert len(starts) == 0
+
+
 def test_toxicity_scores_disguised_words_alike(spark, decoder):
     weight = np.zeros(toxicity.SLOTS)
     weight[list(slots(decoder, "idiot")[0])] = 3
