@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import arrays, geo
 from ..functions.stats import count_if
@@ -137,13 +138,12 @@ def json_vectors(df: DataFrame, node: str, text: str) -> DataFrame:
     return flat.groupBy("node_id", "key").agg(F.sum("v").alias("w"))
 
 
-def _best_of_block(k: int, floor: float, directed: bool):
-    """Grouped function: the k best partners of each left node inside one block pair."""
+def _best_of_block(k: int, floor: float, directed: bool, signed: bool):
+    """Grouped function: the k best partners of each left node inside one block pair; all of them for signed weights."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64")})
         if left.empty or right.empty:
-            return empty
+            return pd.DataFrame({"src": left["l_id"][:0], "dst": left["l_id"][:0]})
         lid, li = np.unique(left["l_id"].to_numpy(), return_inverse=True)
         rid, ri = np.unique(right["r_id"].to_numpy(), return_inverse=True)
         score = np.zeros((len(lid), len(rid)))
@@ -158,15 +158,16 @@ def _best_of_block(k: int, floor: float, directed: bool):
         for allowed in groups:
             masked = np.where(allowed & (score >= floor), score, -1.0)
             # rid is sorted, so a stable sort breaks ties by the smaller id
-            order = np.argsort(-masked, axis=1, kind="stable")[:, :k]
+            order = np.argsort(-masked, axis=1, kind="stable")[:, :None if signed else k]
             rows = np.repeat(np.arange(len(lid)), order.shape[1])
             cols = order.ravel()
             good = masked[rows, cols] >= 0
             out.append(pd.DataFrame({"src": lid[rows[good]], "dst": rid[cols[good]]}))
-        both = pd.concat(out)
+        both = pd.concat(out, ignore_index=True)
         if not directed:
-            both = pd.DataFrame({"src": both.min(axis=1), "dst": both.max(axis=1)})
-        return both.drop_duplicates().astype("int64") if len(both) else empty
+            less = (both["src"] < both["dst"]).to_numpy()
+            both = pd.DataFrame({"src": both["src"].where(less, both["dst"]), "dst": both["dst"].where(less, both["src"])})
+        return both.drop_duplicates()
 
     return run
 
@@ -176,7 +177,7 @@ def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEI
     """(src, dst, cos) of sparse vectors with cosine >= min_cos.
 
     ``mutual`` keeps each pair once (src < dst) if it ranks k or better at either
-    end; ``directed`` keeps the k best per source. Integer node ids.
+    end; ``directed`` keeps the k best per source. Integer or text node ids.
 
     Keys held by up to ``heavy`` nodes meet in a join on the key. A key held by
     more would emit the square of its holders, so such keys are left out of that
@@ -184,7 +185,9 @@ def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEI
     nodes' heavy sub-vectors, and pairs that share heavy keys only are found block
     by block, where a task scores two bounded blocks of nodes and emits just the k
     best per node. Exact: a pair without a light key in common scores the same in
-    the block, and whatever beats it there beats it in full.
+    the block, and whatever beats it there beats it in full. With a negative weight
+    a light part can take away from what beats it, so then a block emits all its
+    pairs at the floor, up to the square of its nodes.
     """
     directed = mode == "directed"
     w2 = F.col("w") * F.col("w")
@@ -198,14 +201,16 @@ def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEI
 
     a = light.select("key", F.col("node_id").alias("src"), F.col("u").alias("_a"), F.col("hn").alias("_ha"))
     b = light.select("key", F.col("node_id").alias("dst"), F.col("u").alias("_b"), F.col("hn").alias("_hb"))
-    # The heavy parts can add at most the product of their lengths: most pairs end here.
+    # The heavy parts can add at most the product of their lengths: most pairs end here. A negative
+    # light part stays, as the blocks may give the pair by its heavy part alone.
     found = a.join(b, "key").filter(F.col("src") < F.col("dst")).groupBy("src", "dst").agg(
         F.sum(F.col("_a") * F.col("_b")).alias("light"), F.max(F.col("_ha") * F.col("_hb")).alias("_more")).filter(
-        F.col("light") + F.col("_more") >= min_cos - 1e-8).drop("_more")
+        (F.col("light") + F.col("_more") >= min_cos - 1e-8) | (F.col("light") < 0)).drop("_more")
     if hot.isEmpty():
         scored = found.withColumnRenamed("light", "cos")
     else:
-        scored = _with_heavy_keys(found, hot, min_cos, k, directed, block_rows)
+        signed = not light.filter("u < 0").isEmpty()
+        scored = _with_heavy_keys(found, hot, min_cos, k, directed, block_rows, signed)
     scored = scored.filter(F.round("cos", 9) >= min_cos)
     rank_by = F.round("cos", 9)
     if not directed:
@@ -214,7 +219,7 @@ def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEI
     return top_k(scored.select(both.alias("e"), "cos").select("e.*", "cos"), ["src"], [rank_by.desc(), F.col("dst")], k, "_r").drop("_r")
 
 
-def _with_heavy_keys(found: DataFrame, hot: DataFrame, min_cos: float, k: int, directed: bool, block_rows: int) -> DataFrame:
+def _with_heavy_keys(found: DataFrame, hot: DataFrame, min_cos: float, k: int, directed: bool, block_rows: int, signed: bool) -> DataFrame:
     """Light pairs with their heavy part added, and the best pairs that share heavy keys only."""
     n_blocks = hot.agg(F.ceil(F.approx_count_distinct("node_id") / F.lit(block_rows)).cast("int").alias("_n"))
     blocked = hot.join(F.broadcast(n_blocks)).withColumn(
@@ -226,7 +231,7 @@ def _with_heavy_keys(found: DataFrame, hot: DataFrame, min_cos: float, k: int, d
                            others.alias("r1"), F.col("_b").alias("r2"))
     # A (left node, block) answer holds at most k rows per side, so candidates stay linear in nodes x blocks.
     best = left.groupBy("l1", "l2").cogroup(right.groupBy("r1", "r2")).applyInPandas(
-        _best_of_block(k, min_cos, directed), "src long, dst long")
+        _best_of_block(k, min_cos, directed, signed), StructType([StructField(c, hot.schema["node_id"].dataType) for c in ("src", "dst")]))
     only_hot = best.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     pairs = found.join(only_hot, ["src", "dst"], "full")
     packed = hot.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "u"))).alias("m"))

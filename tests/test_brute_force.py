@@ -103,6 +103,25 @@ def test_cosine_with_a_hot_key(spark, mode):
         assert got == want, heavy
 
 
+@pytest.mark.parametrize("mode", ["mutual", "directed"])
+def test_cosine_of_text_ids_and_signed_weights(spark, mode):
+    rnd = random.Random(12)
+    vec = {f"n{i}": {k: rnd.choice([-1, 1]) * float(rnd.randint(1, 9)) for k in rnd.sample(range(30), 4)} | {99: float(rnd.randint(5, 9))} for i in range(60)}
+    length = {i: math.sqrt(sum(w * w for w in m.values())) for i, m in vec.items()}
+    cos = {(a, b): round(sum(vec[a][k] * vec[b].get(k, 0.0) for k in vec[a]) / length[a] / length[b], 9) for a in vec for b in vec if a != b}
+    cos = {p: c for p, c in cos.items() if c >= 0.1}
+    if mode == "mutual":
+        cos = {(a, b): c for (a, b), c in cos.items() if a < b}
+    want = {(a, b) for a in vec for c, b in sorted((-c, b) for (x, b), c in cos.items() if x == a)[:3]}
+    if mode == "mutual":
+        want |= {(a, b) for b in vec for c, a in sorted((-c, a) for (a, x), c in cos.items() if x == b)[:3]}
+    rows = [(i, k, w) for i, m in vec.items() for k, w in m.items()]
+    df = spark.createDataFrame(rows, "node_id string, key long, w double")
+    for heavy in (1000, 20, 0):  # all light, mixed, all heavy
+        got = {(r.src, r.dst) for r in graph.cosine_edges(df, k=3, mode=mode, heavy=heavy, block_rows=16).collect()}
+        assert got == want, heavy
+
+
 @pytest.mark.parametrize("strict", [True, False])
 @pytest.mark.parametrize("block", ["hour", "day", "month"])
 def test_asof_with_a_hot_key(spark, strict, block):
