@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mil, minhash, pieces, rules, secrets, suffix_dedup, toxicity, warc
+from . import decontam, line_dedup, mil, minhash, phrases, pieces, rules, secrets, suffix_dedup, toxicity, warc
 from .common import stored, table
 
 #: A-Z alone are lower-cased, in both engines.
@@ -153,6 +153,33 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"), least=30, longest=4, absorb=80, first=2000)
+
+
+OP11 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_FOLD}, '[.,;:!?\x0A-\x0D]')) AS s FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM p),
+z AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM w),
+o AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM z),
+g AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*)::HUGEINT AS f FROM o GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, g, f, string_split(g, ' ') AS w FROM g WHERE k >= 2 AND f >= 30),
+parts AS (SELECT lang, g, f AS a, k, w, unnest(range(1, k)) AS j FROM c),
+sides AS MATERIALIZED (SELECT lang, g, a, j, array_to_string(w[1:j], ' ') AS gl, array_to_string(w[j + 1:k], ' ') AS gr FROM parts),
+cut AS (SELECT sides.*, x.f AS l, y.f AS r, 2000000 * a // (x.f + y.f) AS score FROM sides JOIN g x ON x.lang = sides.lang AND x.g = gl JOIN g y ON y.lang = sides.lang AND y.g = gr),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+len_ AS (SELECT lang, f, k, w, unnest(range(2, k)) AS d FROM c),
+at_ AS (SELECT lang, f, w, d, unnest(range(1, k - d + 2)) AS s FROM len_),
+sub AS (SELECT lang, array_to_string(w[s:s + d - 1], ' ') AS g, max(f) AS f FROM at_ GROUP BY ALL),
+fit AS (SELECT low.* FROM low LEFT JOIN sub USING (lang, g) WHERE NOT coalesce(100 * sub.f >= 80 * low.a, false)),
+t AS (SELECT lang, g AS phrase, a, l, r, score FROM fit)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+       CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM t JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -164,5 +191,6 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_phrases": op11_phrases,
 }
-ORACLES = {"op4_warc": OP4, "op5_quality_rules": OP5, "op8_minhash": OP8, "op9_decontamination": OP9}
+ORACLES = {"op4_warc": OP4, "op5_quality_rules": OP5, "op8_minhash": OP8, "op9_decontamination": OP9, "op11_phrases": OP11}
