@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mil, minhash, phrases, pieces, rules, secrets, suffix_dedup, toxicity, warc
+from . import decontam, line_dedup, mil, minhash, phrases, pieces, rules, secrets, suffix_dedup, toxicity, trie, warc
 from .common import stored, table
 
 #: A-Z alone are lower-cased, in both engines.
@@ -180,6 +180,30 @@ FROM t JOIN n USING (lang) QUALIFY rank <= 2000
 """
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    convs, turns = trie.rebuilt(trie.paths(table(spark, folder, "conversations")), block=20, kinds=4)
+    return trie.prefix_nodes(convs, turns)
+
+
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda v, x:
+      list_reduce(list_prepend(xor(v, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"""
+OP12 = rf"""
+WITH t AS (SELECT conv_id AS c, turn, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+l AS MATERIALIZED (SELECT c, list(x ORDER BY turn NULLS FIRST, x.r, x.t) AS w FROM t GROUP BY c),
+h AS MATERIALIZED (SELECT c, w, {_CRC32} % 4 AS h FROM l),
+r AS MATERIALIZED (SELECT h.c, coalesce(b.w[1:h.h], []) || h.w[h.h + 1:] AS w FROM h LEFT JOIN l b ON b.c = h.c - h.c % 20),
+steps AS (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM r),
+node AS MATERIALIZED (SELECT d, w[1:d] AS p, min(c) AS conv_id, count(*) AS n_convs, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(w) = d) AS ends FROM steps GROUP BY ALL),
+kids AS MATERIALIZED (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+own AS MATERIALIZED (SELECT node.*, coalesce(kids.n, 0) AS n_children,
+        CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[d].t, '{_SPACED}')) END AS saved FROM node LEFT JOIN kids USING (d, p)),
+up AS (SELECT p, n_children, saved, unnest(range(0, d + 1)) AS d FROM own),
+below AS MATERIALIZED (SELECT d, p[1:d] AS p, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY ALL)
+SELECT own.conv_id, own.d AS depth, above.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, sha256(coalesce(own.ends, '')) AS ends_sha256
+FROM own JOIN below USING (d, p) LEFT JOIN node above ON above.d = own.d - 1 AND above.p = own.p[1:own.d - 1]
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -192,5 +216,6 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_phrases": op11_phrases,
+    "op12_prefix_trie": op12_prefix_trie,
 }
-ORACLES = {"op4_warc": OP4, "op5_quality_rules": OP5, "op8_minhash": OP8, "op9_decontamination": OP9, "op11_phrases": OP11}
+ORACLES = {"op4_warc": OP4, "op5_quality_rules": OP5, "op8_minhash": OP8, "op9_decontamination": OP9, "op11_phrases": OP11, "op12_prefix_trie": OP12}
