@@ -29,9 +29,9 @@ WORD[[0x20, 0x09]] = False
 #: Bits of the marks of frequent words and pairs; more marks than fit only let more suffixes pass.
 MARK_BITS = 1 << 25
 #: Bytes of text that are counted together before rows leave a task.
-COUNT_BYTES = 8 << 20
+COUNT_BYTES = 3 << 20
 #: Suffixes that one task sorts.
-SHARE = 1 << 20
+SHARE = 1 << 19
 #: Sub-groups in which a language's rows are ranked before the last ranking.
 RANK_GROUPS = 64
 
