@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mil, minhash, phrases, pieces, rules, secrets, suffix_dedup, toxicity, trie, warc
+from . import decontam, html_blocks, line_dedup, mil, minhash, phrases, pieces, rules, secrets, suffix_dedup, toxicity, trie, warc
 from .common import stored, table
 
 #: A-Z alone are lower-cased, in both engines.
@@ -204,6 +204,10 @@ FROM own JOIN below USING (d, p) LEFT JOIN node above ON above.d = own.d - 1 AND
 """
 
 
+def op13_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_blocks.main_text(table(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -217,5 +221,6 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_phrases": op11_phrases,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_html_text": op13_html_text,
 }
 ORACLES = {"op4_warc": OP4, "op5_quality_rules": OP5, "op8_minhash": OP8, "op9_decontamination": OP9, "op11_phrases": OP11, "op12_prefix_trie": OP12}
