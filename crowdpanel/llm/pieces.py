@@ -14,7 +14,9 @@ of the text itself is written in bytes, so decoding gives back every text exactl
 Scores are those of the model. For a model trained as BPE they are merge ranks; the method here takes the best sum of
 scores, which is not the order of merges, so ids differ from a merge-based encoder while the round trip is exact.
 
-Null and empty texts have no ids; both decode to an empty text, and a null id to nothing. Rows pass through with all their columns.
+Null and empty texts have no ids; both decode to an empty text, and a null id to nothing. Repeated rows give equal rows, an empty table an empty one. Rows pass through
+with all their columns, but one named like a result is replaced by it. Texts are handled in slices of about a megabyte; a longer text makes a
+slice of its own. What a task remembers of solved words is bounded in bytes.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import list_array
+from .common import list_array, map_texts
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Solved words that a task keeps, by number (and as many old ones) and by length of a word.
-MEMORY_WORDS, MEMORY_LENGTH = 200_000, 64
+#: Solved words that each of a task's two tables keeps, by number and bytes (and as many old ones), and the length of a word that is kept.
+MEMORY_WORDS, MEMORY_BYTES, MEMORY_LENGTH = 200_000, 12 << 20, 64
+#: Bytes of a table entry besides its word and ids: headers of both objects and the slot.
+ENTRY_BYTES = 190
 
 
 class _Solved(dict):
@@ -43,7 +47,7 @@ class _Solved(dict):
     old one, from which words that come up again are taken back."""
 
     def __init__(self, solve):
-        self.solve, self.old = solve, {}
+        self.solve, self.old, self.bytes = solve, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
@@ -51,10 +55,12 @@ class _Solved(dict):
             ids = self.solve(word)
             if len(word) > MEMORY_LENGTH:
                 return ids
-        if len(self) >= MEMORY_WORDS:
-            self.old = dict(self)
+        size = ENTRY_BYTES + 4 * len(word) + len(ids)
+        if len(self) >= MEMORY_WORDS or self.bytes + size > MEMORY_BYTES:
+            self.old, self.bytes = dict(self), 0
             self.clear()
         self[word] = ids
+        self.bytes += size
         return ids
 
 
@@ -159,8 +165,9 @@ class Pieces:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
-    def encode_column(self, texts: pa.Array) -> pa.Array:
-        made = [self.packed(t) for t in texts.to_pylist()]
+    def encode_texts(self, body: np.ndarray, offs: np.ndarray) -> pa.Array:
+        raw = body.tobytes()
+        made = [self.packed(raw[a:b].decode("utf-8", "replace")) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
         return list_array(pa.array(np.frombuffer(b"".join(made), np.int32)), np.array([len(m) // 4 for m in made], np.int64))
 
     def decode(self, ids: list[int]) -> str:
@@ -199,7 +206,17 @@ def _per_column(df: DataFrame, column: str, field: str, work) -> DataFrame:
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", model: str = MODEL) -> DataFrame:
     """``docs`` with the ids of each text; ``model`` is a path that every executor can open (or a file added to the job)."""
-    return _per_column(docs, text, f"{ids} array<int>", lambda c: loaded(model).encode_column(c))
+    return map_texts(docs, text, f"{ids} array<int>", lambda body, offs: [loaded(model).encode_texts(body, offs)])
+
+
+def encode_and_decode(docs: DataFrame, text: str = "text", ids: str = "token_ids", decoded: str = "decoded", model: str = MODEL) -> DataFrame:
+    """``docs`` with the ids of each text and the text that these decode to; one Python worker of a task does both."""
+
+    def work(body: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
+        made = loaded(model).encode_texts(body, offs)
+        return [made, loaded(model).decode_column(made)]
+
+    return map_texts(docs, text, f"{ids} array<int>, {decoded} string", work)
 
 
 def decode(rows: DataFrame, ids: str = "token_ids", text: str = "decoded", model: str = MODEL) -> DataFrame:

@@ -19,7 +19,7 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    rows = pieces.decode(pieces.encode(table(spark, folder, "documents").select("doc_id", "text")))
+    rows = pieces.encode_and_decode(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crowdpanel.llm import html_blocks, phrases, queries, trie
+from crowdpanel.llm import html_blocks, phrases, pieces, queries, trie
 
 SF = "/root/testdata/sf0.001"
 
@@ -244,3 +244,21 @@ def test_given_pages_give_their_articles(spark):
         inside = re.search(r"<article>(.*?)</article>", r.html, re.S)[1].replace("<br>", " ")
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h\d)>", inside)]
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+def test_remembered_words_stay_under_their_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMORY_BYTES", 5000)
+    solved = pieces._Solved(lambda w: b"1234" * len(w))
+    for i in range(500):
+        assert solved[f"word{i}"] == b"1234" * len(f"word{i}")
+        for part in (solved, solved.old):
+            assert sum(pieces.ENTRY_BYTES + 4 * len(w) + len(ids) for w, ids in part.items()) <= 5000
+
+
+def test_one_step_encodes_and_decodes_alike(spark):
+    rows = [(1, None, "x", 1), (2, "", "x", 1), (3, "a b. c\n", "x", 1), (3, "a b. c\n", "x", 1), (4, "Ärger 日本 ▁ " * 150000, "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, decoded string, token_ids int")
+    got = sorted(((r.doc_id, r.decoded, r.token_ids) for r in pieces.encode_and_decode(df).collect()), key=lambda r: r[0])
+    model = pieces.loaded(pieces.MODEL)
+    assert got == [(i, t or "", model.encode(t or "")) for i, t, _, _ in rows]
+    assert pieces.encode_and_decode(df.limit(0)).collect() == []
