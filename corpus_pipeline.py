@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text that is left, with a check that they decode to it."""
-    rows = pieces.decode(pieces.encode(docs.select("doc_id", "text")))
+    rows = pieces.encode_and_decode(docs.select("doc_id", "text"))
     return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
