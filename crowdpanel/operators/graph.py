@@ -5,11 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from ..functions import arrays, geo
 from ..functions.stats import count_if
@@ -138,111 +135,55 @@ def json_vectors(df: DataFrame, node: str, text: str) -> DataFrame:
     return flat.groupBy("node_id", "key").agg(F.sum("v").alias("w"))
 
 
-def _best_of_block(k: int, floor: float, directed: bool, signed: bool):
-    """Grouped function: the k best partners of each left node inside one block pair; all of them for signed weights."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"src": left["l_id"][:0], "dst": left["l_id"][:0]})
-        lid, li = np.unique(left["l_id"].to_numpy(), return_inverse=True)
-        rid, ri = np.unique(right["r_id"].to_numpy(), return_inverse=True)
-        score = np.zeros((len(lid), len(rid)))
-        where = {key: (g["i"].to_numpy(), g["r_u"].to_numpy()) for key, g in right.assign(i=ri).groupby("r_key")}
-        for key, g in left.assign(i=li).groupby("l_key"):
-            if key in where:
-                cols, weights = where[key]
-                score[np.ix_(g["i"].to_numpy(), cols)] += np.outer(g["l_u"].to_numpy(), weights)
-        score = np.round(score, 9)
-        groups = [lid[:, None] != rid[None, :]] if directed else [lid[:, None] < rid[None, :], lid[:, None] > rid[None, :]]
-        out = []
-        for allowed in groups:
-            masked = np.where(allowed & (score >= floor), score, -1.0)
-            # rid is sorted, so a stable sort breaks ties by the smaller id
-            order = np.argsort(-masked, axis=1, kind="stable")[:, :None if signed else k]
-            rows = np.repeat(np.arange(len(lid)), order.shape[1])
-            cols = order.ravel()
-            good = masked[rows, cols] >= 0
-            out.append(pd.DataFrame({"src": lid[rows[good]], "dst": rid[cols[good]]}))
-        both = pd.concat(out, ignore_index=True)
-        if not directed:
-            less = (both["src"] < both["dst"]).to_numpy()
-            both = pd.DataFrame({"src": both["src"].where(less, both["dst"]), "dst": both["dst"].where(less, both["src"])})
-        return both.drop_duplicates()
-
-    return run
-
-
-def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEIGHBOURS, mode: str = "mutual",
-                 heavy: int = 2000, block_rows: int = 2000) -> DataFrame:
-    """(src, dst, cos) of sparse vectors with cosine >= min_cos.
+def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEIGHBOURS, mode: str = "mutual", block_rows: int = 1000) -> DataFrame:
+    """(src, dst, cos) of sparse vectors (node_id, key, w) with cosine >= min_cos > 0.
 
     ``mutual`` keeps each pair once (src < dst) if it ranks k or better at either
-    end; ``directed`` keeps the k best per source. Integer or text node ids.
-
-    Keys held by up to ``heavy`` nodes meet in a join on the key. A key held by
-    more would emit the square of its holders, so such keys are left out of that
-    join: their part of a dot product is added to the pairs it finds from the
-    nodes' heavy sub-vectors, and pairs that share heavy keys only are found block
-    by block, where a task scores two bounded blocks of nodes and emits just the k
-    best per node. Exact: a pair without a light key in common scores the same in
-    the block, and whatever beats it there beats it in full. With a negative weight
-    a light part can take away from what beats it, so then a block emits all its
-    pairs at the floor, up to the square of its nodes.
+    end; ``directed`` keeps the k best per source. Integer or text node ids, weights of either sign.
+
+    A norm-bounded inverted join. Keys are ordered from rare to common, and a node
+    offers its keys in that order until the norm of those left is below
+    ``min_cos``. Two nodes at the floor share a key that both offer: say x stops offering
+    first; if no key up to there is shared, the dot product lies within what x has left, and is at
+    most its norm (Cauchy-Schwarz, any signs). So common keys are joined only where a node has little else.
+    Offered keys with many holders are split into blocks on both sides, each task
+    meeting two blocks. Products of keys that were not offered at both ends are then added for
+    the pairs that can still reach the floor.
     """
-    directed = mode == "directed"
-    w2 = F.col("w") * F.col("w")
-    is_hot = F.col("_df") > heavy
-    tagged = vectors.join(vectors.groupBy("key").agg(F.count("*").alias("_df")), "key")
-    norms = tagged.groupBy("node_id").agg(F.sqrt(F.sum(w2)).alias("_len"), F.sqrt(F.sum(F.when(is_hot, w2).otherwise(0.0))).alias("_hot"))
-    unit = tagged.join(norms.filter("_len > 0"), "node_id").select(
-        "node_id", "key", "_df", (F.col("w") / F.col("_len")).alias("u"), (F.col("_hot") / F.col("_len")).alias("hn"))
-    unit = durable_table(unit)  # read four times below
-    light, hot = unit.filter(~is_hot), unit.filter(is_hot)
-
-    a = light.select("key", F.col("node_id").alias("src"), F.col("u").alias("_a"), F.col("hn").alias("_ha"))
-    b = light.select("key", F.col("node_id").alias("dst"), F.col("u").alias("_b"), F.col("hn").alias("_hb"))
-    # The heavy parts can add at most the product of their lengths: most pairs end here. A negative
-    # light part stays, as the blocks may give the pair by its heavy part alone.
-    found = a.join(b, "key").filter(F.col("src") < F.col("dst")).groupBy("src", "dst").agg(
-        F.sum(F.col("_a") * F.col("_b")).alias("light"), F.max(F.col("_ha") * F.col("_hb")).alias("_more")).filter(
-        (F.col("light") + F.col("_more") >= min_cos - 1e-8) | (F.col("light") < 0)).drop("_more")
-    if hot.isEmpty():
-        scored = found.withColumnRenamed("light", "cos")
-    else:
-        signed = not light.filter("u < 0").isEmpty()
-        scored = _with_heavy_keys(found, hot, min_cos, k, directed, block_rows, signed)
+    nodes_of_key = vectors.groupBy("key").agg(F.count("*").alias("_df"))
+    lengths = vectors.groupBy("node_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len")).filter("_len > 0")
+    unit = vectors.join(nodes_of_key, "key").join(lengths, "node_id").select("node_id", "key", "_df", (F.col("w") / F.col("_len")).alias("u"))
+    common_first = Window.partitionBy("node_id").orderBy(F.desc("_df"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = unit.withColumn("_left", F.sqrt(F.sum(F.col("u") * F.col("u")).over(common_first)))
+    # rounding may only make a node offer more
+    unit = left.withColumn("_offered", F.col("_left") >= min_cos * (1 - 1e-9))
+    rest = F.max(F.when(~F.col("_offered"), F.col("_left"))).over(common_first)
+    unit = durable_table(unit.select("node_id", "key", "u", "_offered", F.coalesce(rest, F.lit(0.0)).alias("rest")))  # read several times below
+    offered, kept = unit.filter("_offered"), unit.filter("NOT _offered")
+
+    holders = offered.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("_n"))
+    blocked = offered.join(holders, "key").withColumn("_b", F.pmod(F.xxhash64("node_id"), F.col("_n")).cast("int"))
+    one = blocked.select("key", F.col("node_id").alias("x"), F.col("u").alias("xu"), F.col("rest").alias("xr"), F.col("_b").alias("p"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("q"))
+    two = blocked.select("key", F.col("node_id").alias("y"), F.col("u").alias("yu"), F.col("rest").alias("yr"), F.explode(F.sequence(F.lit(0), "_b")).alias("p"), F.col("_b").alias("q"))
+    met = one.join(two, ["key", "p", "q"]).filter((F.col("p") < F.col("q")) | (F.col("x") < F.col("y")))
+    found = met.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(
+        F.sum(F.col("xu") * F.col("yu")).alias("cos"), F.max(F.greatest("xr", "yr")).alias("rest"))
+    found = durable_table(found.filter(F.col("cos") + F.col("rest") >= min_cos - 1e-8))  # read three times below
+
+    open_pairs = found.filter("rest > 0").select("src", "dst")
+    of = lambda df, end: df.select(F.col("node_id").alias(end), "key", F.col("u").alias(f"_{end}"))
+    product = (F.col("_src") * F.col("_dst")).alias("cos")
+    by_src = open_pairs.join(of(kept, "src"), "src").join(of(unit, "dst"), ["dst", "key"]).select("src", "dst", product)
+    by_dst = open_pairs.join(of(kept, "dst"), "dst").join(of(offered, "src"), ["src", "key"]).select("src", "dst", product)
+    scored = union_all([found.select("src", "dst", "cos"), by_src, by_dst]).groupBy("src", "dst").agg(F.sum("cos").alias("cos"))
     scored = scored.filter(F.round("cos", 9) >= min_cos)
     rank_by = F.round("cos", 9)
-    if not directed:
+    if mode != "directed":
         return mutual_top_k(scored, rank_by, k)
     both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     return top_k(scored.select(both.alias("e"), "cos").select("e.*", "cos"), ["src"], [rank_by.desc(), F.col("dst")], k, "_r").drop("_r")
 
 
-def _with_heavy_keys(found: DataFrame, hot: DataFrame, min_cos: float, k: int, directed: bool, block_rows: int, signed: bool) -> DataFrame:
-    """Light pairs with their heavy part added, and the best pairs that share heavy keys only."""
-    n_blocks = hot.agg(F.ceil(F.approx_count_distinct("node_id") / F.lit(block_rows)).cast("int").alias("_n"))
-    blocked = hot.join(F.broadcast(n_blocks)).withColumn(
-        "_b", F.pmod(F.xxhash64("node_id"), F.greatest("_n", F.lit(1))).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))))
-    left = blocked.select(F.col("node_id").alias("l_id"), F.col("key").alias("l_key"), F.col("u").alias("l_u"),
-                          F.col("_b").alias("l1"), others.alias("l2"))
-    right = blocked.select(F.col("node_id").alias("r_id"), F.col("key").alias("r_key"), F.col("u").alias("r_u"),
-                           others.alias("r1"), F.col("_b").alias("r2"))
-    # A (left node, block) answer holds at most k rows per side, so candidates stay linear in nodes x blocks.
-    best = left.groupBy("l1", "l2").cogroup(right.groupBy("r1", "r2")).applyInPandas(
-        _best_of_block(k, min_cos, directed, signed), StructType([StructField(c, hot.schema["node_id"].dataType) for c in ("src", "dst")]))
-    only_hot = best.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    pairs = found.join(only_hot, ["src", "dst"], "full")
-    packed = hot.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "u"))).alias("m"))
-    both = pairs.join(packed.select(F.col("node_id").alias("src"), F.col("m").alias("_ms")), "src", "left").join(
-        packed.select(F.col("node_id").alias("dst"), F.col("m").alias("_md")), "dst", "left")
-    shared = F.aggregate(F.map_entries("_ms"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(
-        F.try_element_at(F.col("_md"), e["key"]), F.lit(0.0)))
-    cos = F.coalesce("light", F.lit(0.0)) + F.coalesce(F.when(F.col("_md").isNotNull(), shared), F.lit(0.0))
-    return both.select("src", "dst", cos.alias("cos"))
-
-
 def edge_report(edges: DataFrame) -> DataFrame:
     """One row: edges, source nodes, mean weight and degree mean, min, max."""
     per_node = edges.groupBy("src").agg(F.count("*").alias("deg"), F.sum("w").alias("w"))

@@ -645,8 +645,25 @@ def _profiles(t: Tables):
 
 @query("profile_cosine_edges", "E44 ARR7", "src l, dst l, cos f6", _JSONVEC + _cosine_sql("<", _MUTUAL))
 def _(t):
-    # Property values are few and common, so most of the work takes the heavy-key path.
-    return graph.cosine_edges(_profiles(t), heavy=40, block_rows=64)
+    # Property values are few and common, so every key's holders are split into blocks.
+    return graph.cosine_edges(_profiles(t), block_rows=64)
+
+
+_NAMED = "WITH vec AS (SELECT 'n' || CAST(node_id AS VARCHAR) AS node_id, key, w FROM basket) "
+
+
+@query("named_cosine_edges", "E44 J13", "src s, dst s, cos f6", _NAMED + _cosine_sql("<", _MUTUAL))
+def _(t):
+    return graph.cosine_edges(t.basket.withColumn("node_id", F.concat(F.lit("n"), F.col("node_id").cast("string"))))
+
+
+_SIGNED = "WITH vec AS (SELECT node_id, key, CASE WHEN (node_id + key) % 3 = 0 THEN -w ELSE w END AS w FROM basket) "
+
+
+@query("signed_cosine_edges", "E44 J13", "src l, dst l, cos f6", _SIGNED + _cosine_sql("<>", _DIRECTED))
+def _(t):
+    sign = F.when((F.col("node_id") + F.col("key")) % 3 == 0, -1).otherwise(1)
+    return graph.cosine_edges(t.basket.withColumn("w", F.col("w") * sign), mode="directed")
 
 
 REPORT = """SELECT COUNT(*) AS n_edges, COUNT(DISTINCT src) AS n_nodes, AVG(w) AS mean_w, round((SELECT AVG(k) FROM (SELECT COUNT(*) AS k FROM e GROUP BY src)), 1) AS degree_mean,

@@ -98,9 +98,9 @@ def test_cosine_with_a_hot_key(spark, mode):
         want = {(a, b) for a in vec for c, b in sorted((-c, b) for (x, b), c in once.items() if x == a)[:3]}
         want |= {(a, b) for b in vec for c, a in sorted((-c, a) for (a, x), c in once.items() if x == b)[:3]}
     df = spark.createDataFrame(rows, "node_id long, key long, w double")
-    for heavy in (1000, 8, 0):  # all light, mixed, all heavy
-        got = {(r.src, r.dst) for r in graph.cosine_edges(df, k=3, mode=mode, heavy=heavy, block_rows=16).collect()}
-        assert got == want, heavy
+    for rows in (1000, 8, 3):  # no key, some keys, most keys split
+        got = {(r.src, r.dst) for r in graph.cosine_edges(df, k=3, mode=mode, block_rows=rows).collect()}
+        assert got == want, rows
 
 
 @pytest.mark.parametrize("mode", ["mutual", "directed"])
@@ -117,9 +117,22 @@ def test_cosine_of_text_ids_and_signed_weights(spark, mode):
         want |= {(a, b) for b in vec for c, a in sorted((-c, a) for (a, x), c in cos.items() if x == b)[:3]}
     rows = [(i, k, w) for i, m in vec.items() for k, w in m.items()]
     df = spark.createDataFrame(rows, "node_id string, key long, w double")
-    for heavy in (1000, 20, 0):  # all light, mixed, all heavy
-        got = {(r.src, r.dst) for r in graph.cosine_edges(df, k=3, mode=mode, heavy=heavy, block_rows=16).collect()}
-        assert got == want, heavy
+    for rows in (1000, 20, 3):  # no key, some keys, most keys split
+        got = {(r.src, r.dst) for r in graph.cosine_edges(df, k=3, mode=mode, block_rows=rows).collect()}
+        assert got == want, rows
+
+
+@pytest.mark.parametrize("floor", [0.3, 0.7, 0.95])
+def test_cosine_where_common_keys_are_not_offered(spark, floor):
+    """Weights fall towards the common keys, so that high floors leave most of them unoffered; exact cosines all the same."""
+    rnd = random.Random(int(floor * 100))
+    vec = {i: {rnd.randrange(25): rnd.choice([-9.0, 9.0]), 100 + i % 3: rnd.uniform(-4, 4), 200: rnd.uniform(-3, 3), 201: 1.0} for i in range(90)}
+    length = {i: math.sqrt(sum(w * w for w in m.values())) for i, m in vec.items()}
+    cos = {(a, b): sum(vec[a][k] * vec[b].get(k, 0.0) for k in vec[a]) / length[a] / length[b] for a in vec for b in vec if a < b}
+    df = spark.createDataFrame([(i, k, w) for i, m in vec.items() for k, w in m.items()], "node_id long, key long, w double")
+    got = {(r.src, r.dst): r.cos for r in graph.cosine_edges(df, floor, k=1000, block_rows=20).collect()}
+    want = {p: c for p, c in cos.items() if round(c, 9) >= floor}
+    assert got.keys() == want.keys() and all(abs(got[p] - c) < 1e-9 for p, c in want.items())
 
 
 @pytest.mark.parametrize("strict", [True, False])
