@@ -3,39 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import RANGE, in_ranges
 
-def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
-                    keys: Sequence[str] = (), steps: int = 64) -> DataFrame:
-    """Interpolated quantiles of groups of any size, one column per name.
 
-    Built-in ``percentile`` keeps all distinct values of a group in one task. Here
-    values are counted first, placed in ordered buckets (``steps`` per doubling of
-    magnitude), the buckets that hold the wanted ranks are found from bucket
-    totals, and only their values are ranked.
+def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """Interpolated quantiles of groups of any size, one column per name; nulls and NaN are left out.
+
+    Built-in ``percentile`` keeps all distinct values of a group in one task. Here equal
+    values are counted first and dealt out by ranges of (keys, value), cut at sampled splitters so
+    that a task's share does not depend on how the values are spread. Exact counts per range
+    tell which ranges hold a wanted rank, and only their values are ranked.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
-    counts = (df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))
-              .withColumn("_bucket", F.when(F.col("_v") < 0, -1 - F.floor(F.log2(1 - F.col("_v")) * steps))
-                          .otherwise(F.floor(F.log2(1 + F.col("_v")) * steps)).cast("long")))
-    totals = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
-    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    placed = (totals.withColumn("_end", F.sum("_bn").over(by_key.orderBy("_bucket")))
-              .withColumn("_start", F.col("_end") - F.col("_bn"))
-              .withColumn("_size", F.sum("_bn").over(by_key)))
+    counts = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))
+    rows = in_ranges(counts, [*keys, "_v"])
+    totals = rows.groupBy(*keys, RANGE).agg(F.sum("_n").alias("_rn"))
+    all_ranges = F.sort_array(F.collect_list(F.struct(RANGE, "_rn")))  # as many as there are partitions
+    per_key = totals.groupBy(*keys).agg(all_ranges.alias("_all"), F.sum("_rn").alias("_size")).withColumn("_p", F.explode("_all"))
+    start = F.aggregate(F.filter("_all", lambda e: e[RANGE] < F.col(f"_p.{RANGE}")), F.lit(0).cast("long"), lambda acc, e: acc + e["_rn"])
+    placed = per_key.select(*keys, F.col(f"_p.{RANGE}").alias(RANGE), start.alias("_start"), F.col("_p._rn").alias("_rn"), "_size")
     ranks = F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("_size") - 1) * p).alias("pos"))
                       for name, p in probs.items()])
     wanted = (placed.withColumn("_w", F.explode(ranks))
-              .select(*keys, "_bucket", "_start", "_end", F.col("_w.name").alias("_name"),
+              .select(*keys, RANGE, "_start", F.col("_w.name").alias("_name"), (F.col("_start") + F.col("_rn")).alias("_end"),
                       F.floor("_w.pos").alias("_lo"), (F.col("_w.pos") - F.floor("_w.pos")).alias("_frac"))
               .filter((F.col("_start") <= F.col("_lo") + 1) & (F.col("_end") > F.col("_lo"))))
-    ranked = counts.join(wanted.select(*keys, "_bucket", "_start").distinct(), [*keys, "_bucket"]).withColumn(
-        "_upto", F.col("_start") + F.sum("_n").over(Window.partitionBy(*keys, "_bucket").orderBy("_v")))
-    hit = ranked.drop("_start").join(wanted, [*keys, "_bucket"])
+    asked = wanted.groupBy(*keys, RANGE).agg(F.first("_start").alias("_start"), F.collect_list(F.struct("_name", "_lo", "_frac")).alias("_ranks"))
+    asked = asked.withColumnsRenamed({c: f"_a{c}" for c in [*keys, RANGE]})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_a{c}")) for c in [*keys, RANGE]])
+    upto = F.col("_start") + F.sum("_n").over(Window.partitionBy(*keys, RANGE).orderBy("_v"))
+    hit = rows.join(asked, same).withColumn("_upto", upto).withColumn("_w", F.explode("_ranks"))
+    hit = hit.select(*keys, "_v", "_n", "_upto", F.col("_w._name").alias("_name"), F.col("_w._lo").alias("_lo"), F.col("_w._frac").alias("_frac"))
     from_rank, to_rank = F.col("_upto") - F.col("_n"), F.col("_upto")
     low = F.max(F.when((from_rank <= F.col("_lo")) & (to_rank > F.col("_lo")), F.col("_v")))
     high = F.max(F.when((from_rank <= F.col("_lo") + 1) & (to_rank > F.col("_lo") + 1), F.col("_v")))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import RANGE, attach, carried, in_ranges
+
 
 def fold_left(spine: DataFrame, sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Left-join every source onto the spine. Sources hold one row per key."""
@@ -29,37 +31,36 @@ def also_in(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str,
-              values: Sequence[str], strict: bool = True, block: str = "month") -> DataFrame:
+              values: Sequence[str], strict: bool = True) -> DataFrame:
     """Left rows with the latest right row before (or at) their time.
 
-    A key's timeline is cut into calendar blocks (hour … year, the finer the hotter
-    the keys), so that a hot key is spread over many tasks: inside a block a running ``last`` finds the state, and the state
-    at the block's start is carried in from one row per (key, block). ``right``
-    holds one row per key and time. Adds ``asof_<time>`` and the value columns.
+    A segmented scan: both sides are dealt out together by ranges of (keys, time), inside a
+    range a running ``last`` finds the state, and the state at the end of earlier ranges is carried
+    in for the one key that each range may share with those. So the rows of a key, or of one hour of it, lie in
+    as many tasks as they need. ``right`` holds one row per key and time; its rows without a
+    time are never met. A null key meets nothing, a null time has nothing before it. Adds ``asof_<time>`` and the value columns.
     """
     keys = list(keys)
     at = f"asof_{time}"
     state = F.struct(F.col(time).alias(at), *[F.col(v) for v in values])
-    where = F.date_trunc(block, F.col(time).cast("timestamp_ntz")).alias("_block")
-    probe = left.select("*", where, F.lit(None).cast(right.select(state.alias("s")).schema["s"].dataType).alias("_state"),
-                        F.lit(True).alias("_probe"))
-    feed = right.select(*keys, time, where, state.alias("_state"), F.lit(False).alias("_probe"))
-    both = probe.unionByName(feed, allowMissingColumns=True)
-
-    # At equal times a probe sorts before the feed when strict, after it otherwise.
-    tie = F.col("_probe").desc() if strict else F.col("_probe").asc()
-    running = (Window.partitionBy(*keys, "_block").orderBy(F.col(time), tie)
+    # At equal times a probe sorts before the feed when strict, after it otherwise; probes of one key and time are spread by their hash.
+    first, second = (F.lit(True), F.lit(False)) if strict else (F.lit(False), F.lit(True))
+    probe = left.select("*", F.lit(None).cast(right.select(state.alias("s")).schema["s"].dataType).alias("_state"), F.lit(True).alias("_probe"),
+                        (~first).alias("_late"), F.xxhash64(*left.columns).alias("_salt"))
+    feed = right.filter(F.col(time).isNotNull()).select(*keys, time, state.alias("_state"), F.lit(False).alias("_probe"), (~second).alias("_late"), F.lit(0).cast("long").alias("_salt"))
+    rows = in_ranges(probe.unionByName(feed, allowMissingColumns=True), [*keys, time, "_late", "_salt"])
+
+    ends = rows.filter("NOT _probe").groupBy(*keys, RANGE).agg(F.max_by("_state", time).alias("_end"))
+    # a range without a right row still has to get the state of its key
+    parts = rows.select(*keys, RANGE).distinct()
+    parts = parts.join(ends.withColumnsRenamed({c: f"_e{c}" for c in [*keys, RANGE]}), reduce(
+        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_e{c}")) for c in [*keys, RANGE]]), "left")
+    carry = carried(parts, keys, F.last("_end", ignorenulls=True), "_carry")
+    running = (Window.partitionBy(*keys, RANGE).orderBy(F.col(time), F.col("_late"))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    here = both.withColumn("_here", F.last("_state", ignorenulls=True).over(running)).filter("_probe")
-
-    ends = feed.groupBy(*keys, "_block").agg(F.max_by("_state", time).alias("_end"))
-    blocks = left.select(*keys, where).distinct()
-    before = (Window.partitionBy(*keys).orderBy("_block")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carried = (blocks.join(ends, [*keys, "_block"], "full")
-               .withColumn("_carry", F.last("_end", ignorenulls=True).over(before))
-               .select(*keys, "_block", "_carry"))
-    out = here.join(carried, [*keys, "_block"], "left").withColumn("_hit", F.coalesce("_here", "_carry"))
+    here = rows.withColumn("_here", F.last("_state", ignorenulls=True).over(running)).filter("_probe")
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col(time).isNotNull())
+    out = attach(here, carry, keys, "_carry").withColumn("_hit", F.when(keyed, F.coalesce("_here", "_carry")))
     return out.select(*left.columns, F.col(f"_hit.{at}").alias(at), *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 

@@ -27,7 +27,7 @@ def carried(parts: DataFrame, keys: Sequence[str], state: Column, name: str) ->
     ``parts`` has one row per key and range. As ranges follow the order of keys, at most one key of each range
     began in an earlier one: the result has fewer rows than there are ranges, which is the bound of its broadcast.
     """
-    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn(name, state.over(earlier)).filter(F.col(name).isNotNull()).select(*keys, RANGE, name)
 
 
@@ -40,6 +40,14 @@ def attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str], name: str) ->
     return rows.join(F.broadcast(other), on, "left").drop(*[f"_c{c}" for c in [*keys, RANGE]])
 
 
+def _rows_before(parts: DataFrame) -> DataFrame:
+    """(range, rows of all earlier ranges) from (range, rows): one small row holds all ranges, whose number is that of partitions."""
+    every = parts.agg(F.collect_list(F.struct(RANGE, "_n")).alias("_all"))
+    each = every.select("_all", F.explode("_all").alias("_p"))
+    earlier = F.filter("_all", lambda e: e[RANGE] < F.col(f"_p.{RANGE}"))
+    return each.select(F.col(f"_p.{RANGE}").alias(RANGE), F.aggregate(earlier, F.lit(0).cast("long"), lambda acc, e: acc + e["_n"]).alias("_before"))
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """``df`` with the 1-based row number of each row inside its keys (or overall, without keys).
 
@@ -48,7 +56,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str)
     """
     rows = in_ranges(df, [*keys, *order])
     parts = rows.groupBy(*keys, RANGE).agg(F.count("*").alias("_n"))
-    carry = carried(parts, keys, F.sum("_n"), "_before")
+    carry = carried(parts, keys, F.sum("_n"), "_before") if keys else _rows_before(parts)
     local = F.row_number().over(Window.partitionBy(*keys, RANGE).orderBy(*order))
     out = attach(rows.withColumn("_local", local), carry, keys, "_before")
     return out.withColumn(name, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long")).select(*df.columns, name)

@@ -32,8 +32,35 @@ def slice_fan_out(df: DataFrame, slices: Mapping[str, Column]) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
-    """Exactly n rows (or all), repeatable: the n smallest seeded hashes of the key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """Exactly n rows (or all), repeatable: the n smallest MD5 hashes of seed and key, by key where hashes are equal.
+
+    The bound that holds n rows is found from counts per hash range: 4096 ranges a
+    pass, then those inside the range where the n-th row lies, until that range is small. The sample is one filter
+    of the table; only rows of a hash that the bound cuts are sorted. ``key`` should tell rows apart.
+    """
+    if n <= 0:
+        return df.limit(0)
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])))
+    prefix, need = "", n
+    while len(prefix) < 32:
+        inside = hashed.filter(F.col("_h").startswith(prefix)) if prefix else hashed
+        counts = inside.groupBy(F.substring("_h", len(prefix) + 1, 3).alias("p")).count().collect()  # 4096 rows at most
+        before = 0
+        for part, size in sorted(tuple(r) for r in counts):
+            if before + size >= need:
+                break
+            before += size
+        else:
+            if not prefix:
+                return df  # fewer than n rows
+        prefix, need = prefix + part, need - before
+        if size == need:
+            break
+    whole = hashed.filter(F.substring("_h", 1, len(prefix)) <= prefix)
+    if size == need:
+        return whole.drop("_h")
+    tied = hashed.filter(F.col("_h") == prefix).orderBy(*key).limit(need)
+    return hashed.filter(F.col("_h") < prefix).unionByName(tied).drop("_h")
 
 
 def pick_extremes(df: DataFrame, strata: Mapping[str, Column], order: Sequence[Column], n: int) -> DataFrame:

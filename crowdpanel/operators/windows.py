@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import ranked
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Row with the greatest order tuple per key.
@@ -82,13 +84,12 @@ def demean(df: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataF
 
 
 def category_codes(df: DataFrame, column: str, code: str) -> DataFrame:
-    """(value, code): 1-based rank of the sorted distinct values.
+    """(value, code): 1-based rank of the sorted distinct values, null first.
 
-    Ranks one row per distinct value, never the fact. Meant for unit ids, whose
-    number is bounded by the grid.
+    The distinct values are range-partitioned, counted per range and numbered inside
+    their range behind the sum of the ranges before, so no task sees all of them.
     """
-    distinct = df.select(column).distinct()
-    return distinct.withColumn(code, F.dense_rank().over(Window.orderBy(column)).cast("long"))
+    return ranked(df.select(column).distinct(), [], [column], code)
 
 
 def running_min(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:

@@ -322,7 +322,7 @@ def _(t):
     e = t.table("events")
     bought = e.filter(F.col("event_type") == "purchase").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
     other = e.filter(F.col("event_type") != "purchase").select("event_id", "user_id", "ts")
-    return asof_join(other, bought, ["user_id"], "ts", ["value"], strict=True, block="week")
+    return asof_join(other, bought, ["user_id"], "ts", ["value"], strict=True)
 
 
 @query("asof_orders_by_nation", "J8", "o_orderkey l, asof_date d, n l", """
@@ -467,6 +467,14 @@ def _(t):
     return aggregates.exact_quantiles(t.table("customer"), "c_acctbal", {"p1": 0.01, "median": 0.5, "p99": 0.99})
 
 
+@query("small_quantiles", "AG8", "status s, p1 f12, q1 f12, median f12, p999 f12", """
+    SELECT l_linestatus AS status, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.25) AS q1, median(v) AS median, quantile_cont(v, 0.999) AS p999
+    FROM (SELECT l_linestatus, 1 / (l_extendedprice * 10 + l_suppkey) AS v FROM lineitem) GROUP BY 1""")
+def _(t):
+    rows = t.table("lineitem").select(F.col("l_linestatus").alias("status"), (1 / (F.col("l_extendedprice") * 10 + F.col("l_suppkey"))).alias("v"))
+    return aggregates.exact_quantiles(rows, "v", {"p1": 0.01, "q1": 0.25, "median": 0.5, "p999": 0.999}, ["status"])
+
+
 @query("regression_aggregates", "AG9 AG10", "flag s, r f6, slope f6, intercept f3, mean f4, sd f4, se f6, t f3", """
     SELECT l_returnflag AS flag, corr(l_extendedprice, l_quantity) AS r, regr_slope(l_extendedprice, l_quantity) AS slope,
            regr_intercept(l_extendedprice, l_quantity) AS intercept, AVG(l_quantity) AS mean, stddev_samp(l_quantity) AS sd,
@@ -606,7 +614,7 @@ def _(t):
     return next_events(t.day_counts, t.games, 3)
 
 
-@query("seeded_sample", "OR4", "o_orderkey l, o_totalprice f2")
+@query("seeded_sample", "OR4", "o_orderkey l, o_totalprice f2", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('7|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100")
 def _(t):
     return reshape.sample_rows(t.table("orders"), 100, ["o_orderkey"], seed=7)
 

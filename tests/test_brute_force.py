@@ -2,7 +2,8 @@
 
 import math
 import random
-from datetime import date, timedelta
+import re
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -135,21 +136,94 @@ def test_cosine_where_common_keys_are_not_offered(spark, floor):
     assert got.keys() == want.keys() and all(abs(got[p] - c) < 1e-9 for p, c in want.items())
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Many shuffle partitions that stay apart, as on large tables."""
+    conf = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield 23
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("strict", [True, False])
-@pytest.mark.parametrize("block", ["hour", "day", "month"])
-def test_asof_with_a_hot_key(spark, strict, block):
+@pytest.mark.parametrize("spread", [3000, 40])
+def test_asof_with_a_hot_key(spark, strict, spread, many_ranges):
     rnd = random.Random(2)
     t0 = pd.Timestamp("2024-01-01")
     key = lambda: "hot" if rnd.random() < 0.5 else f"k{rnd.randint(0, 5)}"
-    left = pd.DataFrame({"id": range(400), "key": [key() for _ in range(400)], "ts": [t0 + pd.Timedelta(minutes=30 * rnd.randint(0, 3000)) for _ in range(400)]})
-    right = pd.DataFrame({"key": [key() for _ in range(200)], "ts": [t0 + pd.Timedelta(minutes=30 * rnd.randint(0, 3000)) for _ in range(200)]}).drop_duplicates()
+    left = pd.DataFrame({"id": range(400), "key": [key() for _ in range(400)], "ts": [t0 + pd.Timedelta(minutes=30 * rnd.randint(0, spread)) for _ in range(400)]})
+    right = pd.DataFrame({"key": [key() for _ in range(200)], "ts": [t0 + pd.Timedelta(minutes=30 * rnd.randint(0, spread)) for _ in range(200)]}).drop_duplicates()
     right["v"] = range(len(right))
     want = pd.merge_asof(left.sort_values("ts"), right.sort_values("ts"), on="ts", by="key", allow_exact_matches=not strict).set_index("id").v
     ntz = lambda pdf, cols: spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(*cols)
-    got = asof_join(ntz(left, ["id", "key", "ts"]), ntz(right, ["key", "ts", "v"]), ["key"], "ts", ["v"], strict, block).toPandas().set_index("id").v
+    got = asof_join(ntz(left, ["id", "key", "ts"]), ntz(right, ["key", "ts", "v"]), ["key"], "ts", ["v"], strict).toPandas().set_index("id").v
     pd.testing.assert_series_equal(got.sort_index().astype(float), want.sort_index().astype(float), check_names=False)
 
 
+@pytest.mark.parametrize("strict", [True, False])
+def test_asof_where_one_key_holds_most_rows_of_one_hour(spark, strict, many_ranges):
+    from crowdpanel.operators import ranges
+    rnd = random.Random(3)
+    t0 = datetime(2024, 1, 1, 10)
+    left = [(i, "hot", t0 + timedelta(seconds=rnd.randint(0, 3599))) for i in range(3000)] + [(3000 + i, f"k{i % 7}", t0) for i in range(70)] + [(9000, None, t0), (9001, "hot", None)]
+    right = sorted({("hot", t0 + timedelta(seconds=rnd.randint(-9, 1200))) for _ in range(40)} | {("k1", t0), ("k2", t0 - timedelta(days=400))}) + [(None, t0)]
+    ldf = spark.createDataFrame(left, "id long, key string, ts timestamp_ntz")
+    rdf = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(right)], "key string, ts timestamp_ntz, v long")
+    sizes = ranges.in_ranges(ldf, ["key", "ts"]).groupBy(ranges.RANGE).count().collect()
+    assert max(r["count"] for r in sizes) < 3 * len(left) / many_ranges
+    got = {r.id: (r.asof_ts, r.v) for r in asof_join(ldf, rdf, ["key"], "ts", ["v"], strict).collect()}
+    for i, key, ts in left:
+        before = [(t, n) for n, (k, t) in enumerate(right) if k == key and key is not None and ts is not None and (t < ts or (t == ts and not strict))]
+        assert got[i] == (max(before) if before else (None, None)), (i, key, ts)
+
+
+def test_ranks_over_ranges(spark, many_ranges):
+    from crowdpanel.operators import ranges, windows
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice([None, rnd.randint(0, 500)]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, v long, i long")
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    want = {r[2]: n + 1 for k in ("a", "b", None) for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=order))}
+    assert {r.i: r.n for r in ranges.ranked(df, ["k"], ["v", "i"], "n").collect()} == want
+    codes = {r.i: r.c for r in windows.category_codes(df, "i", "c").collect()}
+    assert codes == {i: i + 1 for i in range(900)}
+    plan = windows.category_codes(df, "i", "c")._jdf.queryExecution().optimizedPlan().toString()
+    assert all(re.search(r"\[_range#\d+", line) for line in plan.splitlines() if "Window [" in line)
+
+
+def test_sample_is_the_smallest_hashes(spark):
+    import hashlib
+    from crowdpanel.operators.reshape import sample_rows
+    df = spark.range(5000).withColumn("g", F.col("id") % 3)
+    order = sorted(range(5000), key=lambda i: hashlib.md5(f"4|{i}".encode()).hexdigest())
+    for n in (0, 1, 57, 4999, 5000, 6000):
+        got = sample_rows(df, n, ["id"], 4)
+        assert {r.id for r in got.collect()} == set(order[:n]) and got.columns == ["id", "g"]
+        assert "Sort" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sample_rows(df, 1700, ["g"], 4).count() == 1700  # keys that do not tell rows apart
+
+
+@pytest.mark.parametrize("shape", ["small", "far", "equal", "keys"])
+def test_quantiles_rank_a_share_of_the_values_in_a_task(spark, shape, many_ranges):
+    """However values are spread, a range of them holds at most three times its even share."""
+    from crowdpanel.operators import ranges
+    rng = np.random.default_rng(5)
+    x = {"small": rng.random(6000) * 1e-3, "far": np.concatenate([rng.random(5999) * 1e-9, [1e12]]), "equal": np.concatenate([np.ones(5000), rng.random(1000)]), "keys": rng.normal(0, 1, 6000)}[shape]
+    key = ["big" if shape != "keys" or i % 3 else None if i % 2 else "b" for i in range(len(x))]
+    df = spark.createDataFrame([(k, float(v)) for k, v in zip(key, x)] + [("nan", float("nan")), ("big", None)], "k string, v double")
+    sizes = [r["count"] for r in ranges.in_ranges(df.groupBy("k", "v").count().drop("count"), ["k", "v"]).groupBy(ranges.RANGE).count().collect()]
+    assert max(sizes) <= 3 * sum(sizes) / many_ranges
+    probs = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.777, "e": 1.0}
+    got = {r.k: r for r in exact_quantiles(df, "v", probs, ["k"]).collect()}
+    for k in set(key):
+        for name, p in probs.items():
+            assert got[k][name] == pytest.approx(np.quantile(x[[y == k for y in key]], p), rel=1e-12, abs=1e-15)
+    assert set(got) == set(key)
+
+
 def test_quantiles_of_mixed_signs(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 100, 500), np.zeros(300), rng.exponential(1e6, 200), [-0.5, -0.25, 1e-9]])
