@@ -321,25 +321,23 @@ CTES = {
         FROM day_counts WHERE dayofyear(date) % 60 = 0""",
     "convention_days": """SELECT CAST(unnest(generate_series(start_date, COALESCE(end_date, start_date), INTERVAL 1 DAY)) AS DATE) AS date,
         event, venue FROM conventions""",
-    "games_day": """SELECT date, COUNT(*) AS n_games, SUM(attendance) AS attendance,
-        CASE WHEN COUNT(*) FILTER (day_night = 'night') > 0 THEN 'night' ELSE 'day' END AS day_night, MIN(first_hour) AS first_hour,
-        string_agg(DISTINCT game_type, '; ' ORDER BY game_type) AS game_types,
-        string_agg(DISTINCT opponent, '; ' ORDER BY opponent) AS opponents
-        FROM games WHERE game_type NOT IN ('S', 'E') GROUP BY 1""",
-    "calendar": """SELECT s.date, isodow(s.date) AS dow, g.date IS NOT NULL AS game_day, COALESCE(g.n_games, 0) AS n_games,
-        g.attendance, g.day_night, g.first_hour, g.game_types, g.opponents, v.venue_event, r.rival_event, c.convention_event,
-        w.citywide_event, f.fair_event, v.date IS NOT NULL AS venue_day, r.date IS NOT NULL AS rival_day,
-        c.date IS NOT NULL AS convention_day, w.date IS NOT NULL AS citywide_day, f.date IS NOT NULL AS fair_day,
-        g.date IS NULL AND v.date IS NULL AS clean_control,
-        g.date IS NULL AND v.date IS NULL AND r.date IS NULL AND c.date IS NULL AND w.date IS NULL AND f.date IS NULL AS clean_control_strict
-        FROM all_days s LEFT JOIN games_day g USING (date)
-        LEFT JOIN (SELECT date, 'concert ' || CAST(n % 3 AS VARCHAR) AS venue_event FROM day_counts WHERE dayofyear(date) % 11 = 0) v USING (date)
-        LEFT JOIN (SELECT date, detail AS rival_event FROM rival_events) r USING (date)
-        LEFT JOIN (SELECT date, string_agg(DISTINCT event, '; ' ORDER BY event) AS convention_event FROM convention_days
-                   WHERE venue ILIKE '%hall%' GROUP BY 1) c USING (date)
-        LEFT JOIN (SELECT date, string_agg(DISTINCT event, '; ' ORDER BY event) AS citywide_event FROM convention_days
-                   WHERE venue NOT ILIKE '%hall%' GROUP BY 1) w USING (date)
-        LEFT JOIN (SELECT date, 'fair ' || CAST(n % 3 AS VARCHAR) AS fair_event FROM day_counts WHERE dayofyear(date) % 50 = 0) f USING (date)""",
+    # every day once, and each thing that marks a day as a row of its own
+    "day_marks": """SELECT date, 'day' AS what, NULL::VARCHAR AS label, NULL::VARCHAR AS type, NULL::BIGINT AS people, NULL::BIGINT AS hour, NULL::BOOLEAN AS late FROM all_days
+        UNION ALL BY NAME SELECT date, 'game' AS what, opponent AS label, game_type AS type, attendance AS people, first_hour AS hour, day_night = 'night' AS late
+          FROM games WHERE NOT list_contains(['S', 'E'], game_type)
+        UNION ALL BY NAME SELECT date, 'fair' AS what, 'fair ' || CAST(n % 3 AS VARCHAR) AS label FROM day_counts WHERE dayofyear(date) % 50 = 0
+        UNION ALL BY NAME SELECT date, 'venue' AS what, 'concert ' || CAST(n % 3 AS VARCHAR) AS label FROM day_counts WHERE dayofyear(date) % 11 = 0
+        UNION ALL BY NAME SELECT date, 'rival' AS what, detail AS label FROM rival_events
+        UNION ALL BY NAME SELECT date, if(contains(lower(venue), 'hall'), 'hall', 'city') AS what, event AS label FROM convention_days""",
+    "calendar": "SELECT date, isodow(date) AS dow, "
+        + "".join(f"coalesce(bool_or(what = '{w}'), false) AS {flag}, " for w, flag in
+                  (("game", "game_day"), ("venue", "venue_day"), ("rival", "rival_day"), ("hall", "convention_day"), ("city", "citywide_day"), ("fair", "fair_day")))
+        + "".join(f"string_agg(DISTINCT label, '; ' ORDER BY label) FILTER (what = '{w}') AS {name}, " for w, name in
+                  (("game", "opponents"), ("venue", "venue_event"), ("rival", "rival_event"), ("hall", "convention_event"), ("city", "citywide_event"), ("fair", "fair_event")))
+        + """string_agg(DISTINCT type, '; ' ORDER BY type) AS game_types, count_if(what = 'game') AS n_games, sum(people) AS attendance, min(hour) AS first_hour,
+        CASE bool_or(late) WHEN true THEN 'night' WHEN false THEN 'day' END AS day_night,
+        NOT bool_or(what IN ('game', 'venue')) AS clean_control, bool_and(what = 'day') AS clean_control_strict
+        FROM day_marks GROUP BY date HAVING bool_or(what = 'day')""",
     "ring_panel": """SELECT c.*, k.ring_id, d.visits, d.cents FROM calendar c CROSS JOIN (SELECT unnest(range(1, 6)) AS ring_id) k
         LEFT JOIN ring_day d ON d.ring_id = k.ring_id AND d.date = c.date""",
     "hour_weather": """SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_orderkey % 24 AS INT) AS hour, AVG(l_quantity) AS temp_hr,
