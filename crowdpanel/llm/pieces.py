@@ -22,6 +22,7 @@ slice of its own. What a task remembers of solved words is bounded in bytes.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -37,7 +38,7 @@ from .common import list_array, map_texts
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Solved words that each of a task's two tables keeps, by number and bytes (and as many old ones), and the length of a word that is kept.
-MEMORY_WORDS, MEMORY_BYTES, MEMORY_LENGTH = 200_000, 12 << 20, 64
+MEMORY_WORDS, MEMORY_BYTES, MEMORY_LENGTH = 200_000, 48 << 20, 64
 #: Bytes of a table entry besides its word and ids: headers of both objects and the slot.
 ENTRY_BYTES = 190
 
@@ -65,7 +66,7 @@ class _Solved(dict):
 
 
 def _packed(ids) -> bytes:
-    return np.array(ids, np.int32).tobytes()
+    return array("i", ids).tobytes()
 
 
 class Pieces:
@@ -120,34 +121,35 @@ class Pieces:
     def viterbi(self, word: str) -> tuple[int, ...]:
         """Ids of the best segmentation."""
         n = len(word)
-        best = [float("-inf")] * (n + 1)
-        best[0] = 0.0
-        last = [(1, -1)] * (n + 1)
         penalty = self.penalty
-        done = 0
-
-        def gaps(to: int) -> None:
-            """Positions that are final get the single-character escape unless a piece was better."""
-            nonlocal done
-            while done < to:
+        best = [0.0] + [float("-inf")] * n
+        sizes, ids = [1] * (n + 1), [-1] * (n + 1)
+        done = 0  # positions up to here are final: the single-character escape was weighed against all pieces
+        for end, (size, score, i) in self.tree.iter(word):
+            while done < end:
                 done += 1
                 s = best[done - 1] + penalty
                 if s > best[done]:
-                    best[done], last[done] = s, (1, -1)
-
-        for end, (size, score, i) in self.tree.iter(word):
-            gaps(end)
+                    best[done], sizes[done], ids[done] = s, 1, -1
             s = best[end + 1 - size] + score
             if s > best[end + 1]:
-                best[end + 1], last[end + 1] = s, (size, i)
-        gaps(n)
+                best[end + 1], sizes[end + 1], ids[end + 1] = s, size, i
+        while done < n:
+            done += 1
+            s = best[done - 1] + penalty
+            if s > best[done]:
+                best[done], sizes[done], ids[done] = s, 1, -1
         out: list[int] = []
         at = n
         while at:
-            size, i = last[at]
-            out += reversed(self._escape(word[at - 1])) if i < 0 else (i,)
-            at -= size
-        return tuple(reversed(out))
+            i = ids[at]
+            if i < 0:
+                out += reversed(self._escape(word[at - 1]))
+            else:
+                out.append(i)
+            at -= sizes[at]
+        out.reverse()
+        return tuple(out)
 
     def packed(self, text: str) -> bytes:
         """Ids of a text as 32-bit integers one after the other."""
