@@ -11,11 +11,17 @@ those lists are merged (prefix); the longer lists are skipped and probed by comp
 the short ones gave. Pairs above the match threshold are confirmed on the full sets.
 
 No list is paired with itself. First every class meets the leader of each of its lists, the class whose coordinates are
-the most common, and the links found are closed to components. Then only members of different components can still be
-linked. With A the shingles that a member adds to its leader and R those of the leader that it lacks, two members that
-share no added shingle differ in at least |A1| + |A2| + ||R1| - |R2|| shingles; where that is too much for a link they need
-not meet, and members that do share an added shingle meet over it. Both ways together lose no pair, and families of
-thousands of copies that each change a few words differently cost about one pair a member. Joins are on plain keys,
+the most common, and the links found are closed to components. Lists of one component are done. In the others each
+leader gets a centre C: its set and the shingles that most of its members add to it. Let d(x) be the number of shingles in which x differs from C, D(x) these
+differences (added or lacked), s = (den - num) / (den + num), and e(x) = d(x) - s |x|; sets x and y are linked if and only if they
+differ in at most s (|x| + |y|) shingles, and they differ in d(x) + d(y) - 2 |D(x) and D(y)|.
+
+* If e(x) + e(y) <= 0 they are linked, whatever they share. So each member whose e allows it is linked to the member m of the least e, one link a member.
+* If they are linked and share no difference, e(x) + e(y) <= 0, and as e(m) is least, both are linked to m: they are one component already.
+* So linked members of different components share a difference, in fact (e(x) + e(m)) / 2 of those of x or more: they meet over the rarest |D(x)| less that many, plus one, and only
+  where their sizes and numbers of differences allow a link.
+
+This loses no pair, and families of thousands of copies that each add, drop or change a few words cost about one pair a member. Joins are on plain keys,
 so adaptive execution splits hot ones.
 
 Null and empty texts and texts without words have no shingles: they are linked with nothing, stay, and are their own
@@ -134,42 +140,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links = star.where("linked").select("a", "b")
     labels = components(links)
 
-    # lists that still hold several components; a, r: shingles that a member adds to its leader and lacks of it
+    # lists that still hold several components, and the members and leaders that meet there
     placed = posts.join(labels, "node", "left").select("tok", "node", "n", F.coalesce("label", "node").alias("comp"))
     open_ = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    led = star.select(F.col("a").alias("node"), F.col("b").alias("lead"), "nb", "inter")
-    placed = stored(placed.join(open_, "tok").join(leaders.withColumnRenamed("b", "lead"), "tok").join(led, ["node", "lead"])
-                    .select("tok", "lead", "node", "n", "comp", (F.col("n") - F.col("inter")).alias("a"), (F.col("nb") - F.col("inter")).alias("r")))
-    extra = placed.select("lead", "node", "n", "comp", "a", "r").distinct()
+    extra = stored(placed.join(open_, "tok").join(leaders.withColumnRenamed("b", "lead"), "tok").select("lead", "node", "n", "comp").distinct())
+    # the centre of a leader: its set and the shingles that most members add to it
     own = extra.join(side("node", "hashes"), "node").join(side("lead", "hashes"), "lead")
-    added = stored(own.select("lead", "node", F.explode(F.array_except("hashes_node", "hashes_lead")).alias("z"), "n", "comp"))
-    # shingles that most members of a leader add belong to the family: they join the leader's set for what follows
+    added = own.select("lead", F.explode(F.array_except("hashes_node", "hashes_lead")).alias("z")).groupBy("lead", "z").agg(F.count("*").alias("f"))
     members = extra.groupBy("lead").agg(F.count("*").alias("m"))
-    rare = added.groupBy("lead", "z").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).join(members, "lead")
-    rare = rare.select("lead", "z", "f", (F.col("lo") != F.col("hi")).alias("open"), (F.col("f") * 2 > F.col("m")).alias("family"))
-    ranked = stored(added.join(rare, ["lead", "z"]).groupBy("lead", "node").agg(
-        F.count_if("family").alias("k"), F.array_sort(F.collect_list(F.when(~F.col("family"), F.struct("f", "z", "open")))).alias("zs")))
-    grown = rare.where("family").groupBy("lead").agg(F.count("*").alias("g"))
-    k, g = F.coalesce("k", F.lit(0)), F.coalesce("g", F.lit(0))
-    moved = stored(extra.join(ranked, ["lead", "node"], "left").join(grown, "lead", "left").select(
-        "lead", "node", "n", "comp", (F.col("a") - k).alias("a"), (F.col("r") + g - k).alias("r"),
-        # linked members differ in at most n * (den - num) / num shingles, so they share one of so many rarest added ones
-        F.slice("zs", F.lit(1), F.floor(F.col("n") * (den - num) / num).cast("int") + 1).alias("zs")))
-
+    family = added.join(members, "lead").where(F.col("f") * 2 > F.col("m")).groupBy("lead").agg(F.collect_list("z").alias("zs"))
+    centre = members.join(side("lead", "hashes"), "lead").join(family, "lead", "left").select(
+        "lead", F.concat("hashes_lead", F.coalesce("zs", F.array().cast("array<bigint>"))).alias("centre"))
+    # what a member adds to the centre and lacks of it; far: its distance less its share of what a link allows, times den + num
+    differ = extra.join(side("node", "hashes"), "node").join(centre, "lead").select(
+        "lead", "node", "n", "comp", F.array_except("hashes_node", "centre").alias("plus"), F.array_except("centre", "hashes_node").alias("minus"))
+    differ = stored(differ.withColumns({"a": F.size("plus").cast("long"), "r": F.size("minus").cast("long")}).withColumn(
+        "far", (F.col("a") + F.col("r")) * (den + num) - F.col("n") * (den - num)))
+    nearest = stored(differ.groupBy("lead").agg(F.min(F.struct("far", "node", "comp")).alias("m")).select("lead", "m.far", "m.node", "m.comp").toDF("lead", "least_far", "to", "to_comp"))
+    sure = stored(differ.join(nearest, "lead").where((F.col("far") + F.col("least_far") <= 0) & (F.col("comp") != F.col("to_comp"))).select("node", "to", "comp", "to_comp"))
+    links = links.union(sure.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    merged = components(sure.select(F.col("comp").alias("a"), F.col("to_comp").alias("b")).distinct()).select(F.col("node").alias("comp"), "label")
+    placed = differ.join(merged, "comp", "left").join(nearest.select("lead", "least_far"), "lead").select(
+        "lead", "node", "n", F.coalesce("label", "comp").alias("comp"), "plus", "minus", "a", "r", "far", "least_far")
+    placed = stored(placed)
+
+    # who is still apart shares a difference: all of them, signed, from rare to common
+    signed = lambda c, sign: F.transform(c, lambda z: F.struct(z.alias("z"), F.lit(sign).alias("sign")))
+    marks = placed.select("lead", "node", "comp", F.explode(F.concat(signed("plus", True), signed("minus", False))).alias("m")).select("lead", "node", "comp", "m.z", "m.sign")
+    freq = marks.groupBy("lead", "z", "sign").agg(F.count("*").alias("f"), (F.min("comp") != F.max("comp")).alias("open"))
+    by_node = marks.join(freq, ["lead", "z", "sign"]).groupBy("lead", "node").agg(F.array_sort(F.collect_list(F.struct("f", "z", "sign", "open"))).alias("zs"))
+    # linked members share (far + far of the other) / (2 (den + num)) of them at least, and one lacks n (den - num) / num of the other's at most
+    size = F.col("a") + F.col("r")
+    overlap = F.greatest(F.lit(1), F.ceil((F.col("far") + F.col("least_far")) / F.lit(2 * (den + num))))
+    prefix = F.least(size - overlap, F.floor(F.col("n") * (den - num) / num)) + 1
+    over = placed.drop("plus", "minus").join(by_node, ["lead", "node"]).withColumn("whole", prefix >= size).where(prefix > 0)
+    over = over.withColumn("m", F.explode(F.filter(F.slice("zs", F.lit(1), prefix.cast("int")), lambda x: x["open"]))).select("lead", "node", "n", "comp", "a", "r", "whole", "m.z", "m.sign")
     slack = (F.col("x.n") + F.col("y.n")) * (den - num)
     apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node")) & near(F.col("x.n"), F.col("y.n"))
-    lacks = F.abs(F.col("x.r") - F.col("y.r"))
-    listed = placed.select("tok", "lead", "node").join(moved.drop("zs"), ["lead", "node"])
-    met = listed.alias("x").join(listed.alias("y"), (F.col("x.tok") == F.col("y.tok")) & apart & ((F.col("x.a") + F.col("y.a") + lacks) * (den + num) <= slack))
-    over = moved.select("lead", "node", "n", "comp", "a", "r", (F.size("zs") == F.col("a")).alias("all"), F.explode(F.filter("zs", lambda x: x["open"])).alias("x"))
-    over = over.select("lead", "node", "n", "comp", "a", "r", "all", "x.z")
-    same = (F.col("x.lead") == F.col("y.lead")) & (F.col("x.z") == F.col("y.z"))
-    more = over.alias("x").join(over.alias("y"), same & apart & ((F.abs(F.col("x.a") - F.col("y.a")) + lacks) * (den + num) <= slack))
-    # where no added shingle was cut off, the collisions are all that the two share beyond the family
-    more = more.groupBy(F.col("x.lead"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
-        F.count("*").alias("o"), F.max(F.col("x.all") & F.col("y.all")).alias("all"), F.max(F.col("x.a") + F.col("y.a") + lacks).alias("d"), F.max(slack).alias("slack"))
-    more = more.where(~F.col("all") | ((F.col("d") - 2 * F.col("o")) * (den + num) <= F.col("slack"))).select("a", "b")
-    rest = stored(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).union(more).distinct())
+    uneven = F.abs(F.col("x.a") - F.col("y.a")) + F.abs(F.col("x.r") - F.col("y.r"))
+    same = (F.col("x.lead") == F.col("y.lead")) & (F.col("x.z") == F.col("y.z")) & (F.col("x.sign") == F.col("y.sign"))
+    met = over.alias("x").join(over.alias("y"), same & apart & (uneven * (den + num) <= slack))
+    # where no difference was cut off, the collisions are all that the two share
+    met = met.groupBy(F.col("x.lead"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
+        F.count("*").alias("o"), F.max(F.col("x.whole") & F.col("y.whole")).alias("whole"), F.max(F.col("x.a") + F.col("x.r") + F.col("y.a") + F.col("y.r")).alias("d"), F.max(slack).alias("slack"))
+    rest = stored(met.where(~F.col("whole") | ((F.col("d") - 2 * F.col("o")) * (den + num) <= F.col("slack"))).select("a", "b").distinct())
     few = rest.join(side("a", "sig"), "a").join(side("b", "sig"), "b").where(alike).select("a", "b")
     full = few.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").where(similar(shared_size)).select("a", "b")
     links = links.union(stored(full))
