@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, geo
 from ..functions.stats import count_if
 from ..session import durable_table
+from .ranges import RANGE, attach, in_ranges, ranked, rows_before
 from .reshape import union_all
 from .windows import mutual_top_k, top_k
 
@@ -19,7 +20,8 @@ K_NEIGHBOURS = 8
 MIN_COSINE = 0.1
 DISTANCE_STEPS = ((250, 0.114), (500, 0.057), (750, 0.028), (1000, 0.013))
 DENSITY_SCALE = 40
-MAX_LEVEL = 16
+#: Half the levels of the quadtree (bits of a coordinate in each of two numbers), places of the curve handled together, and places in a read block.
+HALF, CURVE_BLOCK, READ_BLOCK = 25, 4096, 64
 
 
 def _spread(df: DataFrame, reach) -> DataFrame:
@@ -69,59 +71,115 @@ def distance_edges(cells: DataFrame, step: Sequence[float] = geo.GRID_STEP,
     return pairs.select("src", "dst", "dist_m", (ladder * filled).alias("w"))
 
 
-def knn_lists(nodes: DataFrame, k: int = K_NEIGHBOURS, max_level: int = MAX_LEVEL) -> DataFrame:
+def _spread_bits(x):
+    """The low 25 bits of a number with a gap behind each."""
+    for step, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x = x.bitwiseOR(F.shiftleft(x, step)).bitwiseAND(F.lit(mask).cast("long"))
+    return x
+
+
+def _curve(gi, gj):
+    """Place of a finest cell on the quadtree's curve as two numbers: cells of one level and place share a prefix."""
+    low = F.lit((1 << HALF) - 1).cast("long")
+    return [F.shiftleft(_spread_bits(i), 1).bitwiseOR(_spread_bits(j)) for i, j in (
+        (F.shiftright(gi, HALF), F.shiftright(gj, HALF)), (gi.bitwiseAND(low), gj.bitwiseAND(low)))]
+
+
+def _depths(spots: DataFrame, k: int) -> DataFrame:
+    """``spots``, numbered along the curve by ``pos``, with the level of the smallest cell of the quadtree that holds a spot and k others.
+
+    Any k + 1 spots of a cell are neighbours on the curve, so that level is the longest prefix that a spot
+    has in common with all of some k + 1 neighbours it is one of. Neighbours come from blocks of the curve that
+    overlap by k spots; a block is a bounded task.
+    """
+    at, block = F.col("pos") - 1, F.floor((F.col("pos") - 1) / CURVE_BLOCK)
+    beside = F.array(block, F.when(at % CURVE_BLOCK < k, block - 1), F.when(at % CURVE_BLOCK >= CURVE_BLOCK - k, block + 1))
+    rows = spots.withColumn("_block", F.explode(F.filter(beside, lambda b: b >= 0)))
+    along = Window.partitionBy("_block").orderBy("pos")
+    high, low = (F.col(z).bitwiseXOR(F.lead(z, k).over(along)) for z in ("zh", "zl"))
+    differ = lambda x, top: top - F.floor((F.length(F.bin(x)) + 1) / 2)
+    rows = rows.withColumn("_common", F.when(high.isNull(), None).when(high != 0, differ(high, HALF)).when(low != 0, differ(low, 2 * HALF)).otherwise(2 * HALF))
+    deepest = F.max("_common").over(along.rowsBetween(-k, 0))
+    return rows.withColumn("level", F.coalesce(deepest, F.lit(0)).cast("int")).filter(F.col("_block") == block).drop("_block", "_common")
+
+
+def knn_lists(nodes: DataFrame, k: int = K_NEIGHBOURS) -> DataFrame:
     """(node_id, peer_id, dist_m, rank): the k nearest others by (distance, id), exact.
 
     * Nodes of one place share a candidate list, and only the k+1 smallest ids of
       a place can be near anything, so a place with any number of nodes counts
       as k+1.
-    * Each place is searched on its own grid level: the finest one whose 3x3
-      cells hold k+1 nodes. Those lie within 2 cell diagonals, so all cells within
-      that reach are read and nothing nearer can be missed. One level finer the
-      3x3 holds at most k nodes, which bounds the readers of any cell: the number
-      of pairs grows linearly however dense a cluster is.
-
-    For extents of up to some ten degrees off the poles and the date line, where
-    cell sides bound distances to well within the one percent of slack used.
+    * Places lie in an adaptive quadtree: each is searched from the smallest cell that
+      holds k+1 places, however deep that is (down to 2**-50 of the extent). A cell's places are within its diagonal, so
+      all cells of its size within that reach are read and nothing nearer can be missed. A cell serves
+      at most 4k places of its own, as each of its quarters holds k or is served by a deeper cell. So a place is read
+      by a bounded number of others on each scale on which it lies in a cluster, however dense that is and however far an outlier.
+    * Cells are stretches of the quadtree's curve, along which each place is stored once; a stretch is found by counting
+      places before its ends.
+
+    For extents of up to 30 degrees and latitudes of up to 66, where cell sides bound distances to within the
+    five percent of slack used; beyond, ValueError. Places without a coordinate have no neighbours.
     """
-    first = top_k(nodes.select("node_id", "lat", "lon"), ["lat", "lon"], [F.col("node_id")], k + 1, "_r")
-    spots = first.groupBy("lat", "lon").agg(F.array_sort(F.collect_list("node_id")).alias("ids"))  # at most k+1
-    box = nodes.agg(F.min("lat").alias("_s"), F.max("lat").alias("_n"), F.min("lon").alias("_w"), F.max("lon").alias("_e"))
-    box = box.withColumn("_far", F.greatest(F.abs("_s"), F.abs("_n"))).withColumn(
-        "_near", F.when((F.col("_s") <= 0) & (F.col("_n") >= 0), 0.0).otherwise(F.least(F.abs("_s"), F.abs("_n"))))
-    # A cell is h degrees high and h/cos(far) wide: nowhere narrower than high in metres.
-    cos_far = F.cos(F.radians("_far"))
-    extent = F.greatest(F.col("_n") - F.col("_s"), (F.col("_e") - F.col("_w")) * cos_far, F.lit(1e-6)) * 1.001
-    stretch = F.cos(F.radians("_near")) / cos_far
-    # k+1 nodes of a 3x3 block are at most this many cell heights away.
-    far_corner = 2 * F.sqrt(1 + stretch * stretch) * 1.01
-    box = box.select("_s", "_w", extent.alias("_h0"), cos_far.alias("_cos"), far_corner.alias("_far_corner"))
-
-    spots = durable_table(spots.join(F.broadcast(box)))  # read three times below
-    levels = spots.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_level))))
-    h = F.col("_h0") / F.pow(F.lit(2.0), F.col("level"))
-    placed = (levels.withColumn("gi", F.floor((F.col("lat") - F.col("_s")) / h))
-              .withColumn("gj", F.floor((F.col("lon") - F.col("_w")) * F.col("_cos") / h)))
-    cells = placed.groupBy("level", "gi", "gj").agg(F.sum(F.size("ids")).alias("n"))
-    block = _spread(cells, 1).groupBy("level", "gi", "gj").agg(F.sum("n").alias("block_n"))
-    enough = placed.join(block, ["level", "gi", "gj"]).filter((F.col("block_n") >= k + 1) | (F.col("level") == 0))
-    metres = F.col("_far_corner") * h * (geo.EARTH_RADIUS_M * math.pi / 180)
-    chosen = enough.withColumn("_within", metres).groupBy("lat", "lon").agg(
-        F.max_by(F.struct("level", "gi", "gj", "_far_corner", "_within"), "level").alias("q"))
-    asked = _spread(chosen.select(F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), "q.level", "q.gi", "q.gj", "q._within",
-                                  F.ceil("q._far_corner").cast("int").alias("_reach")), F.col("_reach")).drop("_reach")
-    found = asked.join(placed.select("level", "gi", "gj", "lat", "lon", "ids"), ["level", "gi", "gj"])
+    nodes = nodes.select("node_id", "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL")
     dist = geo.haversine("qlat", "qlon", "lat", "lon")
-    flat = found.withColumn("dist_m", dist).filter((F.col("dist_m") <= F.col("_within")) | (F.col("level") == 0)).select("qlat", "qlon", "dist_m", F.explode("ids").alias("peer_id"))
-    near = top_k(flat, ["qlat", "qlon"], [F.col("dist_m"), F.col("peer_id")], k + 1, "_r")
-    shared = near.groupBy(F.col("qlat").alias("lat"), F.col("qlon").alias("lon")).agg(
+    flat = knn_pairs(nodes, k).withColumn("dist_m", dist).filter("dist_m <= within").select("qlat", "qlon", "dist_m", F.explode("ids").alias("peer_id"))
+    near_ids = top_k(flat, ["qlat", "qlon"], [F.col("dist_m"), F.col("peer_id")], k + 1, "_r")
+    shared = near_ids.groupBy(F.col("qlat").alias("lat"), F.col("qlon").alias("lon")).agg(
         F.array_sort(F.collect_list(F.struct("dist_m", "peer_id"))).alias("near"))  # at most k+1
-    own = nodes.select("node_id", "lat", "lon").join(shared, ["lat", "lon"])
+    own = nodes.join(shared, ["lat", "lon"])
     others = F.slice(F.filter("near", lambda x: x["peer_id"] != F.col("node_id")), 1, k)
     return own.select("node_id", F.posexplode(others).alias("pos", "n")).select(
         "node_id", F.col("n.peer_id").alias("peer_id"), F.col("n.dist_m").alias("dist_m"), (F.col("pos") + 1).alias("rank"))
 
 
+def knn_pairs(nodes: DataFrame, k: int) -> DataFrame:
+    """(qlat, qlon, lat, lon, ids, within): each place with the places of the cells it reads and the reach of its search in metres."""
+    box = nodes.agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e")).first()
+    south, north, west, east = (0.0,) * 4 if box.s is None else (float(v) for v in box)
+    far, near = max(abs(south), abs(north)), 0.0 if south <= 0 <= north else min(abs(south), abs(north))
+    if max(north - south, east - west) > 30 or far > 66:
+        raise ValueError(f"extent {south}..{north}, {west}..{east} is beyond 30 degrees or latitude 66")
+    # a cell of level l is h / 2**l degrees high and as wide in metres where it is narrowest
+    cos_far = math.cos(math.radians(far))
+    h = max(north - south, (east - west) * cos_far, 1e-6) * 1.001
+    diagonal = math.sqrt(1 + (math.cos(math.radians(near)) / cos_far) ** 2) * 1.05
+    reach = math.ceil(diagonal)
+
+    first = top_k(nodes, ["lat", "lon"], [F.col("node_id")], k + 1, "_r")
+    spots = first.groupBy("lat", "lon").agg(F.array_sort(F.collect_list("node_id")).alias("ids"))  # at most k+1
+    finest = float(1 << 2 * HALF)
+    spots = spots.withColumns({"gi": F.floor((F.col("lat") - south) / h * finest).cast("long"), "gj": F.floor((F.col("lon") - west) * cos_far / h * finest).cast("long")})
+    zh, zl = _curve(F.col("gi"), F.col("gj"))
+    spots = durable_table(_depths(ranked(spots.withColumns({"zh": zh, "zl": zl}), [], ["zh", "zl", "lat", "lon"], "pos"), k))  # read four times below
+    up = f"{2 * HALF} - level"
+    chosen = spots.select("lat", "lon", "level", F.expr(f"shiftright(gi, {up})").alias("ci"), F.expr(f"shiftright(gj, {up})").alias("cj"))
+
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    pairs = chosen.select("level", "ci", "cj").distinct().withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps)).withColumns(
+        {"ai": F.col("ci") + F.col("_i"), "aj": F.col("cj") + F.col("_j")}).drop("_i", "_j")
+    side = F.expr("shiftleft(1L, level)")
+    pairs = pairs.filter((F.col("ai") >= 0) & (F.col("aj") >= 0) & (F.col("ai") < side) & (F.col("aj") < side))
+    asked = pairs.select("level", "ai", "aj").distinct()
+    ends = asked.withColumn("_kind", F.explode(F.array(F.lit(0), F.lit(2)))).withColumn("_end", (F.col("_kind") / 2).cast("long"))
+    corner = [F.expr(f"shiftleft({c} + _end, {up}) - _end") for c in ("ai", "aj")]  # the first and the last finest cell
+    mark_h, mark_l = _curve(*corner)
+    marks = ends.withColumns({"zh": mark_h, "zl": mark_l}).drop("_end")
+    both = in_ranges(marks.unionByName(spots.select("zh", "zl", F.lit(1).alias("_kind")), allowMissingColumns=True), ["zh", "zl", "_kind"])
+    is_spot = (F.col("_kind") == 1).cast("long")
+    before = rows_before(both.groupBy(RANGE).agg(F.sum(is_spot).alias("_n")))
+    here = F.sum(is_spot).over(Window.partitionBy(RANGE).orderBy("zh", "zl", "_kind"))
+    counted = attach(both.withColumn("_here", here), before, [], "_before").filter("_kind <> 1").withColumn("upto", F.col("_here") + F.coalesce("_before", F.lit(0)))
+    stretch = counted.groupBy("level", "ai", "aj").agg(F.min("upto").alias("lo"), F.max("upto").alias("hi")).filter("lo < hi")
+    blocks = stretch.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / READ_BLOCK), F.floor((F.col("hi") - 1) / READ_BLOCK))))
+
+    there = spots.select("lat", "lon", "ids", (F.col("pos") - 1).alias("at"), F.floor((F.col("pos") - 1) / READ_BLOCK).alias("_b"))
+    read = blocks.join(there, "_b").filter((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("level", "ai", "aj", "lat", "lon", "ids")
+    asks = chosen.withColumnsRenamed({"lat": "qlat", "lon": "qlon"})
+    found = read.join(pairs, ["level", "ai", "aj"]).join(asks, ["level", "ci", "cj"])
+    within = F.lit(diagonal * h * geo.EARTH_RADIUS_M * math.pi / 180) / F.pow(F.lit(2.0), F.col("level"))
+    return found.select("qlat", "qlon", "lat", "lon", "ids", F.when(F.col("level") == 0, F.lit(math.inf)).otherwise(within).alias("within"))
+
+
 def knn_edges(nodes: DataFrame, k: int = K_NEIGHBOURS) -> DataFrame:
     """Undirected (a < b) edges to the k nearest others with the distance."""
     near = knn_lists(nodes, k)

@@ -40,7 +40,7 @@ def attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str], name: str) ->
     return rows.join(F.broadcast(other), on, "left").drop(*[f"_c{c}" for c in [*keys, RANGE]])
 
 
-def _rows_before(parts: DataFrame) -> DataFrame:
+def rows_before(parts: DataFrame) -> DataFrame:
     """(range, rows of all earlier ranges) from (range, rows): one small row holds all ranges, whose number is that of partitions."""
     every = parts.agg(F.collect_list(F.struct(RANGE, "_n")).alias("_all"))
     each = every.select("_all", F.explode("_all").alias("_p"))
@@ -56,7 +56,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str)
     """
     rows = in_ranges(df, [*keys, *order])
     parts = rows.groupBy(*keys, RANGE).agg(F.count("*").alias("_n"))
-    carry = carried(parts, keys, F.sum("_n"), "_before") if keys else _rows_before(parts)
+    carry = carried(parts, keys, F.sum("_n"), "_before") if keys else rows_before(parts)
     local = F.row_number().over(Window.partitionBy(*keys, RANGE).orderBy(*order))
     out = attach(rows.withColumn("_local", local), carry, keys, "_before")
     return out.withColumn(name, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long")).select(*df.columns, name)

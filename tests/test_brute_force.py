@@ -76,6 +76,34 @@ def test_knn_with_a_crowded_place(spark, spread):
         assert [got[i][k + 1] for k in range(8)] == [j for _, j in want]
 
 
+@pytest.mark.parametrize("shape", ["outlier", "nested", "line", "even"])
+def test_knn_pairs_stay_linear(spark, shape):
+    """A far outlier and a tight cluster, clusters inside clusters on twelve scales, a line, an even spread: exact, and few pairs for each wanted neighbour."""
+    rnd = random.Random(6)
+    n, k = 600, 4
+    at = {"outlier": lambda i: (20.0, 20.0) if i == 0 else (1 + rnd.random() * 1e-7, 1 + rnd.random() * 1e-7),
+          "nested": lambda i: (1 + rnd.random() * 10.0 ** -(i % 12), 1 + rnd.random() * 10.0 ** -(i % 12)),
+          "line": lambda i: (2.0, i * 1e-4), "even": lambda i: (rnd.random(), rnd.random())}[shape]
+    pts = [(i, *at(i)) for i in range(n)] + [(n, None, 1.0)]
+    df = spark.createDataFrame(pts, "node_id long, lat double, lon double")
+    assert graph.knn_pairs(df.filter("lat is not null"), k).count() <= (100 if shape == "nested" else 60) * k * n
+    got = {}
+    for r in graph.knn_lists(df, k).collect():
+        got.setdefault(r.node_id, []).append((r["rank"], r.dist_m))
+    la, lo = (np.radians([p[c] for p in pts[:-1]]) for c in (1, 2))
+    for i in range(n):
+        a = np.sin((la - la[i]) / 2) ** 2 + np.cos(la) * np.cos(la[i]) * np.sin((lo - lo[i]) / 2) ** 2
+        want = np.sort(np.delete(2 * 6_371_008.8 * np.arcsin(np.sqrt(a)), i))[:k]
+        assert [d for _, d in sorted(got[i])] == pytest.approx(want.tolist(), rel=1e-9, abs=1e-7)
+    assert n not in got
+
+
+def test_knn_checks_its_extent(spark):
+    with pytest.raises(ValueError, match="extent"):
+        graph.knn_lists(spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 40.0)], "node_id long, lat double, lon double"))
+    assert graph.knn_lists(spark.createDataFrame([], "node_id long, lat double, lon double")).collect() == []
+
+
 def test_knn_of_fewer_nodes_than_k(spark):
     pts = [(1, 0.0, 0.0), (2, 0.0, 1.0), (3, 10.0, 0.0)]
     edges = graph.knn_edges(spark.createDataFrame(pts, "node_id long, lat double, lon double"), 8).collect()
