@@ -275,6 +275,44 @@ def test_place_search_ranks(spark):
     assert "x" not in got and "zzz" not in got
 
 
+def test_place_search_reads_a_few_postings_of_common_tokens(spark, monkeypatch):
+    """Queries of every kind over places that share their tokens, with short reads: equal to scoring every place."""
+    monkeypatch.setattr(places, "FIRST_READ", 4)
+    monkeypatch.setattr(places, "STEP", 2)
+    rnd = random.Random(8)
+    vocabulary = ["star", "stone", "bar", "barn", "king", "oak", "5"]
+    rows = {(" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 3))).title(), f"{rnd.randint(1, 30)} {rnd.choice(vocabulary)} Street") for _ in range(400)}
+    asks = ["s", "st", "sta", "bar", "oak king", "king 5", "5 st", "bar oak st", "barn stone star", "stree", "1", "zz st"]
+    index = spark.createDataFrame(sorted(rows), "name string, address string")
+    got = {}
+    for r in places.search_places(spark.createDataFrame([(q,) for q in asks], "query string"), index).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r.score, r["name"], r.address))
+    table = {"street": "st"}
+    for q in asks:
+        toks = [table.get(w, w) for w in q.split()]
+        want = []
+        for name, address in rows:
+            nw, aw = name.lower().split(), [table.get(w, w) for w in address.lower().split()]
+            has = lambda ws: all(any(w.startswith(t) for w in ws) for t in toks)
+            score = (0 if nw[0].startswith(toks[0]) else 1) if has(nw) else (2 if toks[0] in aw else 3) if has(aw) else 4 if has(nw + aw) else None
+            if score is not None and len(q) >= 2:
+                want.append((score, name.lower(), name, address))
+        assert sorted(got.get(q, [])) == [(i + 1, s, name, a) for i, (s, _, name, a) in enumerate(sorted(want)[:8])], q
+
+
+def test_one_token_that_matches_every_place_reads_its_first_postings(spark):
+    index = spark.range(3000).selectExpr("concat('Star ', id) name", "concat(id, ' Stone Street') address")
+    reads = []
+    join = places.top_k
+    places.top_k, old = lambda df, keys, *a: (reads.append(df.count()) if "score" in keys else None) or join(df, keys, *a), places.top_k
+    try:
+        got = places.search_places(spark.createDataFrame([("st",)], "query string"), index).collect()
+    finally:
+        places.top_k = old
+    assert [r["name"] for r in sorted(got, key=lambda r: r["rank"])] == sorted(f"Star {i}" for i in range(3000))[:8]
+    assert sum(reads) <= 5 * places.FIRST_READ  # of 3000 places
+
+
 def test_velocity_equals_least_squares(spark):
     rng = np.random.default_rng(4)
     d = [date(2023, 1, 1) + timedelta(i) for i in range(500)]
