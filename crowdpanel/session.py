@@ -43,12 +43,17 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession) -> str:
+    """An unused path in the folder that the driver and all executors share."""
+    return f"{_shared_folder(spark)}/crowdpanel/{uuid.uuid4().hex}"
+
+
 def durable_table(df: DataFrame) -> DataFrame:
     """Write a frame with several consumers as Parquet in the shared folder and read it back.
 
     Cuts lineage, survives lost executors, and unlike a checkpointed RDD keeps
     column pruning, pushed filters and size statistics for the planner.
     """
-    path = f"{_shared_folder(df.sparkSession)}/crowdpanel/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
