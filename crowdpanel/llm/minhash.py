@@ -18,8 +18,8 @@ differ in at most s (|x| + |y|) shingles, and they differ in d(x) + d(y) - 2 |D(
 
 * If e(x) + e(y) <= 0 they are linked, whatever they share. So each member whose e allows it is linked to the member m of the least e, one link a member.
 * If they are linked and share no difference, e(x) + e(y) <= 0, and as e(m) is least, both are linked to m: they are one component already.
-* So linked members of different components share a difference, in fact (e(x) + e(m)) / 2 of those of x or more: they meet over the rarest |D(x)| less that many, plus one, and only
-  where their sizes and numbers of differences allow a link.
+* So linked members of different components share (e(x) + e(y)) / 2 > 0 differences or more. They meet over a shared one, differences being ordered from rare to common, and
+  only where both have enough of them left from there on, and where their sizes and numbers of differences allow a link; the first that they share always passes.
 
 This loses no pair, and families of thousands of copies that each add, drop or change a few words cost about one pair a member. Joins are on plain keys,
 so adaptive execution splits hot ones.
@@ -169,21 +169,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     marks = placed.select("lead", "node", "comp", F.explode(F.concat(signed("plus", True), signed("minus", False))).alias("m")).select("lead", "node", "comp", "m.z", "m.sign")
     freq = marks.groupBy("lead", "z", "sign").agg(F.count("*").alias("f"), (F.min("comp") != F.max("comp")).alias("open"))
     by_node = marks.join(freq, ["lead", "z", "sign"]).groupBy("lead", "node").agg(F.array_sort(F.collect_list(F.struct("f", "z", "sign", "open"))).alias("zs"))
-    # linked members share (far + far of the other) / (2 (den + num)) of them at least, and one lacks n (den - num) / num of the other's at most
+    # linked members share (far + far of the other) / (2 (den + num)) differences or more; from rare to common, the first that they share has as many behind it in both
     size = F.col("a") + F.col("r")
     overlap = F.greatest(F.lit(1), F.ceil((F.col("far") + F.col("least_far")) / F.lit(2 * (den + num))))
     prefix = F.least(size - overlap, F.floor(F.col("n") * (den - num) / num)) + 1
-    over = placed.drop("plus", "minus").join(by_node, ["lead", "node"]).withColumn("whole", prefix >= size).where(prefix > 0)
-    over = over.withColumn("m", F.explode(F.filter(F.slice("zs", F.lit(1), prefix.cast("int")), lambda x: x["open"]))).select("lead", "node", "n", "comp", "a", "r", "whole", "m.z", "m.sign")
+    over = placed.drop("plus", "minus").join(by_node, ["lead", "node"]).where(prefix > 0)
+    over = over.select("lead", "node", "n", "comp", "a", "r", "far", size.alias("d"), F.posexplode(F.slice("zs", F.lit(1), prefix.cast("int"))).alias("i", "m")).where("m.open")
+    over = over.select("lead", "node", "n", "comp", "a", "r", "far", (F.col("d") - F.col("i")).alias("behind"), "m.z", "m.sign")
     slack = (F.col("x.n") + F.col("y.n")) * (den - num)
     apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node")) & near(F.col("x.n"), F.col("y.n"))
     uneven = F.abs(F.col("x.a") - F.col("y.a")) + F.abs(F.col("x.r") - F.col("y.r"))
+    enough = F.col("x.far") + F.col("y.far") <= 2 * (den + num) * F.least("x.behind", "y.behind")
     same = (F.col("x.lead") == F.col("y.lead")) & (F.col("x.z") == F.col("y.z")) & (F.col("x.sign") == F.col("y.sign"))
-    met = over.alias("x").join(over.alias("y"), same & apart & (uneven * (den + num) <= slack))
-    # where no difference was cut off, the collisions are all that the two share
-    met = met.groupBy(F.col("x.lead"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
-        F.count("*").alias("o"), F.max(F.col("x.whole") & F.col("y.whole")).alias("whole"), F.max(F.col("x.a") + F.col("x.r") + F.col("y.a") + F.col("y.r")).alias("d"), F.max(slack).alias("slack"))
-    rest = stored(met.where(~F.col("whole") | ((F.col("d") - 2 * F.col("o")) * (den + num) <= F.col("slack"))).select("a", "b").distinct())
+    met = over.alias("x").join(over.alias("y"), same & apart & enough & (uneven * (den + num) <= slack))
+    rest = stored(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     few = rest.join(side("a", "sig"), "a").join(side("b", "sig"), "b").where(alike).select("a", "b")
     full = few.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").where(similar(shared_size)).select("a", "b")
     links = links.union(stored(full))

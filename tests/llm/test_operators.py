@@ -243,6 +243,28 @@ def test_near_duplicate_families(spark):
     assert got == brute.near(rows)
 
 
+@pytest.mark.parametrize("num", [80, 85])
+@pytest.mark.parametrize("kind", ["drop", "add", "both", "core"])
+def test_near_duplicate_families_of_uneven_members(spark, kind, num):
+    """Members that lack different words of one text, add some, do both, or share an addition of their own; many lie at the border of a link."""
+    draw = random.Random(len(kind) + num)
+    base = ["w%d" % draw.randrange(900) for _ in range(130)]
+    rows = [(1000, " ".join(base))]
+    for k in range(140):
+        words = list(base)
+        for _ in range(k % 9):
+            at = draw.randrange(len(words))
+            if kind == "drop" or (kind == "both" and draw.random() < 0.5):
+                del words[at]
+            else:
+                words.insert(at, "v%d" % draw.randrange(12 if kind == "core" else 10**6))
+        if kind == "core" and k % 3 == 0:
+            words[60:60] = ["c1", "c2", "c3", "c4", "c5"]
+        rows.append((k, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), num=num).collect()}
+    assert got == brute.near(rows, num)
+
+
 def test_pipeline_drops_copies_from_a_similarity_of_80(spark):
     """Pairs of texts of 100 words, the second with one to three words changed far apart: Jaccard 0.90, 0.81 and 0.73."""
     rows = []
@@ -333,7 +355,7 @@ def test_pipeline_equals_its_stages_done_plainly(spark, docs):
     scores = queries.op3_quality_mil(spark, SF).where("score >= 0.5").select("doc_id")
     assert sorted(pairs(good)) == sorted(pairs(docs.join(scores, "doc_id", "left_semi")))
     lines = {d: w[0] for d, w in brute.lines(sorted(pairs(good))).items()}
-    named = brute.near(lines.items())
+    named = brute.near(lines.items(), 80)
     first = {d: t for d, t in lines.items() if named[d][1] == d}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     hits = brute.contamination(first.items(), items)
