@@ -39,19 +39,25 @@ def share_if(cond: Column) -> Column:
     return F.avg(cond.cast("double"))
 
 
-def student_quantile(p: float, df: float) -> float:
-    """Quantile of Student's t by bisection on a Simpson integral of its density."""
-    if df > 1e6:
-        return NormalDist().inv_cdf(p)
+def _student_half(x: float, df: float, n: int = 2000) -> float:
+    """Chance of Student's t between 0 and x, a Simpson integral of its density."""
     scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    h = x / n
+    pdf = [scale * (1 + (i * h) ** 2 / df) ** (-(df + 1) / 2) for i in range(n + 1)]
+    return h / 3 * (pdf[0] + pdf[-1] + 4 * sum(pdf[1:-1:2]) + 2 * sum(pdf[2:-1:2]))
+
 
-    def upper_half(x: float, n: int = 2000) -> float:
-        h = x / n
-        pdf = [scale * (1 + (i * h) ** 2 / df) ** (-(df + 1) / 2) for i in range(n + 1)]
-        return h / 3 * (pdf[0] + pdf[-1] + 4 * sum(pdf[1:-1:2]) + 2 * sum(pdf[2:-1:2]))
+def student_p_value(t: float, df: float) -> float:
+    """Chance of a value of Student's t at least as far from 0."""
+    return max(0.0, 1 - 2 * _student_half(abs(t), df))
 
+
+def student_quantile(p: float, df: float) -> float:
+    """Quantile of Student's t by bisection."""
+    if df > 1e6:
+        return NormalDist().inv_cdf(p)
     target, lo, hi = abs(p - 0.5), 0.0, 200.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if upper_half(mid) < target else (lo, mid)
+        lo, hi = (mid, hi) if _student_half(mid, df) < target else (lo, mid)
     return math.copysign((lo + hi) / 2, p - 0.5)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import RFormula
-from pyspark.ml.regression import LinearRegression
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo
-from ..functions.stats import ratio_of_sums, share_if, student_quantile
+from ..functions.stats import ratio_of_sums, share_if, student_p_value, student_quantile
 from .panel import EVENING
 from .windows import share_of_total
 
@@ -71,25 +71,31 @@ def calibrate_capture(per_game: DataFrame, attendance: DataFrame) -> DataFrame:
 
 
 def calibrate_velocity(spend: DataFrame, attendance: DataFrame, level: float = 0.95) -> DataFrame:
-    """OLS of the daily spend index on attendance per 10k with weekday, month and year dummies.
+    """OLS of the daily spend index on attendance per 10k with weekday, month and year effects.
 
     Dates without an event have attendance 0. Returns one row: coefficient in
-    percentage points, SE, interval, p value and counts.
+    percentage points, SE, t, interval, p value and counts. Sums and products are aggregated per
+    (weekday, month, year), at most 84 rows a year however many days there are; the
+    effects are absorbed from those, and what is left gives the coefficient (Frisch, Waugh, Lovell).
     """
     days = spend.join(attendance.select("date", "attendance"), "date", "left").select(
-        (100.0 * F.col("spend_idx")).alias("pp"), (F.coalesce("attendance", F.lit(0)) / 10000.0).alias("att10k"),
-        F.dayofweek("date").cast("string").alias("dow"), F.month("date").cast("string").alias("month"),
-        F.year("date").cast("string").alias("year"))
-    design = RFormula(formula="pp ~ att10k + dow + month + year").fit(days).transform(days)
-    fit = LinearRegression(solver="normal").fit(design)
-    info = fit.summary
-    n, df = info.numInstances, info.degreesOfFreedom
-    se = float(info.coefficientStandardErrors[0])
-    coef = float(fit.coefficients[0])
+        (100.0 * F.col("spend_idx")).alias("y"), (F.coalesce("attendance", F.lit(0)) / 10000.0).alias("a"),
+        F.dayofweek("date").alias("dow"), F.month("date").alias("month"), F.year("date").alias("year"))
+    sums = {"sy": F.sum("y"), "sa": F.sum("a"), "yy": F.sum(F.col("y") * F.col("y")), "ay": F.sum(F.col("a") * F.col("y")), "aa": F.sum(F.col("a") * F.col("a"))}
+    cells = days.dropna().groupBy("dow", "month", "year").agg(F.count("*").alias("n"), *[c.alias(name) for name, c in sums.items()]).toPandas()
+    effects = np.concatenate([(cells[c].to_numpy()[:, None] == np.unique(cells[c])) for c in ("dow", "month", "year")], axis=1).astype(float)
+    n, sy, sa = (cells[c].to_numpy(float) for c in ("n", "sy", "sa"))
+    gram = effects.T @ (n[:, None] * effects)  # days by pairs of effects
+    inverse, rank = np.linalg.pinv(gram, hermitian=True), int(np.linalg.matrix_rank(gram, hermitian=True))
+    left = lambda u, v, uv: float(cells[uv].sum() - (effects.T @ u) @ inverse @ (effects.T @ v))
+    aa, ay, yy = left(sa, sa, "aa"), left(sa, sy, "ay"), left(sy, sy, "yy")
+    df = int(n.sum()) - rank - 1
+    coef = ay / aa
+    se = math.sqrt((yy - coef * ay) / df / aa)
     half = student_quantile(0.5 + level / 2, df) * se
-    row = (coef, se, coef - half, coef + half, float(info.pValues[0]), int(n))
+    row = (coef, se, coef / se, coef - half, coef + half, student_p_value(coef / se, df), int(n.sum()))
     return spend.sparkSession.createDataFrame(
-        [row], "pp_per_10k double, se double, lo double, hi double, p_value double, n_days long")
+        [row], "pp_per_10k double, se double, t double, lo double, hi double, p_value double, n_days long")
 
 
 def dollarize(events: DataFrame, base_dollars: float, pp_per_10k: str = "pp_per_10k") -> DataFrame:

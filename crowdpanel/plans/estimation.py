@@ -167,6 +167,28 @@ def _(t):
     return uplift.calibrate_capture(_uplift(t), days.event_schedule(t.games))
 
 
+# Normal equations of the dummies, solved by Gauss-Jordan steps on [X'X | X'y | e1]; the first unknown is the coefficient.
+VELOCITY = """WITH RECURSIVE d AS (SELECT date, n / CAST(100 AS DOUBLE) * 100 AS y, coalesce(attendance, 0) / CAST(10000 AS DOUBLE) AS a
+      FROM day_counts LEFT JOIN (SELECT date, attendance FROM calendar WHERE game_day) USING (date)),
+    years AS (SELECT list(DISTINCT year(date) ORDER BY year(date))[2:] AS ys FROM d),
+    x AS (SELECT y, [a, 1.0] || [CAST(isodow(date) = v AS INT)::DOUBLE FOR v IN range(2, 8)] || [CAST(month(date) = v AS INT)::DOUBLE FOR v IN range(2, 13)]
+                    || [CAST(year(date) = v AS INT)::DOUBLE FOR v IN ys] AS x FROM d, years),
+    long AS (SELECT y, x, unnest(range(1, len(x) + 1)) AS i FROM x),
+    wide AS (SELECT y, x, i, unnest(range(1, len(x) + 1)) AS j FROM long),
+    xx AS (SELECT i, j, sum(x[i] * x[j]) AS v FROM wide GROUP BY ALL),
+    xy AS (SELECT i, sum(x[i] * y) AS v FROM long GROUP BY ALL),
+    start AS (SELECT list(r ORDER BY i) AS m FROM (SELECT xx.i, list(xx.v ORDER BY j) || [any_value(xy.v), CAST(xx.i = 1 AS INT)::DOUBLE] AS r FROM xx JOIN xy USING (i) GROUP BY xx.i)),
+    solve AS (SELECT 0 AS k, m FROM start UNION ALL
+      SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / m[k + 1][k + 1])
+        ELSE list_transform(r, lambda v, c: v - r[k + 1] * m[k + 1][c] / m[k + 1][k + 1]) END) FROM solve WHERE k < len(m)),
+    done AS (SELECT list_transform(m, lambda r: r[len(r) - 1]) AS beta, m[1][len(m[1])] AS inv FROM solve WHERE k = len(m)),
+    fit AS (SELECT beta[1] AS b, sqrt(rss / (n - p) * inv) AS se, n, n - p AS df FROM
+      (SELECT any_value(beta) AS beta, any_value(inv) AS inv, count(*) AS n, len(any_value(beta)) AS p, sum(pow(y - list_inner_product(x, beta), 2)) AS rss FROM x, done)),
+    q AS (SELECT *, z + (pow(z, 3) + z) / (4 * df) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * pow(df, 2)) AS t975 FROM fit, (SELECT CAST(1.959963984540054 AS DOUBLE) AS z))
+    SELECT b AS pp_per_10k, se, b / se AS t, b - t975 * se AS lo, b + t975 * se AS hi, n AS n_days FROM q"""
+
+
+@query("velocity_terms", "E9", "pp_per_10k f6, se f6, t f6, lo f6, hi f6, n_days l", VELOCITY)
 @query("velocity_calibration", "E9", "pp_per_10k f6, se f6, lo f6, hi f6, p_value f6, n_days l")
 def _(t):
     spend = t.day_counts.select("date", (F.col("n") / 100.0).alias("spend_idx"))

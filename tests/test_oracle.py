@@ -1,7 +1,4 @@
-"""Registered queries against DuckDB on the smallest tables.
-
-A spread of queries by default; all of them with CROWDPANEL_ALL=1.
-"""
+"""All registered queries with SQL against DuckDB on the smallest tables."""
 
 import os
 import sys
@@ -14,8 +11,7 @@ import __spark_entry__ as entry  # noqa: E402
 from check_oracle import compare, connect  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-EVERY = sorted(entry.oracle_sql())
-NAMES = EVERY if os.environ.get("CROWDPANEL_ALL") else EVERY[::4]
+NAMES = sorted(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
