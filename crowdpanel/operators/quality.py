@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, flags
+from ..functions import dates, flags, geo
 from ..functions.arrays import weighted_keys
 from ..functions.stats import count_if, ratio_of_sums
 from .aggregates import duplicate_count, exact_quantiles
@@ -151,6 +151,21 @@ def hours_per_visit(weekly: DataFrame, lo: float = 2.5, hi: float = 6.0, name: s
     return check(exact_quantiles(ratios, "r", {"m": 0.5}), name, F.col("m").between(lo, hi), F.format_string("median %.3f", "m"))
 
 
+def venue_hours_per_visit(weekly: DataFrame, venue: str, lo: float = 2.5, hi: float = 6.0, name: str = "venue_hours_per_visit") -> DataFrame:
+    """Median over weeks of the venue's hours per visit, all its rows of a week added up first.
+
+    Only rows of that name with an hourly array count, and weeks with visits; without any the check fails.
+    """
+    own = weekly.filter((F.col("poi_name") == venue) & F.col("has_hourly"))
+    weeks = own.groupBy("week_start").agg(F.sum("hourly_sum").alias("h"), F.sum("daily_sum").alias("v")).filter("v > 0")
+    ratios = weeks.select((F.col("h").cast("double") / F.col("v")).alias("r"))
+    span = ratios.agg(F.min("r").alias("least"), F.max("r").alias("most"))
+    # a left join of one-row aggregates, as there is no median without weeks
+    one = span.join(F.broadcast(exact_quantiles(ratios, "r", {"m": 0.5})), how="left", on=F.lit(True))
+    text = F.format_string("median %.2f, weeks %.2f to %.2f", "m", "least", "most")
+    return check(one, name, F.col("m").between(lo, hi), F.when(F.col("m").isNull(), "no weeks with visits").otherwise(text))
+
+
 # Whole-hour buckets that a visit of each dwell class spans on average.
 DWELL_HOURS = {"<5": 1.042, "5-20": 1.208, "21-60": 1.667, "61-240": 3.5, ">240": 6.0}
 
@@ -173,6 +188,28 @@ def trip_lift(trips: DataFrame, calendar: DataFrame, lo: float, hi: float, name:
     return check(one, name, F.col("lift").between(lo, hi), F.format_string("lift %.4f", "lift"), "crosscheck")
 
 
+# One mile, and the percent by which trips may rise on event dates.
+MILE_M = 1609.344
+TRIP_LIFT_PCT = (4.0, 16.0)
+
+
+def trip_lift_near(trips: DataFrame, calendar: DataFrame, first: str, last: str, venue: Sequence[float] = geo.VENUE, radius_m: float = MILE_M,
+                   bounds: tuple[float, float] = TRIP_LIFT_PCT, name: str = "trip_lift_near") -> DataFrame:
+    """Percent by which daily trip starts within the radius rise on event dates of a span (a month), within bounds.
+
+    Raw trips are measured, so that ring edges do not matter; trips without a fix do not count, nor do days without a
+    start. Skipped if the span has no event dates or no others.
+    """
+    near = trips.filter(geo.haversine("start_lat", "start_lng", *venue) <= radius_m).withColumn("date", F.to_date("started_at"))
+    daily = near.filter(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).groupBy("date").agg(F.count("*").alias("n"))
+    both = daily.join(calendar.select("date", "game_day"), "date")
+    one = both.agg(F.avg(F.when(F.col("game_day"), F.col("n"))).alias("on"), F.avg(F.when(~F.col("game_day"), F.col("n"))).alias("off"))
+    one = one.withColumn("pct", 100 * (F.col("on") - F.col("off")) / F.col("off"))
+    text = F.when(F.col("pct").isNull(), "no contrast of dates").otherwise(F.format_string("lift %.2f percent", "pct"))
+    return one.select(F.lit(name).alias("name"), F.when(F.col("pct").isNull(), "skipped").otherwise("gate").alias("kind"),
+                      F.coalesce(F.col("pct").between(*bounds), F.lit(False)).alias("ok"), text.alias("detail"))
+
+
 def external_series(own: DataFrame, other: DataFrame | None, value: str = "value", min_corr: float = 0.90,
                     name: str = "external") -> DataFrame:
     """Correlation of two dated series; skipped when the other is absent or shares no date."""

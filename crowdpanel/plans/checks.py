@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, dates, geo
 from ..operators import controls, days, effects, graph, model, panel, profiling, quality, reshape, score, unpack, windows
 from .estimation import _effects, _lifts, _nodes, _served
-from .panels import HAV, _coverage, _occupancy
+from .panels import HAV, _coverage, _occupancy, _trips
 from .registry import query
 from .relational import FLAT
 from .standins import EPOCH, JAN, SPLITS, Tables
@@ -105,6 +105,42 @@ def _(t):
     return quality.hours_per_visit(_weekly(t))
 
 
+_VENUE_WEEKS = """(SELECT r, v, weeks FROM (SELECT poi_name AS v, week_start, SUM(h) / SUM(d) AS r FROM
+      (SELECT l_linestatus AS poi_name, date_trunc('week', l_shipdate) AS week_start, l_quantity AS h, l_suppkey % 12 AS d FROM lineitem WHERE l_linenumber % 3 <> 0)
+      GROUP BY ALL HAVING SUM(d) > 0))"""
+
+
+def _venue_row(name: str, venue: str, lo: float, hi: float) -> str:
+    return _row(name, "gate", f"coalesce(median(r) BETWEEN {lo} AND {hi}, false)", "coalesce(printf('median %.2f, weeks %.2f to %.2f', median(r), min(r), max(r)), 'no weeks with visits')",
+                f"SELECT * FROM {_VENUE_WEEKS.replace(', weeks', '')} WHERE v = '{venue}'")
+
+
+@query("venue_hours", "Q13 AG8 AG11", ROW, " UNION ALL ".join([
+    _venue_row("inside", "F", 2.5, 6.0), _venue_row("below", "F", 0.1, 2.0), _venue_row("absent", "nowhere", 2.5, 6.0)]))
+def _(t):
+    rows = t.table("lineitem").select(F.col("l_linestatus").alias("poi_name"), F.date_trunc("week", "l_shipdate").alias("week_start"), (F.col("l_linenumber") % 3 != 0).alias("has_hourly"),
+                                      F.col("l_quantity").alias("hourly_sum"), (F.col("l_suppkey") % 12).alias("daily_sum"))
+    return reshape.union_all([quality.venue_hours_per_visit(rows, "F", name="inside"), quality.venue_hours_per_visit(rows, "F", 0.1, 2.0, "below"),
+                              quality.venue_hours_per_visit(rows, "nowhere", name="absent")])
+
+
+def _near_row(name: str, lo: float, hi: float, days: str) -> str:
+    return f"""SELECT '{name}' AS name, CASE WHEN pct IS NULL THEN 'skipped' ELSE 'gate' END AS kind, coalesce(pct BETWEEN {lo} AND {hi}, false) AS ok,
+      coalesce(printf('lift %.2f percent', pct), 'no contrast of dates') AS detail FROM (SELECT 100 * (AVG(n) FILTER (g) / AVG(n) FILTER (NOT g) - 1) AS pct FROM
+        (SELECT day(ts) % 5 = 0 AS g, CAST(ts AS DATE) AS date, COUNT(*) AS n FROM (SELECT ts, {HAV} AS d FROM events JOIN poi ON user_id = poi_id WHERE value >= 5)
+         WHERE d <= 6000 AND day(ts) {days} GROUP BY ALL))"""
+
+
+@query("trip_lift_near", "Q15 AG2", ROW, " UNION ALL ".join([
+    _near_row("in_bounds", -90, 90, "BETWEEN 1 AND 31"), _near_row("out_of_bounds", 300, 400, "BETWEEN 1 AND 31"), _near_row("one_sided", 4, 16, "BETWEEN 6 AND 9")]))
+def _(t):
+    trips = _trips(t)
+    days = trips.select(F.to_date("started_at").alias("date")).distinct().withColumn("game_day", F.dayofmonth("date") % 5 == 0)
+    lift = lambda name, first, last, bounds: quality.trip_lift_near(trips, days, first, last, radius_m=6000, bounds=bounds, name=name)
+    return reshape.union_all([lift("in_bounds", "2024-01-01", "2024-01-31", (-90, 90)), lift("out_of_bounds", "2024-01-01", "2024-01-31", (300, 400)),
+                              lift("one_sided", "2024-01-06", "2024-01-09", (4, 16))])
+
+
 @query("dwell_crosscheck", "Q14 ARR8 AG9", ROW, _row("dwell", "crosscheck", "r >= 0.85 AND q BETWEEN 0.7 AND 1.4", "printf('r %.4f, ratio %.4f', r, q)", """
     SELECT corr(2.5 * floor(value) + k, value) AS r, SUM(value) / SUM(2.5 * floor(value) + k) AS q
     FROM (SELECT value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events) WHERE 2.5 * floor(value) + k > 0"""))
