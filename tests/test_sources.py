@@ -5,6 +5,7 @@ import json
 import zipfile
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from crowdpanel.operators import profiling
@@ -100,3 +101,30 @@ def test_profiles_survive_a_broken_table(spark, tmp_path):
     by = {r.column: r for r in found.collect()}
     assert by["station"].n_null == 1 and by["date"].first == "2024-01-01" and by["date"].last == "2024-01-03" and "gone" in errors
     assert profiling.to_markdown(found, "t").startswith("## t")
+
+
+def test_a_broken_landing_resumes_and_readers_keep_the_old_version(spark, tmp_path):
+    source, root, built = str(tmp_path / "source"), str(tmp_path / "gold"), []
+
+    def table(name, fails=False):
+        def build():
+            built.append(name)
+            if fails:
+                raise RuntimeError("broken off")
+            return spark.read.parquet(source)
+        return build
+
+    spark.range(3).write.parquet(source)
+    with pytest.raises(RuntimeError):
+        sinks.land_resumable(spark, root, {"a": table("a"), "b": table("b", True)}, [source])
+    assert sinks.landed(spark, root) == {}
+    first = sinks.land_resumable(spark, root, {"a": table("a"), "b": table("b")}, [source])
+    assert built == ["a", "b", "b"] and first["resumed"] == ["a"] and first["rows"] == {"a": 3, "b": 3} and first["inputs"][0]["path"].startswith("file:")
+    spark.range(5).write.mode("overwrite").parquet(source)
+    with pytest.raises(RuntimeError):
+        sinks.land_resumable(spark, root, {"a": table("a"), "b": table("b", True)}, [source])
+    assert {name: df.count() for name, df in sinks.landed(spark, root).items()} == {"a": 3, "b": 3}
+    second = sinks.land_resumable(spark, root, {"a": table("a"), "b": table("b")}, [source])
+    assert second["version"] != first["version"] and {name: df.count() for name, df in sinks.landed(spark, root).items()} == {"a": 5, "b": 5}
+    again = sinks.land_resumable(spark, root, {"a": table("a"), "b": table("b")}, [source])
+    assert again["resumed"] == ["a", "b"] and again["version"] == second["version"]
