@@ -213,8 +213,8 @@ def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEI
     unit = vectors.join(nodes_of_key, "key").join(lengths, "node_id").select("node_id", "key", "_df", (F.col("w") / F.col("_len")).alias("u"))
     common_first = Window.partitionBy("node_id").orderBy(F.desc("_df"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     left = unit.withColumn("_left", F.sqrt(F.sum(F.col("u") * F.col("u")).over(common_first)))
-    # rounding may only make a node offer more
-    unit = left.withColumn("_offered", F.col("_left") >= min_cos * (1 - 1e-9))
+    # rounding may only make a node offer more; keys of one block come first in the order and cost little, so all of them are offered
+    unit = left.withColumn("_offered", (F.col("_left") >= min_cos * (1 - 1e-9)) | (F.col("_df") <= block_rows))
     rest = F.max(F.when(~F.col("_offered"), F.col("_left"))).over(common_first)
     unit = durable_table(unit.select("node_id", "key", "u", "_offered", F.coalesce(rest, F.lit(0.0)).alias("rest")))  # read several times below
     offered, kept = unit.filter("_offered"), unit.filter("NOT _offered")
