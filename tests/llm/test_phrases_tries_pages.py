@@ -162,7 +162,7 @@ def test_nodes_equal_plain(spark, monkeypatch):
 
 
 def test_one_conversation_with_most_turns(spark):
-    rows = [(5, i, "user", f"t{i % 7}") for i in range(3000)] + [(c, i, "user", f"t{i % 7}") for c in (6, 9) for i in range(c)]
+    rows = [(5, i, "user", f"t{i % 7}") for i in range(600)] + [(c, i, "user", f"t{i % 7}") for c in (6, 9) for i in range(c)]
     assert as_nodes(nodes_of(spark, rows)) == plain_nodes(rows)
 
 
