@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
+import zipfile
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ..functions.text import sensor_number
@@ -44,6 +49,46 @@ def _(t):
     return feeds.read_od_trips(t.spark, path).groupBy("date", "hour", "origin", "destination").agg(F.count("*").alias("n"), F.sum("trip_count").alias("trips"))
 
 
+def _pack(folder: str):
+    """Part files of a month into one archive, streamed; the archive gets its name when it is complete."""
+    def run(parts: pd.DataFrame) -> pd.DataFrame:
+        fs, root = feeds.file_system(folder)
+        fs.create_dir(root, recursive=True)
+        name, paths = f"{root}/{parts.month[0]}-trips.zip", sorted(parts.path)
+        draft = f"{name}.{TaskContext.get().taskAttemptId()}"
+        with fs.open_output_stream(draft, compression=None) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for k, path in enumerate(paths):
+                with fs.open_input_stream(feeds.file_system(path)[1], compression=None) as part, archive.open(f"part-{k}.csv", "w", force_zip64=True) as member:
+                    shutil.copyfileobj(part, member, 1 << 20)
+        fs.move(draft, name)
+        return pd.DataFrame({"archive": [name]})
+    return run
+
+
+@query("zipped_trips", "SRC5", "date d, n l, n_fix l, lat f4, hours l", """
+    SELECT l_shipdate AS date, COUNT(*) AS n, COUNT(*) FILTER (l_linenumber <> 3) AS n_fix, SUM(CASE WHEN l_linenumber <> 3 THEN l_quantity END) AS lat,
+           SUM(l_linenumber) AS hours
+    FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 1999 GROUP BY 1""")
+def _(t):
+    """Trips of all months in archives of several members each; the months of five years are read."""
+    path = new_folder(t.spark)
+    began = F.col("l_shipdate").cast("timestamp")
+    rows = t.table("lineitem").select(
+        F.date_format("l_shipdate", "yyyyMM").alias("month"), F.concat(F.lit("r"), "l_orderkey").alias("ride_id"),
+        F.date_format(began, "yyyy-MM-dd HH:mm:ss").alias("started_at"),
+        F.date_format(began + F.make_dt_interval(F.lit(0), F.col("l_linenumber").cast("int")), "yyyy-MM-dd HH:mm:ss").alias("ended_at"),
+        F.when(F.col("l_linenumber") == 3, "no fix").otherwise(F.col("l_quantity").cast("string")).alias("start_lat"), F.lit("-122.4").alias("start_lng"))
+    rows.repartition("month", F.crc32("ride_id") % 4).write.partitionBy("month").option("header", True).csv(f"{path}/parts")
+    parts = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(f"{path}/parts").select(
+        "path", F.regexp_extract("path", "month=([0-9]+)", 1).alias("month"))
+    archives = parts.filter("month <> ''").groupBy("month").applyInPandas(_pack(f"{path}/zip"), "archive string")
+    archives.write.parquet(f"{path}/manifest")
+    trips = feeds.read_zipped_trips(t.spark, f"{path}/zip", "199501", "199912")
+    hours = (F.unix_timestamp(F.col("ended_at").cast("timestamp")) - F.unix_timestamp(F.col("started_at").cast("timestamp"))) / 3600
+    return trips.groupBy(F.to_date("started_at").alias("date")).agg(F.count("*").alias("n"), F.count("start_lat").alias("n_fix"), F.sum("start_lat").alias("lat"),
+                                                                  F.sum(hours.cast("long")).alias("hours"))
+
+
 @query("optional_inputs", "SRC13 SRC14 SRC15", "c_nationkey l, n l, with_phone l, from_absent l", """
     SELECT c_nationkey, COUNT(*) AS n, 0 AS with_phone, 0 AS from_absent FROM customer GROUP BY 1""")
 def _(t):

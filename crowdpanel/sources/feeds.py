@@ -7,9 +7,13 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable_table
+
 # Column layouts, category code and the day/night boundary.
 OD_SCHEMA = "date date, hour tinyint, origin string, destination string, trip_count int"
 TRIP_COLUMNS = ("started_at", "ended_at", "start_lat", "start_lng", "end_lat", "end_lng")
@@ -28,28 +32,58 @@ def read_od_trips(spark: SparkSession, paths: str | Sequence[str], partitions: i
     return df.repartition(partitions) if partitions else df.repartition("date", "hour")
 
 
-def _unzip_trips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path on it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def _archive(path: str) -> zipfile.ZipFile:
+    """A zip archive read by seeking, a megabyte at a time."""
+    fs, name = file_system(path)
+    return zipfile.ZipFile(io.BufferedReader(fs.open_input_file(name), 1 << 20))
+
+
+def _csv_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for content in batch["content"]:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for member in archive.namelist():
-                    if not member.endswith(".csv") or member.startswith("__MACOSX"):
+        for path in batch.column(0).to_pylist():
+            with _archive(path) as archive:
+                names = [m for m in archive.namelist() if m.endswith(".csv") and not m.startswith("__MACOSX")]
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(names), pa.string()), pa.array(names, pa.string())], ["path", "member"])
+
+
+def _member_rows(columns: Sequence[str], chunk_rows: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, member in zip(batch["path"], batch["member"]):
+                with _archive(path) as archive, archive.open(member) as handle:
+                    try:
+                        chunks = pd.read_csv(handle, dtype=str, on_bad_lines="skip", chunksize=chunk_rows)
+                    except pd.errors.EmptyDataError:
                         continue
-                    with archive.open(member) as handle:
-                        chunks = pd.read_csv(handle, dtype=str, on_bad_lines="skip", chunksize=100_000)
-                        for chunk in chunks:
-                            yield chunk.reindex(columns=TRIP_COLUMNS)
+                    for chunk in chunks:
+                        yield chunk.reindex(columns=columns).astype(object)  # plain strings: arrow-backed ones may come in pieces
+    return run
 
 
-def read_zipped_trips(spark: SparkSession, folder: str, first_month: str, last_month: str) -> DataFrame:
-    """Monthly zip archives of CSV; months are picked by file-name prefix (YYYYMM).
+def read_zipped_csv(archives: DataFrame, columns: Sequence[str], chunk_rows: int = 50_000) -> DataFrame:
+    """The listed columns, as text, of all CSV members of the archives named in ``path``.
 
-    One archive is one task's row; it is parsed in chunks inside the task.
+    A first job reads the table of contents at the end of each archive; then every member is a task of its own that
+    seeks to it and unpacks it in chunks, so neither an archive nor a member is held in memory. Members without a listed
+    column give NULLs, empty ones no rows; malformed lines are left out, and a broken archive stops the query.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
+    members = durable_table(archives.select("path").mapInArrow(_csv_members, "path string, member string"))
+    spread = members.repartition(max(1, members.count()))
+    return spread.mapInPandas(_member_rows(list(columns), chunk_rows), ", ".join(f"{c} string" for c in columns))
+
+
+def read_zipped_trips(spark: SparkSession, folder: str, first_month: str, last_month: str) -> DataFrame:
+    """Monthly zip archives of CSV; months are picked by file-name prefix (YYYYMM)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select("path")
     month = F.substring(F.element_at(F.split("path", "/"), -1), 1, 6)
-    schema = ", ".join(f"{c} string" for c in TRIP_COLUMNS)
-    text = files.filter(month.between(first_month, last_month)).select("content").mapInPandas(_unzip_trips, schema)
+    text = read_zipped_csv(files.filter(month.between(first_month, last_month)), TRIP_COLUMNS)
     casts: list[Column] = [F.col(c).try_cast("timestamp_ntz" if c.endswith("_at") else "double").alias(c) for c in TRIP_COLUMNS]
     return text.select(*casts)
 
