@@ -50,18 +50,25 @@ def split_profile(panel: DataFrame, value: str = "person_hours") -> DataFrame:
         ratio_of_sums(F.col("n_poi_reporting"), F.col("n_poi")).alias("coverage"), share_if(F.col("game_day")).alias("event_share"))
 
 
+def _corr(x: str, y: str) -> Column:
+    """Correlation of two columns without NULLs; NULL where one of them is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, target: str, columns: Sequence[str], group: str = "hour", n: int | None = None,
-                 key: Sequence[str] = ("unit_id", "date", "hour"), seed: int = 0) -> DataFrame:
-    """(column, n, r, r_net): correlation with the target, raw and net of group means.
+                 key: Sequence[str] = ("unit_id", "date", "hour"), seed: int = 0, log: bool = True) -> DataFrame:
+    """(column, n, r, r_net): correlation with the target, raw and net of group means; the target is log1p unless ``log`` is off.
 
-    Pairs with a NULL drop out. ``n`` takes a seeded sample of rows first.
+    Pairs with a NULL drop out. Net of itself the group column has no correlation (NULL). ``n`` takes a seeded sample of rows first.
     """
     rows = sample_rows(df, n, key, seed) if n else df
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns]))
-    long = rows.select(group, F.col(target).cast("double").alias("y"), cells.alias("c")).select(group, "y", "c.*").filter(
+    y = F.col(target).cast("double")
+    long = rows.select(group, (F.log1p(y) if log else y).alias("y"), cells.alias("c")).select(group, "y", "c.*").filter(
         "x is not null and y is not null")
     net = demean(long, ["column", group], ["x", "y"])
-    return net.groupBy("column").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.corr("x_net", "y_net").alias("r_net"))
+    return net.groupBy("column").agg(F.count("*").alias("n"), _corr("x", "y").alias("r"),
+                                     F.when(F.col("column") != group, _corr("x_net", "y_net")).alias("r_net"))
 
 
 def date_column(df: DataFrame) -> str | None:

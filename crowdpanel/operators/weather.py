@@ -22,14 +22,16 @@ def weather_day(obs: DataFrame, primary: str, fallback: str, columns: Sequence[s
     return obs.groupBy("date").agg(*[F.coalesce(mean_at(primary, c), mean_at(fallback, c)).alias(c) for c in columns])
 
 
-def weather_hour(obs: DataFrame, zone: str, utc_offset: int = -8, report: str = HOURLY_REPORT) -> DataFrame:
-    """Routine reports of all-text sensor rows to wall-clock hours in US units."""
+def weather_hour(obs: DataFrame, zone: str, utc_offset: int = -8, report: str = HOURLY_REPORT, window: tuple[str, str] | None = None) -> DataFrame:
+    """Routine reports of all-text sensor rows to wall-clock hours in US units; ``window`` keeps the local dates from first to last."""
     rows = obs.filter(F.trim("report_type") == report)
     local = dates.standard_to_wall_clock(F.col("ts_text").try_cast("timestamp_ntz"), utc_offset, zone)
     parsed = rows.select(
         local.alias("local_ts"), text.sensor_number(F.col("temp_text"), text.SIGNED_NUMBER, trace=None).alias("temp"),
         text.sensor_number(F.col("prcp_text")).alias("prcp"),
         text.sensor_number(F.col("wind_text"), trace=None).alias("wind"))
+    if window:
+        parsed = parsed.filter(F.to_date("local_ts").between(*[F.lit(day).cast("date") for day in window]))
     return parsed.groupBy(F.to_date("local_ts").alias("date"), F.hour("local_ts").alias("hour")).agg(
         text.celsius_to_f(F.avg("temp")).alias("temp_hr"), text.mm_to_inches(F.max("prcp")).alias("prcp_hr"),
         text.mps_to_mph(F.avg("wind")).alias("wind_hr"))

@@ -288,7 +288,20 @@ def _(t):
     SELECT "column", COUNT(*) AS n, corr(v, y) AS r, corr(vn, yn) AS r_net FROM n GROUP BY 1""")
 def _(t):
     rows = t.ring_hour.join(t.hour_weather, ["date", "hour"], "left")
-    return profiling.correlations(rows, "visitor_hours", ["temp_hr", "prcp_hr"])
+    return profiling.correlations(rows, "visitor_hours", ["temp_hr", "prcp_hr"], log=False)
+
+
+@query("log_correlations", "F4 W10", "column s, n l, r f6, r_net f6", """
+    WITH x AS (SELECT h.hour, ln(1 + CAST(h.visitor_hours AS DOUBLE)) AS y, w.temp_hr, w.wind_hr, h.ring_id FROM ring_hour h LEFT JOIN hour_weather w USING (date, hour)),
+      wide AS (SELECT hour AS g, y, CAST(temp_hr AS DOUBLE) AS temp_hr, CAST(wind_hr AS DOUBLE) AS wind_hr, CAST(hour AS DOUBLE) AS hour, CAST(ring_id AS DOUBLE) AS ring_id FROM x),
+      l AS (UNPIVOT wide ON temp_hr, wind_hr, hour, ring_id INTO NAME "column" VALUE v),
+      m AS (SELECT "column", g, AVG(y) AS my, AVG(v) AS mv FROM l WHERE y IS NOT NULL GROUP BY ALL)
+    SELECT "column", COUNT(*) AS n, corr(v, y) AS r, CASE WHEN "column" <> 'hour' THEN corr(v - mv, y - my) END AS r_net
+    FROM l JOIN m USING ("column", g) WHERE y IS NOT NULL GROUP BY 1""")
+def _(t):
+    """The hour is a covariate of its own and the group of all others."""
+    rows = t.ring_hour.join(t.hour_weather, ["date", "hour"], "left")
+    return profiling.correlations(rows, "visitor_hours", ["temp_hr", "wind_hr", "hour", "ring_id"])
 
 
 @query("table_profiles", "F5 PRJ30 AG14", "table s, column s, n_rows l, n_null l, is_date b", " UNION ALL ".join(
