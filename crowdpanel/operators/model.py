@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import share_if
+from .aggregates import exact_quantiles
 
 # Feature order of the counterfactual. No event feature, and not the
 # hour-grain reporting count, which would leak the target.
@@ -19,6 +21,7 @@ FEATURES = (
     "n_poi", "food_share", "dist_m", "bearing_deg", "temp_hr", "prcp_hr", "wind_hr", "holiday",
 )
 UNKNOWN = -1.0
+NOMINAL = ("unit_code",)
 
 
 def prepare(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -31,20 +34,41 @@ def prepare(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit_counterfactual(rows: DataFrame, features: Sequence[str] = FEATURES, label: str = "y", seed: int = 0,
-                       trees: int = 100, depth: int = 5, bins: int = 512) -> PipelineModel:
-    """Boosted trees on control rows only, log target. Distributed over the rows."""
+                       trees: int = 100, depth: int = 5, bins: int = 512, nominal: Sequence[str] = NOMINAL) -> PipelineModel:
+    """Boosted trees on control rows only, log target. Distributed over the rows.
+
+    ``nominal`` features are split by sets of values, not by order. Values that no control row has share one further
+    category, so rows of unseen units are predicted too. ``bins`` grows to the number of categories where that is larger.
+    """
     columns = [p + f for f in features for p in ("x_", "m_")]
     train = prepare(rows.filter("is_control"), features).select(*columns, label)
-    stages = [VectorAssembler(inputCols=columns, outputCol="features"),
-              GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, maxBins=bins, stepSize=0.1, seed=seed,
-                           predictionCol="cf_log")]
+    stages = []
+    codes = [f for f in features if f in nominal]
+    if codes:
+        indexer = StringIndexer(inputCols=[f"x_{f}" for f in codes], outputCols=[f"u_{f}" for f in codes], handleInvalid="keep",
+                                stringOrderType="alphabetAsc").fit(train)
+        bins = max(bins, *[len(values) + 1 for values in indexer.labelsArray])
+        columns = [("u_" if p == "x_" and f in codes else p) + f for f in features for p in ("x_", "m_")]
+        stages.append(indexer)
+    stages += [VectorAssembler(inputCols=columns, outputCol="features"),
+               GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, maxBins=bins, stepSize=0.1, seed=seed,
+                            predictionCol="cf_log")]
     return Pipeline(stages=stages).fit(train)
 
 
-def predict_cf(model: PipelineModel, rows: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Rows with the counterfactual ``cf_log``."""
-    made = [p + f for f in features for p in ("x_", "m_")] + ["features"]
-    return model.transform(prepare(rows, features)).drop(*made)
+def predict_cf(model: PipelineModel, rows: DataFrame, features: Sequence[str] = FEATURES, leaves: str | None = None) -> DataFrame:
+    """Rows with the counterfactual ``cf_log`` and, where a name is given, the leaf the row reaches in each tree."""
+    made = [p + f for f in features for p in ("x_", "m_", "u_")] + ["features"]
+    ready = prepare(rows, features)
+    if leaves is None:
+        return model.transform(ready).drop(*made)
+    out = model.transform(ready, {model.stages[-1].leafCol: leaves})
+    return out.withColumn(leaves, vector_to_array(leaves).cast("array<int>")).drop(*made)
+
+
+def tree_weights(model: PipelineModel) -> list[float]:
+    """How much each tree of the fitted ensemble counts."""
+    return [abs(float(w)) for w in model.stages[-1].treeWeights]
 
 
 def how_baselines(train: DataFrame, test: DataFrame, y: str = "y", unit: str = "unit_id") -> DataFrame:
@@ -86,6 +110,32 @@ def residual_interval(valid: DataFrame, test: DataFrame, keys: Sequence[str], y:
         "hi", F.col(p) + F.col("_hi")).drop("_lo", "_hi")
 
 
+def leaf_interval(valid: DataFrame, test: DataFrame, leaves: str, weights: Sequence[float], y: str = "y", p: str = "cf_log",
+                  level: float = 0.90) -> DataFrame:
+    """Test rows with lo and hi: prediction plus residual quantiles of the leaves a row reaches, weighted over trees.
+
+    ``leaves`` holds the row's leaf number (from 0) in each tree. Quantiles are exact and come from the validation rows of the
+    same leaf; a leaf without any takes those of all validation rows, and without validation rows lo and hi are NULL.
+    The table of leaves is one row of at most trees x leaves entries, whatever the size of the data, so test rows are not shuffled.
+    """
+    tail = (1 - level) / 2
+    ends = {"lo": tail, "hi": 1 - tail}
+    errors = valid.select((F.col(y) - F.col(p)).alias("_r"), F.col(leaves).alias("_leaves"))
+    per_leaf = exact_quantiles(errors.select("_r", F.posexplode("_leaves").alias("_tree", "_leaf")), "_r", ends, ["_tree", "_leaf"])
+    known = F.map_from_entries(F.collect_list(F.struct("_leaf", F.struct("lo", "hi"))))
+    trees = per_leaf.groupBy("_tree").agg(known.alias("_known"), F.max("_leaf").alias("_top")).select(
+        "_tree", F.transform(F.sequence(F.lit(0), "_top"), lambda i: F.try_element_at("_known", i)).alias("_ends"))
+    table = trees.agg(F.sort_array(F.collect_list(F.struct("_tree", "_ends"))).alias("_trees"))
+    overall = exact_quantiles(errors, "_r", ends).select(F.struct("lo", "hi").alias("_overall"))
+    wide = test.join(F.broadcast(table)).join(F.broadcast(overall))
+    each = F.zip_with(leaves, "_trees", lambda leaf, tree: F.coalesce(F.get(tree["_ends"], leaf), F.col("_overall")))
+    counted = wide.withColumn("_each", F.zip_with(each, F.array(*[F.lit(float(w)) for w in weights]), lambda e, w: F.struct(
+        (e["lo"] * w).alias("lo"), (e["hi"] * w).alias("hi"))))
+    made = {end: F.col(p) + F.aggregate(F.col("_each")[end], F.lit(0.0), lambda acc, x: acc + x) / F.lit(float(sum(weights)))
+            for end in ends}
+    return counted.withColumns(made).drop("_trees", "_overall", "_each")
+
+
 def interval_coverage(df: DataFrame, y: str = "y") -> DataFrame:
     """One row: share of rows inside their interval."""
     return df.agg(F.count("*").alias("n"), share_if(F.col(y).between(F.col("lo"), F.col("hi"))).alias("coverage"))
