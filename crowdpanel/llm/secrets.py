@@ -65,30 +65,32 @@ def letter_costs(docs: DataFrame, text: str = "text") -> np.ndarray:
     return -np.log(two / two.sum(axis=1, keepdims=True))
 
 
-def covered(token: str, words: np.ndarray) -> float:
-    """Share of the letters of a token that dictionary words of three letters or more cover."""
-    hit = total = 0
-    for run in re.findall("[a-z]+", token.lower()):
-        total += len(run)
-        raw = np.frombuffer(run.encode(), np.uint8)
-        spans = [(i, j) for i in range(len(run)) for j in range(i + 3, min(len(run), i + 20) + 1)]
-        if not spans:
-            continue
-        a, b = np.array(spans).T
-        known = words[(stretch_hash(prefix_sums(raw), a, b) & U64(SLOTS - 1)).astype(np.int64)]
-        mask = np.zeros(len(run), bool)
-        for i, j in zip(a[known], b[known]):
-            mask[i:j] = True
-        hit += int(mask.sum())
-    return hit / total if total else 0.0
+def covered(low: np.ndarray, letter: np.ndarray, words: np.ndarray) -> float:
+    """Share of the letters of a lower-case token that dictionary words of 3 to 20 letters cover; starts are looked up in blocks."""
+    n = len(low)
+    end = np.minimum.accumulate(np.where(letter, n, np.arange(n))[::-1])[::-1]
+    sums, edge = prefix_sums(low), np.zeros(n + 1, np.int32)
+    for first in range(0, n, 4096):
+        start = np.arange(first, min(n, first + 4096))[:, None]
+        stop = start + np.arange(3, 21)
+        row, col = np.nonzero(stop <= end[start])
+        a, b = start[row, 0], stop[row, col]
+        known = words[(stretch_hash(sums, a, b) & U64(SLOTS - 1)).astype(np.int64)]
+        np.add.at(edge, a[known], 1)
+        np.add.at(edge, b[known], -1)
+    total = int(letter.sum())
+    return int((np.cumsum(edge[:-1]) > 0).sum()) / total if total else 0.0
 
 
 def features(token: str, before: str, after: str, lead: str, cost: np.ndarray, words: np.ndarray) -> list[float]:
-    code = [ord(c) - 96 if "a" <= c <= "z" else -1 for c in token.lower()]
-    steps = [cost[a][b] for a, b in zip(code, code[1:]) if a > 0 and b > 0]
-    kinds = [0 if c.isdigit() else 1 if c.isalpha() else 2 for c in token]
-    plain = [len(token), float(np.mean(steps)) if steps else 0.0, sum(a != b for a, b in zip(kinds, kinds[1:])) / len(token),
-             sum(a.isupper() != b.isupper() for a, b in zip(token, token[1:])) / len(token), len(set(token)) / len(token), covered(token, words),
+    raw = np.frombuffer(token.encode(), np.uint8)
+    low = LOWER[raw]
+    letter, digit, upper = (low >= 97) & (low <= 122), (raw >= 48) & (raw <= 57), (raw >= 65) & (raw <= 90)
+    both = letter[:-1] & letter[1:]
+    steps = cost[low[:-1][both] - 96, low[1:][both] - 96]
+    kinds = np.where(digit, 0, np.where(letter, 1, 2))
+    plain = [len(token), float(steps.mean()) if len(steps) else 0.0, int((kinds[1:] != kinds[:-1]).sum()) / len(token),
+             int((upper[1:] != upper[:-1]).sum()) / len(token), len(np.unique(raw)) / len(token), covered(low, letter, words),
              token.count("/"), token.count("."), float("://" in token), token.count("@"), float(lead[-1:] in ("'", '"', "=", ":"))]
     beside = np.zeros(2 * BESIDE)
     for k, word in enumerate((before, after)):

@@ -223,6 +223,28 @@ def test_secret_findings_are_whole(spark):
     assert secrets.judged(found.limit(0), found.withColumn("label", F.lit(1)).limit(0)).count() == 0
 
 
+def test_coverage_of_tokens_matches_a_plain_version():
+    words = np.zeros(secrets.SLOTS, bool)
+    known = ["key", "house", "use", "stone", "ones", "extraordinary"]
+    for w in known:
+        raw = np.frombuffer(w.encode(), np.uint8)
+        words[int(common.stretch_hash(common.prefix_sums(raw), np.array([0]), np.array([len(raw)]))[0] & np.uint64(secrets.SLOTS - 1))] = True
+    cost = np.arange(28 * 28, dtype=float).reshape(28, 28)
+    for token in ("Houses1key", "xx", "12345678", "aHouseStonesq9/extraordinaryz", "STONE" * 3000 + "7"):
+        low, hit = token.lower(), set()
+        for w in known:
+            at = low.find(w)
+            while at >= 0:
+                hit |= set(range(at, at + len(w)))
+                at = low.find(w, at + 1)
+        n = sum(c.isalpha() for c in low)
+        steps = [cost[ord(a) - 96][ord(b) - 96] for a, b in zip(low, low[1:]) if a.isalpha() and b.isalpha()]
+        got = secrets.features(token, "", "", "", cost, words)
+        assert got[5] == (len(hit) / n if n else 0.0) and got[1] == pytest.approx(np.mean(steps) if steps else 0.0)
+        assert got[4] == len(set(token)) / len(token)
+    assert len(secrets.features("ab7" * 2_000_000, "", "", "", cost, words)) == secrets.PLAIN + 2 * secrets.BESIDE
+
+
 def test_near_duplicates_equal_plain(spark, docs):
     want = brute.near(pairs(docs))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op8_minhash(spark, SF).collect()}
