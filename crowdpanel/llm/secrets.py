@@ -1,6 +1,8 @@
 """Secret scans with a random forest that removes false positives.
 
-A candidate is a run of at least ``LEAST`` characters of the token alphabet with a digit and a letter. Each gets
+A candidate is a run of the token alphabet that is mixed (a digit and a letter, ``mixed`` = 8 characters and more), all letters
+(20 and more; a sign in it makes it text), or whose part behind a key word with ``:`` or ``=`` has ``keyed`` = 6 characters
+and more, whatever they are. These lengths define a candidate; the forest decides on each. A candidate gets
 features: length, character transitions (mean letter bigram cost under the table's own letters, changes between letter
 and digit, changes of case, distinct characters), dictionary coverage (share of its letters in common words), path
 signs (slashes, dots, scheme, at sign) and the hashed words beside it. A random forest learns from labelled findings,
@@ -10,7 +12,9 @@ The dictionary is a bitmap over hashed words that hold at least one in ``rare``
 while its counts come from all texts. Candidates are found in a map over rows; only labelled findings move.
 
 Null and empty texts have no candidates. Repeated rows give their findings again. Without findings of both labels
-every score is the share of label 1 (one half if there is none). A null id is carried along.
+every score is the share of label 1 (one half if there is none). A null id is carried along. An empty table has no
+findings. A token of any length is read whole; the words beside it are looked for within 80 bytes on each side.
+Ties for a place in the sample are cut by a hash of candidate, id and offset.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, list_array, prefix_sums, slices, stretch_hash, word_bounds
 from .toxicity import LETTER, trigram_counts
 
-LEAST = 16
+KEYS = ("token", "key", "secret", "password", "passwd", "pwd", "apikey", "bearer", "auth")
+_ASSIGNED = re.compile(rb"(?i)(?:" + "|".join(KEYS).encode() + rb")[\s\"'`]{0,3}[:=][\s\"'`=]{0,3}")
 TOKEN = np.zeros(256, bool)
 TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *map(ord, "+/_=-.@:")]] = True
 SLOTS, BESIDE = 1 << 20, 32
@@ -103,7 +108,21 @@ def features(token: str, before: str, after: str, lead: str, cost: np.ndarray, w
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def findings(docs: DataFrame, cost: np.ndarray, words: np.ndarray, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def assigned(raw: bytes, offs: np.ndarray, start: np.ndarray, end: np.ndarray, keyed: int) -> np.ndarray:
+    """Which runs hold ``keyed`` bytes or more behind a key word and its sign, of the same row."""
+    found = [m.span() for m in _ASSIGNED.finditer(raw)]
+    if not found or not len(start):
+        return np.zeros(len(start), bool)
+    a, b = np.array(found).T
+    row = np.searchsorted(offs, a, side="right")
+    whole = (row == np.searchsorted(offs, b, side="right")) & ((a == offs[row - 1]) | ~LETTER[LOWER[np.frombuffer(raw, np.uint8)[a - 1]]])
+    b = np.r_[b[whole], len(raw) + 1]
+    after = b[np.searchsorted(b, start)]
+    return end - after >= keyed
+
+
+def findings(docs: DataFrame, cost: np.ndarray, words: np.ndarray, id_col: str = "doc_id", text: str = "text", mixed: int = 8, letters: int = 20,
+             keyed: int = 6) -> DataFrame:
     """(doc_id, start, end, candidate, before, after, features): every candidate, with byte offsets and the words beside it."""
     id_type = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", *[f.split()[0] for f in FINDING.split(", ")]]
@@ -113,10 +132,12 @@ def findings(docs: DataFrame, cost: np.ndarray, words: np.ndarray, id_col: str =
             start, end = word_bounds(body, offs, TOKEN)
             digit = np.r_[0, np.cumsum((body >= 0x30) & (body < 0x3A))]
             alpha = np.r_[0, np.cumsum(LETTER[LOWER[body]])]
-            odd = (end - start >= LEAST) & (digit[end] > digit[start]) & (alpha[end] > alpha[start])
+            raw = body.tobytes()
+            odd = (end - start >= mixed) & (digit[end] > digit[start]) & (alpha[end] > alpha[start])
+            odd |= (end - start >= letters) & (alpha[end] - alpha[start] == end - start)
+            odd |= assigned(raw, offs, start, end, keyed)
             start, end = start[odd], end[odd]
             row = np.searchsorted(offs, start, side="right") - 1
-            raw = body.tobytes()
             made = []
             for a, b, k in zip(start.tolist(), end.tolist(), row.tolist()):
                 token = raw[a:b].decode("ascii")
@@ -135,7 +156,7 @@ def findings(docs: DataFrame, cost: np.ndarray, words: np.ndarray, id_col: str =
 
 def weak_label() -> Column:
     """Labels for findings whose kind is plain to see: a key word in front (1); an address or a dotted path (0); else null."""
-    keyed = F.lower("before").isin("token", "key", "secret", "password", "passwd", "pwd", "apikey", "bearer", "auth")
+    keyed = F.lower("before").isin(*KEYS) & F.col("candidate").rlike("[0-9]")
     address = F.col("candidate").contains("@") | F.col("candidate").contains("://") | F.col("candidate").rlike(r"[.:/][A-Za-z]{2,}")
     bare = F.col("candidate").rlike("^[A-Za-z]+[-_.=:]*[0-9]{1,3}$")
     return F.when(address | bare, 0).when(keyed, 1)

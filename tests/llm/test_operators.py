@@ -223,6 +223,15 @@ def test_secret_findings_are_whole(spark):
     assert secrets.judged(found.limit(0), found.withColumn("label", F.lit(1)).limit(0)).count() == 0
 
 
+def test_short_and_letter_only_secrets_are_candidates(spark):
+    texts = ["password = hunter2x9Q", "pwd: swordfish and more", "x passwd=letmein", "abcd1234", "ab12", "qwertyuiopasdfghjklzxcvb", "monkey: bananas", "the key", "= bananas", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    zero = np.zeros((28, 28)), np.zeros(secrets.SLOTS, bool)
+    got = {(r.doc_id, r.candidate) for r in secrets.findings(docs.coalesce(1), *zero).collect()}
+    assert got == {(0, "hunter2x9Q"), (1, "swordfish"), (2, "passwd=letmein"), (3, "abcd1234"), (5, "qwertyuiopasdfghjklzxcvb")}
+    assert secrets.findings(docs.limit(0), *zero).count() == 0
+
+
 def test_coverage_of_tokens_matches_a_plain_version():
     words = np.zeros(secrets.SLOTS, bool)
     known = ["key", "house", "use", "stone", "ones", "extraordinary"]
