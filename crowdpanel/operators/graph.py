@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ DISTANCE_STEPS = ((250, 0.114), (500, 0.057), (750, 0.028), (1000, 0.013))
 DENSITY_SCALE = 40
 #: Half the levels of the quadtree (bits of a coordinate in each of two numbers), places of the curve handled together, and places in a read block.
 HALF, CURVE_BLOCK, READ_BLOCK = 25, 4096, 64
+#: Meetings of two nodes in one task of the cosine join, and rows and keys multiplied together in the dense one.
+TASK_PAIRS, STRIP = 1 << 21, 1024
 
 
 def _spread(df: DataFrame, reach) -> DataFrame:
@@ -193,6 +197,40 @@ def json_vectors(df: DataFrame, node: str, text: str) -> DataFrame:
     return flat.groupBy("node_id", "key").agg(F.sum("v").alias("w"))
 
 
+def _numbered(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(entries, ids, nodes): unit vectors (code, key, u), node ids and their number; codes count the nodes of positive length from 0 in the order of their ids."""
+    vectors = durable_table(vectors.select("node_id", "key", "w"))  # read twice
+    lengths = vectors.groupBy("node_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len")).filter("_len > 0 AND node_id IS NOT NULL")
+    ids = durable_table(ranked(lengths, [], ["node_id"], "code").withColumn("code", (F.col("code") - 1).cast("int")))
+    # sizes of compressed files say little, so a broadcast of all nodes is ruled out
+    entries = vectors.join(ids.hint("merge"), "node_id").select("code", "key", (F.col("w") / F.col("_len")).alias("u"))
+    return entries, ids, ids.count()
+
+
+def _named(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges of codes as edges of node ids."""
+    src, dst = (ids.select(F.col("code").alias(f"_{end}"), F.col("node_id").alias(end)).hint("merge") for end in ("src", "dst"))
+    coded = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), "cos")
+    return coded.join(src, "_src").join(dst, "_dst").select("src", "dst", "cos")
+
+
+def _holder_lists(offered: DataFrame, block_rows: int, parts: int) -> DataFrame:
+    """(ours, theirs): holders (code, u, rest) of a key that meet, each a list in the order of codes; every pair of holders of a key once.
+
+    Up to ``block_rows`` holders are one list, which meets itself from each holder on; more are cut into lists, each of which meets itself and all later ones.
+    """
+    holder = F.array_sort(F.collect_list(F.struct("code", "u", "rest"))).alias("ours")
+    few = offered.filter(F.col("_df") <= block_rows).repartition(parts, "key").groupBy("key").agg(holder).select("ours", F.lit(None).alias("theirs"))
+    many = offered.filter(F.col("_df") > block_rows).select("key", "_df", "code", "u", "rest")
+    if many.isEmpty():
+        return few
+    place = ranked(many, ["key"], ["code"], "_place")
+    lists = durable_table(place.groupBy("key", F.floor((F.col("_place") - 1) / block_rows).alias("_b")).agg(holder, F.max(F.ceil(F.col("_df") / block_rows)).alias("_n")))
+    later = lists.filter("_b + 1 < _n").select("key", "ours", F.explode(F.sequence(F.col("_b") + 1, F.col("_n") - 1)).alias("_b"))
+    met = later.hint("merge").join(lists.select("key", "_b", F.col("ours").alias("theirs")), ["key", "_b"]).select("ours", "theirs")
+    return few.unionByName(lists.select("ours", F.lit(None).alias("theirs"))).unionByName(met)
+
+
 def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEIGHBOURS, mode: str = "mutual", block_rows: int = 1000) -> DataFrame:
     """(src, dst, cos) of sparse vectors (node_id, key, w) with cosine >= min_cos > 0.
 
@@ -204,42 +242,138 @@ def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEI
     ``min_cos``. Two nodes at the floor share a key that both offer: say x stops offering
     first; if no key up to there is shared, the dot product lies within what x has left, and is at
     most its norm (Cauchy-Schwarz, any signs). So common keys are joined only where a node has little else.
-    Offered keys with many holders are split into blocks on both sides, each task
-    meeting two blocks. Products of keys that were not offered at both ends are then added for
-    the pairs that can still reach the floor.
+    A holder of an offered key is sent the packed list of the key's later holders, and products are added up where
+    it is sent: one pass of twelve bytes a meeting, in as many tasks as the meetings need.
+    Products of keys that were not offered at both ends are then added for
+    the pairs that can still reach the floor. Where nearly all pairs share keys, see ``dense_cosine_edges``.
     """
-    nodes_of_key = vectors.groupBy("key").agg(F.count("*").alias("_df"))
-    lengths = vectors.groupBy("node_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len")).filter("_len > 0")
-    unit = vectors.join(nodes_of_key, "key").join(lengths, "node_id").select("node_id", "key", "_df", (F.col("w") / F.col("_len")).alias("u"))
-    common_first = Window.partitionBy("node_id").orderBy(F.desc("_df"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    left = unit.withColumn("_left", F.sqrt(F.sum(F.col("u") * F.col("u")).over(common_first)))
-    # rounding may only make a node offer more; keys of one block come first in the order and cost little, so all of them are offered
-    unit = left.withColumn("_offered", (F.col("_left") >= min_cos * (1 - 1e-9)) | (F.col("_df") <= block_rows))
-    rest = F.max(F.when(~F.col("_offered"), F.col("_left"))).over(common_first)
-    unit = durable_table(unit.select("node_id", "key", "u", "_offered", F.coalesce(rest, F.lit(0.0)).alias("rest")))  # read several times below
+    entries, ids, _ = _numbered(vectors)
+    unit = durable_table(entries)
+    common = durable_table(unit.groupBy("key").agg(F.count("*").alias("_df")).filter(F.col("_df") > block_rows))
+    if common.isEmpty():  # keys of one list cost little, so all of them are offered
+        unit = unit.select("*", F.lit(1).cast("long").alias("_df"), F.lit(True).alias("_offered"), F.lit(0.0).alias("rest"))
+    else:
+        common_first = Window.partitionBy("code").orderBy(F.desc_nulls_last("_df"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        left = unit.join(common, "key", "left").withColumn("_left", F.sqrt(F.sum(F.col("u") * F.col("u")).over(common_first)))
+        # rounding may only make a node offer more
+        left = left.withColumn("_offered", (F.col("_left") >= min_cos * (1 - 1e-9)) | F.col("_df").isNull())
+        rest = F.max(F.when(~F.col("_offered"), F.col("_left"))).over(common_first)
+        unit = durable_table(left.select("code", "key", "u", F.coalesce("_df", F.lit(1).cast("long")).alias("_df"), "_offered", F.coalesce(rest, F.lit(0.0)).alias("rest")))
     offered, kept = unit.filter("_offered"), unit.filter("NOT _offered")
 
-    holders = offered.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("_n"))
-    blocked = offered.join(holders, "key").withColumn("_b", F.pmod(F.xxhash64("node_id"), F.col("_n")).cast("int"))
-    one = blocked.select("key", F.col("node_id").alias("x"), F.col("u").alias("xu"), F.col("rest").alias("xr"), F.col("_b").alias("p"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("q"))
-    two = blocked.select("key", F.col("node_id").alias("y"), F.col("u").alias("yu"), F.col("rest").alias("yr"), F.explode(F.sequence(F.lit(0), "_b")).alias("p"), F.col("_b").alias("q"))
-    met = one.join(two, ["key", "p", "q"]).filter((F.col("p") < F.col("q")) | (F.col("x") < F.col("y")))
-    found = met.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(
-        F.sum(F.col("xu") * F.col("yu")).alias("cos"), F.max(F.greatest("xr", "yr")).alias("rest"))
+    n = F.col("_n")
+    meetings = offered.groupBy("key").agg(F.count("*").alias("_n")).agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    parts = max(1, math.ceil(meetings / TASK_PAIRS))
+    lists = _holder_lists(offered, block_rows, parts)
+    sent = lists.select("ours", F.coalesce("theirs", "ours").alias("theirs"), F.col("theirs").isNull().alias("_same"))
+    packed = [F.col(f"theirs.{c}").alias(f"_{c}") for c in ("code", "u", "rest")]
+    sent = sent.select(F.posexplode("ours").alias("_at", "x"), "_same", *packed)
+    first = F.when(F.col("_same"), F.col("_at") + 2).otherwise(1)
+    sent = sent.select(F.col("x.code").alias("src"), F.col("x.u").alias("xu"), F.col("x.rest").alias("xr"),
+                       *[F.slice(f"_{c}", first, F.size("_code")).alias(f"_{c}") for c in ("code", "u", "rest")]).filter(F.size("_code") > 0)
+    met = sent.repartition(parts, "src").select("src", "xu", "xr", F.inline(F.arrays_zip("_code", "_u", "_rest")).alias("dst", "yu", "yr"))
+    found = met.groupBy("src", "dst").agg(F.sum(F.col("xu") * F.col("yu")).alias("cos"), F.max(F.greatest("xr", "yr")).alias("rest"))
     found = durable_table(found.filter(F.col("cos") + F.col("rest") >= min_cos - 1e-8))  # read three times below
 
     open_pairs = found.filter("rest > 0").select("src", "dst")
-    of = lambda df, end: df.select(F.col("node_id").alias(end), "key", F.col("u").alias(f"_{end}"))
+    of = lambda df, end: df.select(F.col("code").alias(end), "key", F.col("u").alias(f"_{end}"))
     product = (F.col("_src") * F.col("_dst")).alias("cos")
-    by_src = open_pairs.join(of(kept, "src"), "src").join(of(unit, "dst"), ["dst", "key"]).select("src", "dst", product)
-    by_dst = open_pairs.join(of(kept, "dst"), "dst").join(of(offered, "src"), ["src", "key"]).select("src", "dst", product)
-    scored = union_all([found.select("src", "dst", "cos"), by_src, by_dst]).groupBy("src", "dst").agg(F.sum("cos").alias("cos"))
+    scored = [found.select("src", "dst", "cos")]
+    if not kept.isEmpty():
+        scored.append(open_pairs.join(of(kept, "src"), "src").hint("merge").join(of(unit, "dst"), ["dst", "key"]).select("src", "dst", product))
+        scored.append(open_pairs.join(of(kept, "dst"), "dst").hint("merge").join(of(offered, "src"), ["src", "key"]).select("src", "dst", product))
+    scored = union_all(scored).groupBy("src", "dst").agg(F.sum("cos").alias("cos")) if len(scored) > 1 else scored[0]
     scored = scored.filter(F.round("cos", 9) >= min_cos)
     rank_by = F.round("cos", 9)
     if mode != "directed":
-        return mutual_top_k(scored, rank_by, k)
+        return _named(mutual_top_k(scored, rank_by, k), ids)
     both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    return top_k(scored.select(both.alias("e"), "cos").select("e.*", "cos"), ["src"], [rank_by.desc(), F.col("dst")], k, "_r").drop("_r")
+    return _named(top_k(scored.select(both.alias("e"), "cos").select("e.*", "cos"), ["src"], [rank_by.desc(), F.col("dst")], k, "_r").drop("_r"), ids)
+
+
+def _best(rows: np.ndarray, cols: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row by (9 decimals of the cosine, descending; column)."""
+    order = np.lexsort((cols, -np.round(cos, 9), rows))
+    first = np.searchsorted(rows[order], rows[order])
+    return order[np.arange(len(order)) - first < k]
+
+
+def _best_of_strip(cos: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, ...]:
+    """(rows, columns, cosines) of the k best of each row of a matrix from ``floor`` on."""
+    bar = np.full((len(cos), 1), floor)
+    if cos.shape[1] > k:
+        bar = np.maximum(bar, np.partition(cos, -k, axis=1)[:, -k, None] - 2e-9)  # all that 9 decimals cannot tell from the k-th
+    rows, cols = np.nonzero(cos >= bar)
+    value = cos[rows, cols]
+    at = _best(rows, cols, value, k)
+    return rows[at], cols[at], value[at]
+
+
+def _meet_blocks(key: tuple, table: pa.Table, min_cos: float, k: int, mutual: bool) -> pa.Table:
+    """The k best peers of each node of two blocks in the other (or in the only one, if it meets itself), in strips of rows."""
+    first, second = (v.as_py() for v in key)
+    table = table.sort_by("code")
+    codes, side = table["code"].to_numpy(), table["side"].to_numpy()
+    sizes = np.diff(table["keys"].combine_chunks().offsets.to_numpy())
+    keys, at = np.unique(table["keys"].combine_chunks().flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    us, node = table["us"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(codes)), sizes)
+    by_key = np.argsort(at, kind="stable")
+    node, at, us = node[by_key], at[by_key], us[by_key]
+    ours = np.flatnonzero(side == first)
+    theirs = ours if first == second else np.flatnonzero(side == second)
+    found = {"s": [], "d": []}
+    for low in range(0, len(ours), STRIP):
+        rows = ours[low:low + STRIP]
+        cos = np.zeros((len(rows), len(theirs)))
+        for start in range(0, len(keys), STRIP):
+            a, b = np.searchsorted(at, (start, start + STRIP))
+            dense = np.zeros((len(codes), min(STRIP, len(keys) - start)))
+            dense[node[a:b], at[a:b] - start] = us[a:b]
+            cos += dense[rows] @ dense[theirs].T
+        if first == second:
+            itself = np.arange(len(rows))
+            later = np.arange(len(theirs)) > (low + itself)[:, None]
+            cos[~later if mutual else ~later & (np.arange(len(theirs)) == (low + itself)[:, None])] = -2.0
+        x, y, value = _best_of_strip(cos, min_cos - 1e-9, k)
+        found["s"].append((codes[rows[x]], codes[theirs[y]], value))
+        if mutual or first != second:
+            y, x, value = _best_of_strip(np.ascontiguousarray(cos.T), min_cos - 1e-9, k)
+            found["d"].append((codes[theirs[y]], codes[rows[x]], value))
+    out = []
+    for end, strips in found.items():
+        if strips:
+            own, peer, value = (np.concatenate(c) for c in zip(*strips))
+            kept = _best(own, peer, value, k)
+            out.append(pa.table({"end": pa.array([end if mutual else "s"] * len(kept), pa.string()), "node": pa.array(own[kept], pa.int32()), "peer": pa.array(peer[kept], pa.int32()), "cos": pa.array(value[kept], pa.float64())}))
+    return pa.concat_tables(out)
+
+
+def dense_cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEIGHBOURS, mode: str = "mutual", block_nodes: int = 8192) -> DataFrame:
+    """The edges of ``cosine_edges`` where keys are so few and common that nearly all pairs of nodes share some.
+
+    Every two blocks of nodes meet in one task, as a product of matrices in strips of rows and of keys, and only
+    the k best of each node leave it. Time is quadratic in the nodes whatever is done, as nearly every pair is at the floor;
+    memory is that of two blocks, and what is sent is each node once and k peers once per block.
+    """
+    entries, ids, n = _numbered(vectors)
+    size = max(1, min(block_nodes, math.ceil(n / 8)))  # some tasks for small tables too
+    blocks = math.ceil(n / size)
+    keys = durable_table(ranked(entries.select("key").distinct(), [], ["key"], "_no"))
+    packed = durable_table(entries.join(keys, "key").groupBy("code").agg(F.collect_list(F.struct(F.col("_no").cast("int").alias("no"), "u")).alias("_e")).select(
+        "code", F.floor(F.col("code") / size).cast("int").alias("side"), F.col("_e.no").alias("keys"), F.col("_e.u").alias("us")))
+    meeting = F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0)))).alias("_o")
+    sides = packed.select("*", meeting).select(F.least("side", "_o").alias("p"), F.greatest("side", "_o").alias("q"), "code", "side", "keys", "us")
+    mutual = mode != "directed"
+
+    def meet(key, table):
+        return _meet_blocks(key, table, min_cos, k, mutual)
+
+    near = sides.repartition(max(1, blocks * (blocks + 1) // 2), "p", "q").groupBy("p", "q").applyInArrow(meet, "end string, node int, peer int, cos double")
+    near = near.filter(F.round("cos", 9) >= min_cos)
+    best = top_k(near, ["end", "node"], [F.round("cos", 9).desc(), F.col("peer")], k, "_r")
+    turned = F.col("end") == "d"
+    edges = best.select(F.when(turned, F.col("peer")).otherwise(F.col("node")).alias("src"), F.when(turned, F.col("node")).otherwise(F.col("peer")).alias("dst"), "cos")
+    return _named(edges.dropDuplicates(["src", "dst"]) if mutual else edges, ids)
 
 
 def edge_report(edges: DataFrame) -> DataFrame:

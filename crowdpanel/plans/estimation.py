@@ -714,8 +714,8 @@ def _profiles(t: Tables):
 
 @query("profile_cosine_edges", "E44 ARR7", "src l, dst l, cos f6", _JSONVEC + _cosine_sql("<", _MUTUAL))
 def _(t):
-    # Property values are few and common, so every key's holders are split into blocks.
-    return graph.cosine_edges(_profiles(t), block_rows=64)
+    # Property values are few and common, so nearly all pairs of users share some.
+    return graph.dense_cosine_edges(_profiles(t))
 
 
 _NAMED = "WITH vec AS (SELECT 'n' || CAST(node_id AS VARCHAR) AS node_id, key, w FROM basket) "

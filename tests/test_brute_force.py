@@ -164,6 +164,26 @@ def test_cosine_where_common_keys_are_not_offered(spark, floor):
     assert got.keys() == want.keys() and all(abs(got[p] - c) < 1e-9 for p, c in want.items())
 
 
+@pytest.mark.parametrize("mode", ["mutual", "directed"])
+def test_dense_cosine_equals_plain(spark, mode, monkeypatch):
+    """Nearly all pairs share keys, a third of the nodes are copies (ties go to the smaller id), some weights are negative; blocks and strips are many."""
+    rnd = random.Random(13)
+    vec = {i: {f"k{k}": float(rnd.choice([-1, 1, 2, 3])) for k in rnd.sample(range(12), 6)} for i in range(40)}
+    vec |= {100 + i: dict(vec[i]) for i in range(20)}
+    length = {i: math.sqrt(sum(w * w for w in m.values())) for i, m in vec.items()}
+    cos = {(a, b): round(sum(vec[a][k] * vec[b].get(k, 0.0) for k in vec[a]) / length[a] / length[b], 9) for a in vec for b in vec if a != b}
+    cos = {p: c for p, c in cos.items() if c >= 0.1 and (mode == "directed" or p[0] < p[1])}
+    want = {(a, b) for a in vec for c, b in sorted((-c, b) for (x, b), c in cos.items() if x == a)[:3]}
+    if mode == "mutual":
+        want |= {(a, b) for b in vec for c, a in sorted((-c, a) for (a, x), c in cos.items() if x == b)[:3]}
+    df = spark.createDataFrame([(i, k, w) for i, m in vec.items() for k, w in m.items()] + [(999, "k1", 0.0)], "node_id long, key string, w double")
+    for size, strip in ((8192, 1024), (7, 1024), (25, 4)):
+        monkeypatch.setattr(graph, "STRIP", strip)
+        got = {(r.src, r.dst): round(r.cos, 9) for r in graph.dense_cosine_edges(df, k=3, mode=mode, block_nodes=size).collect()}
+        assert got == {p: cos[p] for p in want}, size
+    assert graph.dense_cosine_edges(df.limit(0), mode=mode).collect() == []
+
+
 @pytest.fixture
 def many_ranges(spark):
     """Many shuffle partitions that stay apart, as on large tables."""
