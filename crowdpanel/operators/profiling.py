@@ -106,16 +106,21 @@ def profile_tables(spark: SparkSession, paths: Mapping[str, str]) -> tuple[DataF
 
 
 def folder_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Part files rolled up to datasets: files, bytes and rows.
+    """Part files rolled up to datasets: paths right below ``root``, files, bytes and rows.
 
+    A dataset is named by its path without ``.parquet``, be that path a file or a folder of parts with any names.
+    A file below folders that are no datasets (neither ``name.parquet`` nor holding parts or partitions) is a dataset by itself.
     Listing reads file names and sizes only. Row counts come from a metadata-only
     aggregate over the Parquet footers.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
         "pathGlobFilter", "*.parquet").load(root).select("path", "length", "modificationTime")
-    dataset = lambda p: F.regexp_extract(p, r"([^/]+?)(?:/[^/]*=[^/]*)*(?:/part-[^/]*)?(?:\.parquet)?$", 1)
+    # up to the outermost folder called *.parquet, or else to the folder of partitions and part files, or the file itself
+    whole = lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"^(.*?/[^/]+\.parquet)/", 1), F.lit("")),
+                                 F.regexp_extract(p, r"^(.*?/[^/]+?)(?:/[^/]*=[^/]*)*(?:/part-[^/]*)?$", 1))
+    dataset = lambda p: F.regexp_extract(whole(p), r"([^/]+?)(?:\.parquet)?$", 1)
     sizes = files.groupBy(dataset(F.col("path")).alias("dataset")).agg(
-        F.count("*").alias("n_files"), F.sum("length").alias("size_bytes"), F.max("modificationTime").alias("last_modified"))
+        F.countDistinct(whole(F.col("path"))).alias("n_paths"), F.count("*").alias("n_files"), F.sum("length").alias("size_bytes"), F.max("modificationTime").alias("last_modified"))
     rows = spark.read.format("parquet").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").schema(
         "_none int").load(root).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"))
     counts = rows.groupBy(dataset(F.col("path")).alias("dataset")).agg(F.sum("n").alias("n_rows"))

@@ -95,6 +95,20 @@ def test_inventory_rolls_up_part_files(spark, tmp_path):
     assert got == {"one": (2, 5), "two": (1, 4)}
 
 
+def test_inventory_of_tables_as_folders(spark, tmp_path):
+    """Folders called like files, with parts of any name and with partitions, are one dataset of their own name, as files are."""
+    spark.range(5).repartition(2).write.parquet(str(tmp_path / "one.parquet"))
+    spark.range(4).coalesce(1).write.parquet(str(tmp_path / "flat"))
+    part = next((tmp_path / "flat").glob("part-*.parquet"))
+    for name in ("two.parquet/data_0.parquet", "two.parquet/data_1.parquet", "three.parquet"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(part.read_bytes())
+    spark.range(6).selectExpr("id", "id % 3 AS m").write.partitionBy("m").parquet(str(tmp_path / "four.parquet"))
+    got = {r.dataset: (r.n_paths, r.n_files, r.n_rows) for r in profiling.folder_inventory(spark, str(tmp_path)).collect()}
+    assert got.pop("four") == (1, len(list((tmp_path / "four.parquet").rglob("*.parquet"))), 6)
+    assert got == {"one": (1, 2, 5), "two": (1, 2, 8), "three": (1, 1, 4), "flat": (1, 1, 4)}
+
+
 def test_profiles_survive_a_broken_table(spark, tmp_path):
     spark.createDataFrame([(date(2024, 1, 1), "a", 1), (date(2024, 1, 2), None, 2), (date(2024, 1, 3), "b", 3)], "date date, station string, n long").write.parquet(str(tmp_path / "ok"))
     found, errors = profiling.profile_tables(spark, {"ok": str(tmp_path / "ok"), "gone": str(tmp_path / "gone")})
