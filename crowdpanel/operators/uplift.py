@@ -29,7 +29,8 @@ def arrival_uplift(od: DataFrame, schedule: DataFrame, station: str, pre: int =
     """Arrivals in [start-pre, start] of each game minus the same weekday-hour means.
 
     Means run over non-game dates with rows; with ``night_only`` day games count
-    as non-game. Missing hours and missing means count 0.
+    as non-game. Missing hours and missing means count 0. A game's means are added in the order
+    of their hours: the sum of doubles, and so its rounding where it lies on a tie, depends on no shuffle.
     """
     hourly = od.filter(F.col("destination") == station).groupBy("date", "hour").agg(
         F.sum("trip_count").alias("arrivals"))
@@ -40,8 +41,9 @@ def arrival_uplift(od: DataFrame, schedule: DataFrame, station: str, pre: int =
         "dow", dates.iso_weekday(F.col("date")))
     filled = wanted.join(hourly, ["date", "hour"], "left").join(means, ["dow", "hour"], "left")
     zero = F.lit(0)
+    per_hour = F.array_sort(F.collect_list(F.struct("hour", F.coalesce("mean", F.lit(0.0)).alias("mean"))))  # pre + 1 hours
     per_game = filled.groupBy("date", "opponent", "first_hour").agg(
-        F.sum(F.coalesce("arrivals", zero)).alias("game_arrivals"), F.sum(F.coalesce("mean", zero)).alias("_base"))
+        F.sum(F.coalesce("arrivals", zero)).alias("game_arrivals"), F.aggregate(per_hour, F.lit(0.0), lambda acc, h: acc + h["mean"]).alias("_base"))
     return per_game.select("date", "opponent", "first_hour", "game_arrivals", F.round("_base", 1).alias("baseline_arrivals"),
                            F.round(F.col("game_arrivals") - F.col("_base"), 1).alias("uplift"))
 

@@ -1,7 +1,9 @@
 """Small frames on which a silent mistake would show."""
 
 import math
+import random
 from datetime import date, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import Row
@@ -204,6 +206,21 @@ def test_arrival_uplift(spark):
     assert (got.game_arrivals, got.baseline_arrivals, got.uplift) == (900, 300.0, 600.0)
 
 
+def test_arrival_uplift_adds_hours_in_order(spark):
+    """Means are twentieths, so half of the sums lie on a tie of the first decimal, and some fall to either side of it by the order of their terms."""
+    rnd = random.Random(1)
+    total = {(d, h): rnd.randint(20000, 90000) for d in range(7) for h in range(24)}
+    od = [(D0 + timedelta(d + 7 * week), h, "A", "S", total[d, h] if week == 0 else 0) for d in range(7) for h in range(24) for week in range(20)]
+    games = {D0 + timedelta(7 * (20 + h) + d): (d, h) for d in range(7) for h in range(2, 24)}
+    sched = spark.createDataFrame([(date_, h, "x", "night") for date_, (_, h) in games.items()], "date date, first_hour int, opponent string, day_night string")
+    rows = arrival_uplift(spark.createDataFrame(od, "date date, hour int, origin string, destination string, trip_count long"), sched, "S").collect()
+    mean = lambda d, h: total[d, h] / 20
+    in_order = {t: (mean(d, h - 2) + mean(d, h - 1)) + mean(d, h) for t, (d, h) in games.items()}
+    assert any(in_order[t] != mean(d, h - 2) + (mean(d, h - 1) + mean(d, h)) for t, (d, h) in games.items())
+    half_up = lambda x: float(Decimal(repr(x)).quantize(Decimal("0.1"), ROUND_HALF_UP))
+    assert {r.date: r.baseline_arrivals for r in rows} == {t: half_up(x) for t, x in in_order.items()}
+
+
 def test_dollarize(spark):
     got = dollarize(spark.createDataFrame([(1.0, 20000.0)], "pp_per_10k double, attendance double"), 1e8).first()
     assert (got.lift_pct, got.dollars, got.dollars_per_head) == (2.0, 2_000_000.0, 100.0)
