@@ -16,11 +16,14 @@ def pack_weeks(hourly: DataFrame, slots: int = HOURS_PER_WEEK, value: str = "vis
     slot = day if slots == 7 else day * 24 + F.col("hour")
     per_slot = (hourly.groupBy("poi_id", dates.week_start(F.col("date")).alias("week_start"), slot.alias("slot"))
                 .agg(F.sum(value).alias("v")))
-    filled = per_slot.groupBy("poi_id", "week_start").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))  # at most 168 entries
-    array = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)),
-                        lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long")).cast("string"))
-    return filled.select("poi_id", "week_start", F.concat(F.lit("["), F.array_join(array, ", "), F.lit("]")).alias("packed"))
+    entry = F.when(F.col("slot").between(0, slots - 1), F.struct("slot", "v"))  # hours that are none of the week's are left out
+    filled = per_slot.groupBy("poi_id", "week_start").agg(F.array_sort(F.collect_list(entry)).alias("e"))  # at most 168 entries
+    # text between entries is repeated as a whole: a week costs its entries, not its slots
+    before = lambda i: F.coalesce(F.get("e", i - 1)["slot"], F.lit(-1))
+    pieces = F.transform("e", lambda e, i: F.concat(F.repeat(F.lit("0, "), (e["slot"] - before(i) - 1).cast("int")), F.coalesce(e["v"], F.lit(0)).cast("string"), F.lit(", ")))
+    behind = F.lit(slots - 2) - F.coalesce(F.get("e", F.size("e") - 1)["slot"], F.lit(-1))  # zeros after the last entry, less the one without a comma
+    text = F.concat(F.array_join(pieces, ""), F.repeat(F.lit("0, "), behind.cast("int")), F.when(behind >= 0, "0").otherwise(""))
+    return filled.select("poi_id", "week_start", F.concat(F.lit("["), F.regexp_replace(text, ", $", ""), F.lit("]")).alias("packed"))
 
 
 def explode_hours(patterns: DataFrame, text: str, value: str = "visitor_hours", strict: bool = True) -> DataFrame:

@@ -194,6 +194,22 @@ def test_hourly_controls_cross_midnight(spark):
     assert got[5].value == 50.0 and got[5].baseline == 50.0  # Saturday 01:00 against Saturday 01:00
 
 
+@pytest.mark.parametrize("slots", [7, 168])
+def test_packed_weeks_equal_plain(spark, slots):
+    """Full, sparse and edge weeks, several rows a slot; hours that are null or beyond the week count nowhere."""
+    rnd = random.Random(3)
+    shape = {1: range(slots), 2: [0], 3: [slots - 1], 4: [0, slots - 1], 5: sorted(rnd.sample(range(slots), 5)), 6: [slots // 2]}
+    plain = {p: [0] * slots for p in [*shape, 7]}
+    rows = [(7, D0 + timedelta(6), None, 5), (7, D0 + timedelta(6), 30, 5)] if slots == 168 else []
+    for p, filled in shape.items():
+        for i in filled:
+            for v in (rnd.randint(1, 20), 100):
+                plain[p][i] += v
+                rows.append((p, D0 + timedelta(i if slots == 7 else i // 24), i % 24, v))
+    got = {r.poi_id: r.packed for r in unpack.pack_weeks(spark.createDataFrame(rows, "poi_id int, date date, hour int, n long"), slots, "n").collect()}
+    assert got == {p: str(v) for p, v in plain.items() if p != 7 or slots == 168}
+
+
 def test_arrival_uplift(spark):
     od = []
     for week, n in ((0, 300), (1, 100), (2, 100)):
