@@ -26,6 +26,8 @@ DENSITY_SCALE = 40
 HALF, CURVE_BLOCK, READ_BLOCK = 25, 4096, 64
 #: Meetings of two nodes in one task of the cosine join, and rows and keys multiplied together in the dense one.
 TASK_PAIRS, STRIP = 1 << 21, 1024
+#: Nodes whose edges one task gathers, and places that one task searches: small inputs unfold to far more than their files say.
+TASK_NODES, TASK_PLACES = 1 << 16, 1 << 10
 
 
 def _spread(df: DataFrame, reach) -> DataFrame:
@@ -107,6 +109,11 @@ def _depths(spots: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("level", F.coalesce(deepest, F.lit(0)).cast("int")).filter(F.col("_block") == block).drop("_block", "_common")
 
 
+def _tasks(df: DataFrame, rows: int) -> int:
+    """How many tasks get about ``rows`` rows each."""
+    return max(1, math.ceil(df.count() / rows))
+
+
 def knn_lists(nodes: DataFrame, k: int = K_NEIGHBOURS) -> DataFrame:
     """(node_id, peer_id, dist_m, rank): the k nearest others by (distance, id), exact.
 
@@ -130,7 +137,7 @@ def knn_lists(nodes: DataFrame, k: int = K_NEIGHBOURS) -> DataFrame:
     near_ids = top_k(flat, ["qlat", "qlon"], [F.col("dist_m"), F.col("peer_id")], k + 1, "_r")
     shared = near_ids.groupBy(F.col("qlat").alias("lat"), F.col("qlon").alias("lon")).agg(
         F.array_sort(F.collect_list(F.struct("dist_m", "peer_id"))).alias("near"))  # at most k+1
-    own = nodes.join(shared, ["lat", "lon"])
+    own = nodes.join(shared.hint("merge"), ["lat", "lon"])  # neither side is broadcast by the size of a compressed file; a place with a large share of the nodes is split
     others = F.slice(F.filter("near", lambda x: x["peer_id"] != F.col("node_id")), 1, k)
     return own.select("node_id", F.posexplode(others).alias("pos", "n")).select(
         "node_id", F.col("n.peer_id").alias("peer_id"), F.col("n.dist_m").alias("dist_m"), (F.col("pos") + 1).alias("rank"))
@@ -178,8 +185,9 @@ def knn_pairs(nodes: DataFrame, k: int) -> DataFrame:
 
     there = spots.select("lat", "lon", "ids", (F.col("pos") - 1).alias("at"), F.floor((F.col("pos") - 1) / READ_BLOCK).alias("_b"))
     read = blocks.join(there, "_b").filter((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("level", "ai", "aj", "lat", "lon", "ids")
-    asks = chosen.withColumnsRenamed({"lat": "qlat", "lon": "qlon"})
-    found = read.join(pairs, ["level", "ai", "aj"]).join(asks, ["level", "ci", "cj"])
+    tasks = _tasks(spots, TASK_PLACES)
+    asks = chosen.withColumnsRenamed({"lat": "qlat", "lon": "qlon"}).repartition(tasks, "level", "ci", "cj")
+    found = read.repartition(tasks, "level", "ai", "aj").join(pairs, ["level", "ai", "aj"]).join(asks, ["level", "ci", "cj"])
     within = F.lit(diagonal * h * geo.EARTH_RADIUS_M * math.pi / 180) / F.pow(F.lit(2.0), F.col("level"))
     return found.select("qlat", "qlon", "lat", "lon", "ids", F.when(F.col("level") == 0, F.lit(math.inf)).otherwise(within).alias("within"))
 
@@ -188,7 +196,9 @@ def knn_edges(nodes: DataFrame, k: int = K_NEIGHBOURS) -> DataFrame:
     """Undirected (a < b) edges to the k nearest others with the distance."""
     near = knn_lists(nodes, k)
     a, b = F.least("node_id", "peer_id"), F.greatest("node_id", "peer_id")
-    return near.groupBy(a.alias("a"), b.alias("b")).agg(F.min("dist_m").alias("dist_m"))
+    # an edge comes twice at most, so adding up before the shuffle would only hold all edges of a task
+    ends = near.select(a.alias("a"), b.alias("b"), "dist_m").repartition(_tasks(nodes, TASK_NODES), "a", "b")
+    return ends.groupBy("a", "b").agg(F.min("dist_m").alias("dist_m"))
 
 
 def json_vectors(df: DataFrame, node: str, text: str) -> DataFrame:

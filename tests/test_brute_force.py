@@ -351,3 +351,15 @@ def test_velocity_equals_least_squares(spark):
 def test_student_quantile():
     assert student_quantile(0.975, 10) == pytest.approx(2.228139, abs=1e-5)
     assert student_quantile(0.975, 480) == pytest.approx(1.964918, abs=1e-5)
+
+
+def test_knn_edges_are_spread_before_they_are_gathered(spark, monkeypatch):
+    """No task holds the edges of a whole input file, whose size says little about them."""
+    monkeypatch.setattr(graph, "TASK_NODES", 50)
+    monkeypatch.setattr(graph, "TASK_PLACES", 50)
+    pts = spark.range(400).selectExpr("id AS node_id", "37.7 + id * 7919 % 1400 / 10000D AS lat", "-122.5 + id * 104729 % 1700 / 10000D AS lon")
+    edges = graph.knn_edges(pts, 3)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"partial_min\(dist_m#\d+\)\][^\n]*\n[^\n]*Exchange hashpartitioning\(a#\d+L, b#\d+L, 8\), REPARTITION_BY_NUM", plan)
+    assert re.search(r"hashpartitioning\(level#\d+, ai#\d+L, aj#\d+L, 8\), REPARTITION_BY_NUM", plan)
+    assert edges.count() == edges.select("a", "b").distinct().count() >= 600
