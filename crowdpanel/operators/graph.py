@@ -26,6 +26,8 @@ DENSITY_SCALE = 40
 HALF, CURVE_BLOCK, READ_BLOCK = 25, 4096, 64
 #: Meetings of two nodes in one task of the cosine join, and rows and keys multiplied together in the dense one.
 TASK_PAIRS, STRIP = 1 << 21, 1024
+#: Steps of a weight between 0 and 1 in the bounds of the cosine join.
+UP = 32767
 #: Nodes whose edges one task gathers, and places that one task searches: small inputs unfold to far more than their files say.
 TASK_NODES, TASK_PLACES = 1 << 16, 1 << 10
 
@@ -225,13 +227,13 @@ def _named(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _holder_lists(offered: DataFrame, block_rows: int, parts: int) -> DataFrame:
-    """(ours, theirs): holders (code, u, rest) of a key that meet, each a list in the order of codes; every pair of holders of a key once.
+    """(ours, theirs): holders (code, up, rest) of a key that meet, each a list in the order of codes; every pair of holders of a key once.
 
     Up to ``block_rows`` holders are one list, which meets itself from each holder on; more are cut into lists, each of which meets itself and all later ones.
     """
-    holder = F.array_sort(F.collect_list(F.struct("code", "u", "rest"))).alias("ours")
+    holder = F.array_sort(F.collect_list(F.struct("code", "up", "rest"))).alias("ours")
     few = offered.filter(F.col("_df") <= block_rows).repartition(parts, "key").groupBy("key").agg(holder).select("ours", F.lit(None).alias("theirs"))
-    many = offered.filter(F.col("_df") > block_rows).select("key", "_df", "code", "u", "rest")
+    many = offered.filter(F.col("_df") > block_rows).select("key", "_df", "code", "up", "rest")
     if many.isEmpty():
         return few
     place = ranked(many, ["key"], ["code"], "_place")
@@ -252,15 +254,15 @@ def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEI
     ``min_cos``. Two nodes at the floor share a key that both offer: say x stops offering
     first; if no key up to there is shared, the dot product lies within what x has left, and is at
     most its norm (Cauchy-Schwarz, any signs). So common keys are joined only where a node has little else.
-    A holder of an offered key is sent the packed list of the key's later holders, and products are added up where
-    it is sent: one pass of twelve bytes a meeting, in as many tasks as the meetings need.
-    Products of keys that were not offered at both ends are then added for
-    the pairs that can still reach the floor. Where nearly all pairs share keys, see ``dense_cosine_edges``.
+    A holder of an offered key is sent the packed list of the key's later holders, each six bytes: its number and its
+    weight rounded up to 15 bits. Products of these bound the cosine from above; they are added up in as many tasks as the meetings
+    need. The few pairs whose bound reaches the floor get their exact cosine from the whole vectors. Where nearly all pairs share keys, see ``dense_cosine_edges``.
     """
     entries, ids, _ = _numbered(vectors)
     unit = durable_table(entries)
     common = durable_table(unit.groupBy("key").agg(F.count("*").alias("_df")).filter(F.col("_df") > block_rows))
-    if common.isEmpty():  # keys of one list cost little, so all of them are offered
+    all_offered = common.isEmpty()
+    if all_offered:  # keys of one list cost little, so all of them are offered
         unit = unit.select("*", F.lit(1).cast("long").alias("_df"), F.lit(True).alias("_offered"), F.lit(0.0).alias("rest"))
     else:
         common_first = Window.partitionBy("code").orderBy(F.desc_nulls_last("_df"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -269,31 +271,28 @@ def cosine_edges(vectors: DataFrame, min_cos: float = MIN_COSINE, k: int = K_NEI
         left = left.withColumn("_offered", (F.col("_left") >= min_cos * (1 - 1e-9)) | F.col("_df").isNull())
         rest = F.max(F.when(~F.col("_offered"), F.col("_left"))).over(common_first)
         unit = durable_table(left.select("code", "key", "u", F.coalesce("_df", F.lit(1).cast("long")).alias("_df"), "_offered", F.coalesce(rest, F.lit(0.0)).alias("rest")))
-    offered, kept = unit.filter("_offered"), unit.filter("NOT _offered")
+    up = F.least(F.ceil(F.abs("u") * UP), F.lit(UP)).cast("short")
+    offered = unit.filter("_offered").withColumn("up", up)
 
     n = F.col("_n")
     meetings = offered.groupBy("key").agg(F.count("*").alias("_n")).agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
     parts = max(1, math.ceil(meetings / TASK_PAIRS))
     lists = _holder_lists(offered, block_rows, parts)
     sent = lists.select("ours", F.coalesce("theirs", "ours").alias("theirs"), F.col("theirs").isNull().alias("_same"))
-    packed = [F.col(f"theirs.{c}").alias(f"_{c}") for c in ("code", "u", "rest")]
-    sent = sent.select(F.posexplode("ours").alias("_at", "x"), "_same", *packed)
+    columns = ("code", "up") if all_offered else ("code", "up", "rest")
+    sent = sent.select(F.posexplode("ours").alias("_at", "x"), "_same", *[F.col(f"theirs.{c}").alias(f"_{c}") for c in columns])
     first = F.when(F.col("_same"), F.col("_at") + 2).otherwise(1)
-    sent = sent.select(F.col("x.code").alias("src"), F.col("x.u").alias("xu"), F.col("x.rest").alias("xr"),
-                       *[F.slice(f"_{c}", first, F.size("_code")).alias(f"_{c}") for c in ("code", "u", "rest")]).filter(F.size("_code") > 0)
-    met = sent.repartition(parts, "src").select("src", "xu", "xr", F.inline(F.arrays_zip("_code", "_u", "_rest")).alias("dst", "yu", "yr"))
-    found = met.groupBy("src", "dst").agg(F.sum(F.col("xu") * F.col("yu")).alias("cos"), F.max(F.greatest("xr", "yr")).alias("rest"))
-    found = durable_table(found.filter(F.col("cos") + F.col("rest") >= min_cos - 1e-8))  # read three times below
-
-    open_pairs = found.filter("rest > 0").select("src", "dst")
-    of = lambda df, end: df.select(F.col("code").alias(end), "key", F.col("u").alias(f"_{end}"))
-    product = (F.col("_src") * F.col("_dst")).alias("cos")
-    scored = [found.select("src", "dst", "cos")]
-    if not kept.isEmpty():
-        scored.append(open_pairs.join(of(kept, "src"), "src").hint("merge").join(of(unit, "dst"), ["dst", "key"]).select("src", "dst", product))
-        scored.append(open_pairs.join(of(kept, "dst"), "dst").hint("merge").join(of(offered, "src"), ["src", "key"]).select("src", "dst", product))
-    scored = union_all(scored).groupBy("src", "dst").agg(F.sum("cos").alias("cos")) if len(scored) > 1 else scored[0]
-    scored = scored.filter(F.round("cos", 9) >= min_cos)
+    sent = sent.select(F.col("x.code").alias("src"), F.col("x.up").alias("xu"), F.col("x.rest").alias("xr"), *[F.slice(f"_{c}", first, F.size("_code")).alias(f"_{c}") for c in columns])
+    sent = sent.filter(F.size("_code") > 0).repartition(parts, "src")
+    met = sent.select("src", "xu", "xr", F.inline(F.arrays_zip(*[f"_{c}" for c in columns])).alias(*["dst", "yu", "yr"][:len(columns)]))
+    bound = F.sum(F.col("xu").cast("long") * F.col("yu")) / F.lit(float(UP * UP))
+    rest = F.lit(0.0) if all_offered else F.max(F.greatest("xr", "yr"))
+    found = met.groupBy("src", "dst").agg(bound.alias("bound"), rest.alias("rest")).filter(F.col("bound") + F.col("rest") >= min_cos - 1e-8)
+    found = durable_table(found.select("src", "dst"))
+
+    of = lambda end: unit.select(F.col("code").alias(end), "key", F.col("u").alias(f"_{end}"))
+    both_ends = found.hint("merge").join(of("src"), "src").hint("merge").join(of("dst"), ["dst", "key"])
+    scored = both_ends.groupBy("src", "dst").agg(F.sum(F.col("_src") * F.col("_dst")).alias("cos")).filter(F.round("cos", 9) >= min_cos)
     rank_by = F.round("cos", 9)
     if mode != "directed":
         return _named(mutual_top_k(scored, rank_by, k), ids)

@@ -53,3 +53,16 @@ def test_top_k_is_limited_before_the_shuffle(spark):
     from pyspark.sql import functions as F
     plan = _plan(top_k(spark.range(10).withColumn("g", F.col("id") % 2), ["g"], [F.col("id")], 3))
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_cosine_join_sends_packed_lists(spark, monkeypatch):
+    """What a holder meets goes as arrays of a number and a rounded weight, not as one row a meeting; no vectors are broadcast by the size of a compressed file."""
+    from crowdpanel.operators import graph
+    sent = []
+    keep = graph.durable_table
+    monkeypatch.setattr(graph, "durable_table", lambda df: (sent.append(_plan(df)), keep(df))[1])
+    monkeypatch.setattr(graph, "TASK_PAIRS", 1000)
+    edges = graph.cosine_edges(spark.range(300).selectExpr("id % 60 AS node_id", "id * 7 % 11 AS key", "1.0D + id % 3 AS w").distinct())
+    pairs = next(p for p in sent if "xu#" in p)
+    assert re.search(r"Exchange hashpartitioning\(src#\d+, \d+\), REPARTITION_BY_NUM", pairs) and "Join" not in pairs
+    assert "BroadcastHashJoin" not in _plan(edges) and edges.count() > 0
